@@ -77,8 +77,8 @@ def name_of(code: Column, names: dict[int, str]) -> Column:
     The table is one constant array indexed by code, so a lookup costs the same for
     every code; the few codes beyond it are compared one by one.
     """
-    dense = F.array(*[F.lit(names.get(i, "")) for i in range(min(_DENSE, max(names) + 1))])
-    found = F.get(dense, code.cast("int"))
+    labels = ", ".join(f"'{names.get(i, '')}'" for i in range(min(_DENSE, max(names) + 1)))
+    found = F.get(F.expr(f"array({labels})"), code.cast("int"))
     for number, label in names.items():
         if number >= _DENSE:
             found = F.when(code == number, label).otherwise(found)
@@ -87,7 +87,7 @@ def name_of(code: Column, names: dict[int, str]) -> Column:
 
 def code_of(name: Column, names: dict[int, str]) -> Column:
     """Inverse of :func:`name_of`; 0 when unknown."""
-    table = F.create_map(*[F.lit(x) for number, label in names.items() for x in (label, number)])
+    table = F.expr("map(" + ", ".join(f"'{label}', {n}" for n, label in names.items()) + ")")
     return F.coalesce(F.try_element_at(table, name), F.lit(0)).cast("int")
 
 

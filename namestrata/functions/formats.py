@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from namestrata.functions import codes
 from namestrata.functions.ip import ip_text, to_number
+from namestrata.functions.once import let
 from namestrata.functions.timing import rfc3339
 from namestrata.functions.wire import message_bytes, proto_bytes, proto_int
 
@@ -54,7 +55,7 @@ def protocol_number(protocol: Column) -> Column:
 def quote(text: Column) -> Column:
     """A JSON string literal."""
     wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1)
 
 
 # --- JSON ------------------------------------------------------------------------------------
@@ -77,8 +78,8 @@ def _object(*pairs: tuple[str, Column]) -> Column:
 
 def _array(values: Column) -> Column:
     """A JSON array of JSON texts; an empty one is ``null``."""
-    joined = F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
-    return F.when(F.size(values) > 0, joined).otherwise("null")
+    joined = let(values, lambda v: F.when(F.size(v) > 0, F.array_join(v, ",")))
+    return F.coalesce(F.concat(F.lit("["), joined, F.lit("]")), F.lit("null"))
 
 
 def _record_json(r: Column) -> Column:
@@ -139,7 +140,7 @@ def message_json(dns: Column) -> Column:
     )
 
 
-def to_json_text(results: DataFrame | None = None, **_) -> Column:
+def to_json_text() -> Column:
     """The record as JSON; ports of 0 and empty identity and version are left out."""
 
     def optional(name: str, value: Column, shown: Column) -> Column:
@@ -221,10 +222,13 @@ def flag_ids(dns: Column) -> Column:
 
 def record_text(r: Column) -> Column:
     """Presentation form of a whole record, tab separated."""
-    kind = codes.name_of(r["rrtype"], codes.TYPE_NAMES)
-    kind = F.when(kind == "", F.concat(F.lit("TYPE"), r["rrtype"])).otherwise(kind)
-    family = codes.name_of(r["class"], codes.CLASS_NAMES)
-    family = F.when(family == "", F.concat(F.lit("CLASS"), r["class"])).otherwise(family)
+
+    def shown(code: Column, names: dict[int, str], prefix: str) -> Column:
+        known = F.nullif(codes.name_of(code, names), F.lit(""))
+        return F.coalesce(known, F.concat(F.lit(prefix), code))
+
+    kind = shown(r["rrtype"], codes.TYPE_NAMES, "TYPE")
+    family = shown(r["class"], codes.CLASS_NAMES, "CLASS")
     return F.concat_ws("\t", r["name"], r["ttl"].cast("string"), family, kind, r["rdata"])
 
 
@@ -234,7 +238,7 @@ def ocsf_struct(vendor: str = "namestrata") -> Column:
     first = F.col("dns.question")[0]
 
     def opt(value: Column, empty) -> Column:
-        return F.when(value != empty, value)
+        return F.nullif(value, F.lit(empty))
 
     query = F.struct(
         codes.name_of(first["qclass"], codes.CLASS_NAMES).alias("class"),
@@ -304,9 +308,9 @@ def parse_ocsf(lines: DataFrame, column: str = "value") -> DataFrame:
         )
 
     question = F.struct(
-        o["query.hostname"].alias("name"),
-        codes.code_of(o["query.type"], codes.TYPE_NAMES).alias("qtype"),
-        codes.code_of(o["query.class"], codes.CLASS_NAMES).alias("qclass"),
+        F.col("__o.query.hostname").alias("name"),
+        codes.code_of(F.col("__o.query.type"), codes.TYPE_NAMES).alias("qtype"),
+        codes.code_of(F.col("__o.query.class"), codes.CLASS_NAMES).alias("qclass"),
     )
     empty_q = F.expr("CAST(array() AS ARRAY<STRUCT<name: STRING, qtype: INT, qclass: INT>>)")
     dns = F.struct(
@@ -418,6 +422,7 @@ FORMATS: dict[str, Format] = {
     "gotemplate": lambda **o: to_template_text(o["template"]),
     "gob": lambda **o: to_packed_bytes(),
 }
+FORMATS["template"], FORMATS["packed"] = FORMATS["gotemplate"], FORMATS["gob"]
 
 
 def register_format(name: str, render: Format) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from namestrata.functions.binary import hex_uint
+from namestrata.functions.once import let
 
 MAPPED_PREFIX = "00000000000000000000FFFF"
 
@@ -32,6 +33,10 @@ def mask_ip(ip: Column, v4_bits: int = 32, v6_bits: int = 128) -> Column:
     """Zero the host part of an address; the family follows from the byte length."""
     check_mask(v4_bits, 32)
     check_mask(v6_bits, 128)
+    return let(ip, lambda address: _masked(address, v4_bits, v6_bits))
+
+
+def _masked(ip: Column, v4_bits: int, v6_bits: int) -> Column:
     v4 = ip
     if v4_bits < 32:
         number = F.conv(F.hex(ip), 16, 10).cast("bigint")
@@ -64,7 +69,10 @@ def _v4_text(hexa: Column, first: int) -> Column:
 
 def _v6_text(hexa: Column) -> Column:
     groups = [F.regexp_replace(F.substring(hexa, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
-    flat = F.lower(F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":")))
+    return let(F.lower(F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))), _shorten)
+
+
+def _shorten(flat: Column) -> Column:
     # The longest run of two or more zero groups shrinks to "::", the leftmost on a tie.
     short = flat
     for length in range(2, 9):
@@ -81,13 +89,16 @@ def _v6_text(hexa: Column) -> Column:
 
 def ip_text(ip: Column) -> Column:
     """Usual text form; mapped addresses print as dotted IPv4."""
-    hexa = F.hex(ip)
-    size = F.octet_length(ip)
-    return (
-        F.when(size == 4, _v4_text(hexa, 1))
-        .when((size == 16) & hexa.startswith(MAPPED_PREFIX), _v4_text(hexa, 25))
-        .when(size == 16, _v6_text(hexa))
-    )
+
+    def text(hexa: Column) -> Column:
+        digits = F.length(hexa)
+        return (
+            F.when(digits == 8, _v4_text(hexa, 1))
+            .when((digits == 32) & hexa.startswith(MAPPED_PREFIX), _v4_text(hexa, 25))
+            .when(digits == 32, _v6_text(hexa))
+        )
+
+    return let(F.hex(ip), text)
 
 
 def _v4_hex(text: Column) -> Column:
@@ -102,9 +113,15 @@ def _groups_hex(text: Column) -> Column:
 
 def ip_bytes(text: Column) -> Column:
     """Parse dotted IPv4 or colon IPv6 text (``::`` allowed) to bytes."""
-    sides = F.split(text, "::")
-    left = _groups_hex(F.get(sides, F.lit(0)))
-    right = F.coalesce(_groups_hex(F.get(sides, F.lit(1))), F.lit(""))
-    zeros = F.repeat(F.lit("0"), F.lit(32) - F.length(left) - F.length(right))
-    v6 = F.when(F.size(sides) == 2, F.concat(left, zeros, right)).otherwise(left)
-    return F.unhex(F.when(F.contains(text, F.lit(":")), v6).otherwise(_v4_hex(text)))
+
+    def v6(t: Column) -> Column:
+        sides = F.transform(F.split(t, "::"), _groups_hex)
+
+        def filled(s: Column) -> Column:
+            left, right = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+            zeros = F.repeat(F.lit("0"), F.lit(32) - F.length(left) - F.length(right))
+            return F.when(F.size(s) == 2, F.concat(left, zeros, right)).otherwise(left)
+
+        return let(sides, filled)
+
+    return let(text, lambda t: F.unhex(F.when(F.contains(t, F.lit(":")), v6(t)).otherwise(_v4_hex(t))))

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    The value is bound to a lambda variable, which also keeps the expression small: without
+    it nested helpers copy one another's inputs until planning takes longer than the job.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add or replace ``columns`` so that nothing above evaluates them again.
 

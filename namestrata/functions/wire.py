@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from namestrata.functions.binary import hex_uint
 from namestrata.functions.ip import ip_bytes
+from namestrata.functions.once import let
 
 CHARACTER = r"(\\[0-9]{3}|\\.|[^\\])"
 
@@ -32,6 +33,10 @@ def _hex_of_escaped(text: Column, keep_dots: bool) -> Column:
 
 def name_hex(name: Column) -> Column:
     """Uncompressed wire form of a name, as hex."""
+    return let(name, _name_hex)
+
+
+def _name_hex(name: Column) -> Column:
     escaped = F.split(_hex_of_escaped(name, keep_dots=True), r"\.")
     plain = F.transform(F.split(name, r"\."), lambda label: F.hex(label))
     labels = F.when(F.contains(name, F.lit("\\")), escaped).otherwise(plain)
@@ -52,12 +57,15 @@ def _number(words: Column, position: int, width: int) -> Column:
 
 def rdata_hex(rrtype: Column, rdata: Column) -> Column:
     """Record data text back to hex; the generic form ``\\# length hex`` works for any type."""
-    words = F.split(rdata, " ")
+    return let(F.split(rdata, " "), lambda words: _rdata_hex(rrtype, rdata, words))
+
+
+def _rdata_hex(rrtype: Column, rdata: Column, words: Column) -> Column:
     quoted = F.regexp_extract_all(rdata, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
 
     def sized(text):
         body = _hex_of_escaped(text, keep_dots=False)
-        return F.concat(F.lpad(F.hex((F.length(body) / 2).cast("bigint")), 2, "0"), body)
+        return let(body, lambda b: F.concat(F.lpad(F.hex((F.length(b) / 2).cast("bigint")), 2, "0"), b))
 
     strings = F.array_join(F.transform(quoted, sized), "")
     tag = F.hex(_field(words, 1))
@@ -84,10 +92,13 @@ def rdata_hex(rrtype: Column, rdata: Column) -> Column:
 
 def _section(records: Column) -> Column:
     def one(r):
-        data = rdata_hex(r["rrtype"], r["rdata"])
+        data = let(
+            rdata_hex(r["rrtype"], r["rdata"]),
+            lambda d: F.concat(hex_uint((F.length(d) / 2).cast("bigint"), 2), d),
+        )
         return F.concat(
             name_hex(r["name"]), hex_uint(r["rrtype"], 2), hex_uint(r["class"], 2),
-            hex_uint(r["ttl"], 4), hex_uint((F.length(data) / 2).cast("bigint"), 2), data,
+            hex_uint(r["ttl"], 4), data,
         )
 
     return F.coalesce(F.array_join(F.transform(records, one), ""), F.lit(""))
@@ -143,6 +154,10 @@ def ip_hex(
     ip_id: Column | None = None, flags_offset: Column | None = None,
 ) -> Column:
     """An IPv4 or IPv6 header in front of ``body_hex``; the family follows the addresses."""
+    return let(body_hex, lambda body: _ip_hex(src, dst, protocol, body, ip_id, flags_offset))
+
+
+def _ip_hex(src, dst, protocol, body_hex, ip_id, flags_offset) -> Column:
     size = (F.length(body_hex) / 2).cast("bigint")
     zero = F.lit(0)
     v4 = F.concat(
@@ -177,7 +192,10 @@ def vxlan_hex(outer_src: Column, outer_dst: Column, frame_hex: Column) -> Column
 
 def varint_hex(value: Column, most: int = 10) -> Column:
     """Protobuf varint of a non-negative BIGINT in at most ``most`` bytes."""
-    value = value.cast("bigint")
+    return let(value.cast("bigint"), lambda v: _varint_hex(v, most))
+
+
+def _varint_hex(value: Column, most: int) -> Column:
     parts = []
     for i in range(most):
         rest = F.shiftrightunsigned(value, 7 * i)
@@ -212,7 +230,10 @@ def proto_fixed32(number: int, value: Column) -> Column:
 
 def proto_bytes(number: int, value_hex: Column, always: bool = False) -> Column:
     """Length-delimited field from hex; left out when empty or NULL unless ``always``."""
-    size = (F.length(value_hex) / 2).cast("bigint")
-    field = F.concat(F.lit(_tag(number, 2)), varint_hex(size, 4), value_hex)
-    shown = value_hex.isNotNull() if always else F.coalesce(size > 0, F.lit(False))
-    return F.when(shown, field).otherwise("")
+
+    def field(data: Column) -> Column:
+        size = (F.length(data) / 2).cast("bigint")
+        shown = data.isNotNull() if always else F.coalesce(size > 0, F.lit(False))
+        return F.when(shown, F.concat(F.lit(_tag(number, 2)), varint_hex(size, 4), data)).otherwise("")
+
+    return let(value_hex, field)

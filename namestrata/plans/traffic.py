@@ -182,11 +182,15 @@ def udp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragment_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_packets_of(load_events(spark, sf_dir))
+
+
+def fragment_packets_of(events: DataFrame) -> DataFrame:
     """Every event as three IP fragments of at least 24 bytes each, out of order.
 
     Every 29th datagram lacks its middle piece and every 31st repeats its first one.
     """
-    rows = results(spark, sf_dir).withColumn("link", F.lit("plain"))
+    rows = results_of(events).withColumn("link", F.lit("plain"))
     body = wire.udp_hex(F.lit(4000), F.lit(53), F.col("wire"))
     rows = compute_once(wired(rows), {"body": body, "event": F.col("seq")})
     pieces = F.array(
@@ -215,11 +219,15 @@ def fragment_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tcp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tcp_packets_of(load_events(spark, sf_dir))
+
+
+def tcp_packets_of(events: DataFrame) -> DataFrame:
     """Events as TCP traffic: one stream per event, three messages cut into odd segments.
 
     A SYN opens each stream; segments arrive out of order and one is sent twice.
     """
-    rows = results(spark, sf_dir).withColumn("link", F.lit("plain"))
+    rows = results_of(events).withColumn("link", F.lit("plain"))
     message = F.col("wire")
     framed = F.concat(hex_uint(F.octet_length(message), 2), F.hex(message))
     rows = compute_once(wired(rows), {"body": F.repeat(framed, F.lit(3)), "event": F.col("seq")})
