@@ -190,7 +190,7 @@ def metrics_text(spark, sf_dir):
 
 @query("S5_domain_list")
 def domain_list(spark, sf_dir):
-    """Lines made from page hosts and log names, normalised."""
+    """Lines made from the names of the log, normalised."""
     return parse_domain_list(_list_lines(spark, sf_dir)).select("role", "pattern", "active")
 
 
@@ -242,8 +242,11 @@ def long_list(spark, sf_dir):
 
 @query("F11_longest_match")
 def longest_match(spark, sf_dir):
-    """Which page hosts and log names a list with shadowed patterns lets through."""
-    lines = ["sig,prefix", "sign,prefix", "sign,fqdn", "org.,suffix", "e.org.,suffix", ".gro.e,fqdn"]
+    """Names that a list with shadowed patterns lets through."""
+    lines = [
+        "pur,prefix", "purchase1,prefix", "purchase1,fqdn", "org.,suffix", "e.org.,suffix",
+        ".gro.e,fqdn", "1.Example.com.,suffix",
+    ]
     log = traffic.dns_log(spark, sf_dir)
     return domain_filter.filter_domains(log, 3, allow=domain_list_from(spark, lines)).select("seq", "Question")
 
