@@ -41,14 +41,20 @@ def _layer3(df: DataFrame, data: str, ethernet: Column) -> DataFrame:
 
 
 def _unwrap_vxlan(df: DataFrame) -> DataFrame:
-    """Replace a VXLAN packet's bytes by the Ethernet frame it carries."""
+    """Replace a VXLAN packet's bytes by the Ethernet frame it carries.
+
+    The port alone does not make a VXLAN packet: it may be an ordinary client port. The frame
+    inside must also carry IP, possibly behind VLAN tags.
+    """
     data, l3 = F.col("data"), F.col("l3")
     first = uint(data, l3, 1)
     ihl = first.bitwiseAND(15) * 4
     protocol = F.when(F.col("family") == 4, uint(data, l3 + 9, 1)).otherwise(uint(data, l3 + 6, 1))
     df = df.withColumn("l4", l3 + F.when(F.col("family") == 4, ihl).otherwise(40))
     port = uint(data, F.col("l4") + 2, 2)
+    carried = F.hex(slice_bytes(data, F.col("l4") + 28, F.lit(2)))
     inner = F.col("family").isNotNull() & (protocol == UDP) & (port == VXLAN_PORT)
+    inner = inner & carried.isin("0800", "86DD", "8100", "88A8")
     df = df.withColumn("wrapped", F.coalesce(inner, F.lit(False)))
     frame = F.when(F.col("wrapped"), slice_bytes(data, F.col("l4") + 16, F.lit(1 << 17)))
     return df.withColumn("frame", frame.otherwise(data)).drop("l3", "l4", "family")

@@ -100,6 +100,7 @@ def reassemble_fragments(
     # Fragments are a small share of the packets but are read several times below.
     rows = cut_lineage(rows, "fragments")
     rows = sessions(rows, tuple(FRAGMENT_KEY), "us", gc_seconds * 1_000_000)
+    rows = cut_lineage(rows, "fragment-sessions")
     key = [*FRAGMENT_KEY, "session"]
     rows = rows.withColumn("part", F.expr(f"seq div {FRAGMENT_CHUNK_RECORDS}"))
     done = carry(
@@ -149,9 +150,9 @@ def tcp_streams(segments: DataFrame, gc_seconds: int = GC_SECONDS) -> DataFrame:
     rows = rows.withColumn("slot", F.expr(f"us div {gc_seconds * 1_000_000}"))
     key = [*STREAM, "slot"]
     slots = rows.groupBy(*key).agg(
-        F.min_by("number", F.struct("us", "seq")).alias("first"),
-        F.min(F.struct("us", "seq", "ts_ns")).alias("begin"),
+        F.min(F.struct("us", "seq", "ts_ns", "number")).alias("begin")
     )
+    slots = slots.withColumn("first", F.col("begin.number"))
     line = Window.partitionBy(*STREAM).orderBy("slot")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     moved = _signed32(F.col("first") - F.lag("first").over(line))
@@ -237,7 +238,8 @@ def tcp_messages(
     rows = placed.groupBy(*begins, "offset").agg(
         F.max_by("payload", F.octet_length("payload")).alias("payload")
     )
-    rows = rows.withColumn("range", F.expr(f"offset div {TCP_CHUNK_BYTES}"))
+    # Placed once; numbering chunks and looking for long streams read it again.
+    rows = cut_lineage(rows, "placed").withColumn("range", F.expr(f"offset div {TCP_CHUNK_BYTES}"))
     found = carry(
         chunk_numbers(rows, begins, "range", first="offset"), begins, "chunk", ["offset"],
         ["offset", "payload", "next_first"], _framing_step,

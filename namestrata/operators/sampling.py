@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from namestrata.operators.ordering import arrival_number
 
@@ -71,7 +72,7 @@ FNV_BASIS = np.uint64(0xCBF29CE484222325)
 FNV_PRIME = np.uint64(0x100000001B3)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def fnv1a64(data: pd.Series) -> pd.Series:
     """64-bit FNV-1a of each value, as the signed number with the same bits.
 

@@ -8,6 +8,7 @@ from namestrata.operators.headers import TCP, UDP, ip_datagrams, on_port, transp
 from namestrata.operators.messages import merge_results, tcp_records, udp_records
 from namestrata.operators.reassembly import reassemble_fragments, tcp_messages
 from namestrata.operators.sampling import sample_records, sample_then_drop_copies
+from namestrata.session import cut_lineage
 
 
 def packets_to_results(
@@ -33,12 +34,16 @@ def packets_to_results(
     elif ratio != "1:1":
         packets = sample_records(packets, ratio, number="seq")
     datagrams = ip_datagrams(packets, ethernet).filter("error IS NULL")
-    whole = datagrams.filter("NOT is_fragment")
-    segments = on_port(transport(whole), port)
-    parts = [udp_records(segments.filter(f"protocol_no = {UDP}"), mask_v4, mask_v6)]
-    tcp_segments = segments.filter(f"protocol_no = {TCP}")
+    whole = datagrams.filter(f"NOT is_fragment AND protocol_no = {UDP}")
+    parts = [udp_records(on_port(transport(whole), port), mask_v4, mask_v6)]
+    if not (defrag or tcp):
+        return parts[0]
+    # What needs reassembly is a small share: it is set aside in one pass over the capture, so
+    # the capture itself is read twice in all, whatever the number of paths.
+    rest = cut_lineage(datagrams.filter(f"is_fragment OR protocol_no = {TCP}"), "reassembly")
+    tcp_segments = on_port(transport(rest.filter("NOT is_fragment")), port)
     if defrag:
-        rebuilt = on_port(transport(reassemble_fragments(datagrams)), port)
+        rebuilt = on_port(transport(reassemble_fragments(rest)), port)
         parts.append(udp_records(rebuilt.filter(f"protocol_no = {UDP}"), mask_v4, mask_v6))
         late = rebuilt.filter(f"protocol_no = {TCP}")
         tcp_segments = tcp_segments.unionByName(late, allowMissingColumns=True)

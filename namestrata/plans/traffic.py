@@ -150,11 +150,15 @@ def _capture(rows: DataFrame, frame_hex) -> DataFrame:
 
 
 def udp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udp_packets_of(load_events(spark, sf_dir))
+
+
+def udp_packets_of(events: DataFrame) -> DataFrame:
     """Every event as a UDP packet: plain, one VLAN tag, two tags, VXLAN or raw IP.
 
     Every 23rd packet is damaged and every 19th uses another port.
     """
-    rows = wired(results(spark, sf_dir))
+    rows = wired(results_of(events))
     e = F.col("seq")
     kinds = ["plain", "vlan", "qinq", "vxlan", "raw"]
     link = F.lit(kinds[0])
@@ -261,8 +265,12 @@ def tcp_packets_of(events: DataFrame) -> DataFrame:
 
 
 def dnstap_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dnstap_frames_of(load_events(spark, sf_dir))
+
+
+def dnstap_frames_of(events: DataFrame) -> DataFrame:
     """Every event as a dnstap frame: query only, response only or both; every 23rd is cut."""
-    rows = wired(results(spark, sf_dir))
+    rows = wired(results_of(events))
     e = F.col("seq")
     has_query, has_response = e % 3 != 1, e % 3 != 0
     sec, nsec = F.unix_seconds("ts"), F.pmod("ts_ns", F.lit(1_000_000_000))
