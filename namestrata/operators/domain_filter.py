@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namestrata.session import cut_lineage
+
 SHORT_LIST = 256
 #: Names up to this many rows in total are joined back by broadcast.
 BROADCAST_NAMES = 200_000
@@ -111,6 +113,7 @@ def matching_names(names: DataFrame, patterns: DataFrame) -> DataFrame:
 def _filter_long(df: DataFrame, column: str, patterns: DataFrame, keep_matches: bool) -> DataFrame:
     names = df.select(F.lower(column).alias("name")).distinct()
     matched = matching_names(names, patterns).withColumnRenamed("name", "__name")
+    matched = cut_lineage(matched, "matched-names")
     # Broadcast only when the matched names are few; otherwise a shuffle join, whose hot
     # names adaptive execution splits (neither semi nor anti join multiplies rows).
     size = matched.limit(BROADCAST_NAMES + 1).count()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namestrata.operators.ordering import arrival_number
+from namestrata.operators.ordering import RANGE, arrival_number
+
+#: Spark ranks inside map tasks up to this limit (its window group limit threshold).
+RANK_LIMIT = 1000
 
 MODES = ("reference_packet", "reference_dnstap", "exact")
 
@@ -157,21 +160,24 @@ def limit_per_flush(
 ) -> DataFrame:
     """At most ``limit`` rows per flush, the earliest first; 0 means no limit.
 
-    A rank filter: Spark ranks within each map task first and only ships the leading
-    ``limit`` rows of every flush.
+    Small limits are a rank filter: Spark ranks within each map task first and only ships the
+    leading rows of every flush. Beyond that size rows are numbered by ranges of ``order``, so
+    a flush of any length is never one task's work.
     """
     if limit < 0:
         raise ValueError("the packet limit cannot be negative")
     if limit == 0:
         return df
-    from pyspark.sql import Window
-
+    if limit > RANK_LIMIT:
+        numbered = arrival_number(df, order, (*by, flush), out="__n")
+        return numbered.filter(F.col("__n") <= limit).drop("__n")
     rank = F.row_number().over(Window.partitionBy(*by, flush).orderBy(order))
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
 
 
-def flush_number(df: DataFrame, size: int, order: str = "seq", out: str = "batch") -> DataFrame:
+def flush_number(
+    df: DataFrame, size: int, order: str = "seq", out: str = "batch", width: int = RANGE
+) -> DataFrame:
     """Number of the flush each row falls into when every ``size`` rows are flushed."""
-    numbered = arrival_number(df, order, out="__n")
-    batch = F.floor((F.col("__n") - 1) / F.lit(size)).cast("bigint")
-    return numbered.withColumn(out, batch).drop("__n")
+    numbered = arrival_number(df, order, width=width, out="__n")
+    return numbered.withColumn(out, F.expr(f"(__n - 1) div {size}")).drop("__n")

@@ -15,6 +15,7 @@ from namestrata.functions.formats import (
     to_event_bytes,
 )
 from namestrata.functions.ip import ip_text
+from namestrata.operators.ordering import RANGE
 from namestrata.operators.rows import explode_questions
 from namestrata.operators.sampling import flush_number
 
@@ -54,7 +55,8 @@ def batched(rows: DataFrame, size: int, opening: str, separator: str, closing: s
     """
     if size < 1:
         raise ValueError("a batch holds at least one record")
-    numbered = flush_number(rows, size, order="__row")
+    # ``__row`` steps by 65 536 per message, so ranges are that much wider.
+    numbered = flush_number(rows, size, order="__row", width=RANGE << 16)
     members = F.array_sort(F.collect_list(F.struct("__row", "value")))
     body = F.array_join(F.transform(members, lambda m: m["value"]), separator)
     packed = F.concat(F.lit(opening), body, F.lit(closing))

@@ -64,6 +64,8 @@ def write_files(
         F.date_format(truncate(rows, "ts", rotate), "yyyyMMddHH").alias("period"),
         format_column(fmt, **options).alias("value"),
     ).filter("value IS NOT NULL")
+    # A period's lines go to a few tasks: few files, and no period is one task's work.
+    lines = lines.repartition("dns_date", "period", F.pmod(F.xxhash64("value"), F.lit(8)))
     header = format_header(fmt)
     writer = lines.write.mode(mode).partitionBy("dns_date", "period").option("compression", compression)
     if header:
