@@ -24,7 +24,7 @@ from namestrata.operators import (
 from namestrata.operators.reassembly import reassemble_fragments, tcp_messages
 from namestrata.plans import traffic
 from namestrata.plans.capture import packets_to_results
-from namestrata.session import shared_dir
+from namestrata.session import cut_lineage, shared_dir
 from namestrata.sinks import frames, tables
 from namestrata.sources import captures, dns_wire, protobuf
 from namestrata.sources.domain_lists import domain_list_from, parse_domain_list
@@ -808,7 +808,8 @@ def all_paths(spark, sf_dir):
         traffic.tcp_packets(spark, sf_dir).withColumn("file", F.lit("tcp")),
     ]
     packets = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    out = packets_to_results(packets)
+    # Stored as a capture would be, so the packets are not derived anew for every path.
+    out = packets_to_results(cut_lineage(packets, "capture"))
     return out.groupBy("protocol", "ip_version").agg(F.count(F.lit(1)).alias("c"))
 
 

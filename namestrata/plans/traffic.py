@@ -45,6 +45,15 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events over all cores, for the derivations that cost far more than a shuffle of them.
+
+    A table that already reads as enough partitions stays as it is.
+    """
+    events, cores = load_events(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
+
+
 def log_of(events: DataFrame) -> DataFrame:
     return events.sparkSession.sql(DNS_LOG_SQL.replace("FROM events", "FROM {events}"), events=events)
 
@@ -130,7 +139,7 @@ def results_of(events: DataFrame) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results_of(load_events(spark, sf_dir))
+    return results_of(spread_events(spark, sf_dir))
 
 
 def wired(rows: DataFrame) -> DataFrame:
@@ -150,7 +159,7 @@ def _capture(rows: DataFrame, frame_hex) -> DataFrame:
 
 
 def udp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return udp_packets_of(load_events(spark, sf_dir))
+    return udp_packets_of(spread_events(spark, sf_dir))
 
 
 def udp_packets_of(events: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def udp_packets_of(events: DataFrame) -> DataFrame:
 
 
 def fragment_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragment_packets_of(load_events(spark, sf_dir))
+    return fragment_packets_of(spread_events(spark, sf_dir))
 
 
 def fragment_packets_of(events: DataFrame) -> DataFrame:
@@ -223,7 +232,7 @@ def fragment_packets_of(events: DataFrame) -> DataFrame:
 
 
 def tcp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tcp_packets_of(load_events(spark, sf_dir))
+    return tcp_packets_of(spread_events(spark, sf_dir))
 
 
 def tcp_packets_of(events: DataFrame) -> DataFrame:
@@ -265,7 +274,7 @@ def tcp_packets_of(events: DataFrame) -> DataFrame:
 
 
 def dnstap_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dnstap_frames_of(load_events(spark, sf_dir))
+    return dnstap_frames_of(spread_events(spark, sf_dir))
 
 
 def dnstap_frames_of(events: DataFrame) -> DataFrame:
