@@ -29,11 +29,15 @@ def get_session(app: str = "namestrata", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder that driver and executors all see.
 
-    Lives below ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder stands in for it.
+    Lives below ``spark.checkpoint.dir``. Where that is unset, a temporary folder stands in
+    for it if the session runs in one process; on a cluster every executor would write to a
+    disk of its own and later reads would miss the rows, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="namestrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
