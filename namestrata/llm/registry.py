@@ -4,10 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from namestrata.llm import compression_bands, prefix_counts, rank_codec
+from namestrata.llm import (
+    compression_bands,
+    fuzzy_simhash,
+    language_id,
+    prefix_counts,
+    rank_codec,
+    substring_dedup,
+)
 from namestrata.llm.batches import documents
 
 
+def op1_substring_dedup(spark, sf_dir):
+    """Words covered by 13-word windows that a smaller document holds."""
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
+def op2_language_id(spark, sf_dir):
+    """Language of every whole text, learned from two folds of three."""
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op5_rank_codec(spark, sf_dir):
     """Ids and round trip of every whole text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +42,21 @@ def op9_compression_bands(spark, sf_dir):
     return compression_bands.quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_rank_codec, op6_prefix_counts, op9_compression_bands)}
+def op10_fuzzy_simhash(spark, sf_dir):
+    """Components of fingerprints within four bits."""
+    return fuzzy_simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_language_id,
+        op5_rank_codec,
+        op6_prefix_counts,
+        op9_compression_bands,
+        op10_fuzzy_simhash,
+    )
+}
 #: None of these can be stated in SQL; tests compare them with brute force and the libraries.
 ORACLES: dict[str, str] = {}
