@@ -24,8 +24,8 @@ from namestrata.session import cut_lineage
 GRAM = 4
 #: Windows in a run at most, so that a bit mask of them is one number.
 RUN = 63
-#: Words of one index.
-SHARD_WORDS = 400_000
+#: Words after which a shard is closed at the next minimizer, and words of an index at most.
+SHARD_WORDS, INDEX_WORDS = 400_000, 1_000_000
 #: Words whose hash a task remembers.
 REMEMBERED = 500_000
 
@@ -185,7 +185,7 @@ def run_words(base: DataFrame, shared: DataFrame, width: int) -> DataFrame:
     return map_slices(joined, start, "key long, content long, doc long, last_doc long, words binary", weight="text")
 
 
-def answer_shard(rows: list[tuple], width: int, per_index: int = SHARD_WORDS) -> list[tuple]:
+def answer_shard(rows: list[tuple], width: int, per_index: int = INDEX_WORDS) -> list[tuple]:
     """(key, content, owners) of the rows (key, content, doc, last_doc, words) of whole keys.
 
     Every run is searched in the index of the shard; if the shard exceeds ``per_index`` words it
@@ -243,7 +243,7 @@ def least_owners(segments: DataFrame, width: int) -> DataFrame:
 
 
 def base_of(docs: DataFrame) -> DataFrame:
-    """Rows that take part, under a key that tells rows with one doc_id but other texts apart."""
+    """Rows under a key that tells rows with one doc_id but other texts apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc"),
@@ -257,9 +257,8 @@ def removable(base: DataFrame, width: int) -> DataFrame:
 
     Bit i of a mask stands for the window of ``width`` words from the first word plus i.
     """
-    named = base.where("doc IS NOT NULL")
-    shared = cut_lineage(shared_runs(named, width), "runs")
-    owners = least_owners(run_words(named, shared, width), width)
+    shared = cut_lineage(shared_runs(base, width), "runs")
+    owners = least_owners(run_words(base, shared, width), width)
     mask = F.expr("aggregate(transform(owners, (o, i) -> if(o < doc, shiftleft(1L, i), 0L)), 0L, (m, b) -> m | b)")
     cuts = shared.where("later").select("key", "content", "doc", "loc").join(owners, ["key", "content"])
     cuts = cuts.select(
@@ -285,9 +284,12 @@ def covered(n: int, cuts: list[dict] | None, width: int) -> np.ndarray | None:
 
 
 def with_cuts(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, text, cuts) of every row. The texts are dealt out by their key once: fetching the
+    words of runs and applying the cuts read the same exchange."""
     base = base_of(docs)
-    cuts = removable(base, width)
-    return base.join(cuts, ["doc", "check"], "left").select("doc", "text", "cuts")
+    named = base.where("doc IS NOT NULL")
+    cut = named.join(removable(named, width), ["doc", "check"], "left").select("doc", "text", "cuts")
+    return cut.unionByName(base.where("doc IS NULL").select("doc", "text"), allowMissingColumns=True)
 
 
 def repeated_passages(docs: DataFrame, width: int = 13) -> DataFrame:
