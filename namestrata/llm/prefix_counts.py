@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 
 import numpy as np
 import regex
@@ -169,6 +170,12 @@ class PrefixCounter:
         return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
 
 
+@cache
+def prefix_counter(path: str, pattern: str) -> PrefixCounter:
+    """One for all tasks of a worker, so that words stay remembered."""
+    return PrefixCounter(path, pattern)
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """Bytes, tokens and whether the tokens exceed ``limit``, for every row of ``docs``.
 
@@ -177,7 +184,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     """
 
     def start():
-        counter = PrefixCounter(path, pattern)
+        counter = prefix_counter(path, pattern)
 
         def step(piece):
             texts = [t or b"" for t in piece.column("text").to_pylist()]
@@ -198,7 +205,7 @@ def truncate(docs: DataFrame, path: str, pattern: str, budget: int) -> DataFrame
     """(doc_id, text, n_tokens): each text's longest prefix of at most ``budget`` tokens."""
 
     def start():
-        counter = PrefixCounter(path, pattern)
+        counter = prefix_counter(path, pattern)
 
         def step(piece):
             texts = [(t or b"").decode("utf-8", "replace") for t in piece.column("text").to_pylist()]

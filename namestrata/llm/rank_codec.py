@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
 
 import numpy as np
 import tiktoken
@@ -59,6 +60,12 @@ class RankCodec:
         return self.encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
 
 
+@cache
+def codec(path: str, pattern: str) -> RankCodec:
+    """One for all tasks of a worker, so that words stay remembered."""
+    return RankCodec(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Token count and digests of ids and decoded bytes for every row of ``docs``.
 
@@ -68,15 +75,15 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     """
 
     def start():
-        codec = RankCodec(path, pattern)
+        own = codec(path, pattern)
 
         def step(piece):
             rows = []
             for text in piece.column("text").to_pylist():
-                ids = codec.encode(text.decode("utf-8", "replace")) if text else b""
+                ids = own.encode(text.decode("utf-8", "replace")) if text else b""
                 digest, back = hashlib.sha256(ids), hashlib.sha256()
                 for i in range(0, len(ids), 4 * PIECE):
-                    back.update(codec.decode(ids[i : i + 4 * PIECE]))
+                    back.update(own.decode(ids[i : i + 4 * PIECE]))
                 row = len(ids) // 4, digest.hexdigest(), back.hexdigest()
                 rows.append((*row, ids) if with_ids else row)
             return [piece.column("doc_id"), *zip(*rows, strict=True)]
@@ -95,10 +102,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) to (doc_id, bytes): the raw bytes, which need not be valid UTF-8."""
 
     def start():
-        codec = RankCodec(path, pattern)
+        own = codec(path, pattern)
 
         def step(piece):
-            return [piece.column("doc_id"), [codec.decode(x) if x else b"" for x in piece.column("ids").to_pylist()]]
+            return [piece.column("doc_id"), [own.decode(x) if x else b"" for x in piece.column("ids").to_pylist()]]
 
         return step
 
