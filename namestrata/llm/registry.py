@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 
 from namestrata.llm import (
+    combination_packing,
     compression_bands,
     fuzzy_simhash,
     language_id,
     prefix_counts,
     rank_codec,
     substring_dedup,
+    suffix_tree_lm,
 )
 from namestrata.llm.batches import documents
 
@@ -37,6 +39,16 @@ def op6_prefix_counts(spark, sf_dir):
     return prefix_counts.count_tokens(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op7_combination_packing(spark, sf_dir):
+    """All documents in windows of 2048 tokens."""
+    return combination_packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_suffix_tree_lm(spark, sf_dir):
+    """Base and tree score of every whole text, learned from four folds of five."""
+    return suffix_tree_lm.score(documents(spark, sf_dir))
+
+
 def op9_compression_bands(spark, sf_dir):
     """Quality verdict on every whole text."""
     return compression_bands.quality(documents(spark, sf_dir))
@@ -54,6 +66,8 @@ QUERIES = {
         op2_language_id,
         op5_rank_codec,
         op6_prefix_counts,
+        op7_combination_packing,
+        op8_suffix_tree_lm,
         op9_compression_bands,
         op10_fuzzy_simhash,
     )
