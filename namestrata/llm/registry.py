@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
 from namestrata.llm import (
     combination_packing,
     compression_bands,
@@ -59,6 +60,11 @@ def op10_fuzzy_simhash(spark, sf_dir):
     return fuzzy_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +76,7 @@ QUERIES = {
         op8_suffix_tree_lm,
         op9_compression_bands,
         op10_fuzzy_simhash,
+        pipeline,
     )
 }
 #: None of these can be stated in SQL; tests compare them with brute force and the libraries.

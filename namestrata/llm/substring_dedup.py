@@ -8,6 +8,7 @@ document is streamed only through the shards that can answer it.
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import compress
 
 import numpy as np
@@ -325,3 +326,57 @@ def repeated_passages(docs: DataFrame, width: int = 13) -> DataFrame:
         "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<at: bigint, n: bigint>>",
         weight="text",
     )
+
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the marked words and the white space after each."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
+    out, at = [], 0
+    for a, b in zip(edges[::2], edges[1::2]):
+        out.append(text[at : starts[a]])
+        at = starts[b]
+    return b"".join([*out, text[at:]])
+
+
+def drop_repeated_passages(docs: DataFrame, width: int = 13) -> DataFrame:
+    """The rows of ``docs``, all columns, with the words that ``repeated_passages`` removes cut out
+    of their texts. Rows that lose all their words go; rows that lose none stay as they are.
+    ``n_chars``, if there is such a column, follows the text.
+    """
+    base = base_of(docs)
+    cuts = removable(base.where("doc IS NOT NULL"), width).withColumnsRenamed(
+        {"doc": "__doc", "check": "__check", "cuts": "__cuts"}
+    )
+    check = F.expr("cast(xxhash64(coalesce(text, '')) & 65535 as long)")
+    keyed = docs.withColumn("__check1", check).withColumn("__text", F.col("text").cast("binary"))
+    joined = keyed.join(
+        cuts, (keyed["doc_id"].cast("long") == F.col("__doc")) & (F.col("__check1") == F.col("__check")), "left"
+    )
+    joined = joined.select(*docs.columns, "__text", "__cuts")
+    names, at = docs.columns, docs.columns.index("text")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+
+    def start():
+        def step(piece):
+            texts, keep, changed = [], [], []
+            for text, cut in zip(piece.column("__text").to_pylist(), piece.column("__cuts").to_pylist()):
+                gone = covered(len(text.split()), cut, width) if cut else None
+                changed.append(gone is not None)
+                keep.append(gone is None or not gone.all())
+                texts.append(without(text, gone) if gone is not None else text)
+            columns = list(piece.drop_columns(["__text", "__cuts"]).columns)
+            columns[at] = pa.array(texts, type=pa.binary()).cast(pa.string())
+            rows = pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*names, "__changed"])
+            return list(rows.filter(keep).columns)
+
+        return step
+
+    out = map_slices(joined, start, ", ".join([*kinds, "`__changed` boolean"]), weight="__text")
+    if "n_chars" in docs.columns:
+        own = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), own).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
