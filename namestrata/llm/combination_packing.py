@@ -6,17 +6,15 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from namestrata.llm.batches import map_slices, text_bytes
-from namestrata.llm.words import WordMemo
+from namestrata.llm.rank_codec import RankCodec, file_codec
 from namestrata.session import cut_lineage
 
 WINDOW = 2048
@@ -29,35 +27,24 @@ ROUNDS = 400
 WASTE = 8
 
 
-class Encoder:
-    """Ids as the tokenizer file at ``path`` gives them, no tokens added; special strings inside
-    a text are handled as the library does by default."""
+def ids_of(codec: RankCodec, text: bytes | None) -> np.ndarray:
+    return np.frombuffer(codec.encode(text.decode("utf-8", "replace")) if text else b"", dtype="<u4")
 
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo = WordMemo(self._parts)
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        # One call for the whole list; its own threads would compete with other tasks.
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(b"".join(v) for v in self.memo.values(text)), dtype=self.kind)
+def crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker, so that words stay remembered."""
-    return Encoder(path)
+def narrowed(ids: np.ndarray) -> bytes:
+    """Ids for storage: 16-bit numbers after a zero byte if all fit, else 32-bit ones after a one."""
+    return b"\0" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\1" + ids.tobytes()
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], dtype="<u4" if data[0] else "<u2").astype("<u4")
 
 
-def whole_pieces(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataFrame:
+def whole_pieces(docs: DataFrame, path: str, pattern: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """The documents' ids, ``end_id`` after each, as full windows and one shorter rest.
 
     ``rank`` numbers the pieces of a length within a task (``part``), ``row`` all of its pieces.
@@ -66,18 +53,17 @@ def whole_pieces(docs: DataFrame, path: str, end_id: int, window: int = WINDOW)
 
     def start():
         part, ranks, row = TaskContext.get().partitionId(), Counter(), 0
-        tool = encoder(path)
+        codec = file_codec(path, pattern)
 
         def step(piece):
             nonlocal row
             out = []
             for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
-                ids = tool.ids(text.decode("utf-8", "replace")) if text else np.zeros(0, tool.kind)
-                ids = np.append(ids, tool.kind.type(end_id))
+                ids = np.append(ids_of(codec, text), np.uint32(end_id))
                 for at in range(0, len(ids), window):
                     own = ids[at : at + window]
                     n = len(own)
-                    out.append((part, row, ranks[n], doc, at, n, crc(own), len(ids), own.tobytes() if n < window else None))
+                    out.append((part, row, ranks[n], doc, at, n, crc(own), len(ids), narrowed(own) if n < window else None))
                     ranks[n] += 1
                     row += 1
             return list(zip(*out))
@@ -242,14 +228,14 @@ def placed(pieces: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def halves(cut: DataFrame, kind: np.dtype) -> DataFrame:
+def halves(cut: DataFrame) -> DataFrame:
     """Both parts of the pieces that run over their window, with the checks of their own ids."""
 
     def start():
         def step(piece):
             out = []
             for r in piece.to_pylist():
-                ids = np.frombuffer(r["ids"], dtype=kind)
+                ids = widened(r["ids"])
                 for a, b, sequence, offset in (
                     (0, r["cut"], r["sequence_id"], r["offset"]),
                     (r["cut"], len(ids), r["sequence_id"] + 1, 0),
@@ -267,10 +253,11 @@ RESULT = (
 )
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row per piece.
 
-    Every document gives its ids and ``end_id``; null text counts as empty and gives ``end_id``
+    Every document gives its ids by the ``tokenizers`` file at ``path`` (``pattern`` is its
+    pre-splitting) and ``end_id``; null text counts as empty and gives ``end_id``
     alone. Full windows are sequences of their own; rests are combined. Documents are cut only at
     full windows and where a line of pieces that nothing completes runs over its window.
     A null doc_id stays null; repeated rows are packed each; other columns are ignored. Sequence
@@ -279,7 +266,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> D
 
     What reaches the driver is the histogram of at most ``window`` lengths.
     """
-    pieces = cut_lineage(whole_pieces(docs, path, end_id, window), "pieces")
+    pieces = cut_lineage(whole_pieces(docs, path, pattern, end_id, window), "pieces")
     histogram = np.zeros(window + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]
@@ -288,5 +275,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> D
     columns = [c.split(" ")[0] for c in RESULT.split(", ")]
     kept = narrow.where("cut IS NULL").withColumn("length", F.col("length").cast("long")).select(*columns)
     torn = narrow.where("cut IS NOT NULL").join(pieces.select("part", "row", "ids"), ["part", "row"])
-    vocabulary = Tokenizer.from_file(path).get_vocab_size()
-    return kept.union(halves(torn, np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")))
+    return kept.union(halves(torn))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namestrata.llm.batches import map_slices, text_bytes
+from namestrata.llm.rank_codec import byte_alphabet
 from namestrata.llm.words import SPACES, WHITE, WordMemo
 
 #: Pairs of tokens and matches remembered by a task.
@@ -22,14 +23,6 @@ def exact_spaces(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use for bytes, as a rule: printable
-    Latin-1 stands for itself, the other bytes take the characters from 256 on in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class PrefixCounter:
     """Token counts as the tokenizer file at ``path`` gives them (byte-level BPE, special strings
     cut out first).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from functools import cache
 
 import numpy as np
@@ -24,6 +25,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins that byte-level vocabularies use for bytes, as a rule: printable
+    Latin-1 stands for itself, the other bytes take the characters from 256 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def file_ranks(path: str) -> dict[str, dict]:
+    """Ranks and special strings of a byte-level BPE file of the ``tokenizers`` library.
+
+    Its ids serve as ranks, which holds if its merges make the ids in order; anything else is
+    refused.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    plain = spec["model"]["type"] == "BPE" and spec["normalizer"] is None and not spec["model"]["dropout"]
+    letters = byte_alphabet()
+    vocab = spec["model"]["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    if not plain or spec["pre_tokenizer"]["type"] != "ByteLevel" or made != sorted(made):
+        raise ValueError(f"{path} is no byte-level BPE whose ids follow its merges")
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return {"ranks": ranks, "special": special}
+
+
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit numbers."""
     return np.array(ids, dtype="<u4").tobytes()
@@ -32,8 +61,13 @@ def packed(ids: list[int]) -> bytes:
 class RankCodec:
     """The library's encoding of whole texts, with words it has met before remembered."""
 
-    def __init__(self, path: str, pattern: str):
-        self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None):
+        self.special = special or {}
+        if any(SPACES.search(s) for s in self.special):
+            raise ValueError("texts are cut before white space, so special strings must hold none")
+        self.encoding = tiktoken.Encoding(
+            "local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special
+        )
         self.memo = WordMemo(lambda parts: [self._part(p) for p in parts])
 
     def encode(self, text: str) -> bytes:
@@ -54,6 +88,8 @@ class RankCodec:
         return b"".join(out)
 
     def _matched(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return packed(self.encoding.encode(text, allowed_special="all"))
         return packed(self.encoding.encode_ordinary(text)) if text else b""
 
     def decode(self, ids: bytes) -> bytes:
@@ -63,7 +99,13 @@ class RankCodec:
 @cache
 def codec(path: str, pattern: str) -> RankCodec:
     """One for all tasks of a worker, so that words stay remembered."""
-    return RankCodec(path, pattern)
+    return RankCodec(load_ranks(path), pattern)
+
+
+@cache
+def file_codec(path: str, pattern: str) -> RankCodec:
+    """A codec for a tokenizer file of the ``tokenizers`` library, with its special strings."""
+    return RankCodec(pattern=pattern, **file_ranks(path))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import corpus_pipeline
 from namestrata.llm import (
     combination_packing,
     compression_bands,
+    flow_resharding,
     fuzzy_simhash,
     language_id,
     prefix_counts,
@@ -28,6 +29,11 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op4_flow_resharding(spark, sf_dir):
+    """All documents into 24 shards of near equal bytes."""
+    return flow_resharding.reshard(documents(spark, sf_dir))
+
+
 def op5_rank_codec(spark, sf_dir):
     """Ids and round trip of every whole text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,7 +48,9 @@ def op6_prefix_counts(spark, sf_dir):
 
 def op7_combination_packing(spark, sf_dir):
     """All documents in windows of 2048 tokens."""
-    return combination_packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return combination_packing.pack(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
 
 
 def op8_suffix_tree_lm(spark, sf_dir):
@@ -70,6 +78,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup,
         op2_language_id,
+        op4_flow_resharding,
         op5_rank_codec,
         op6_prefix_counts,
         op7_combination_packing,

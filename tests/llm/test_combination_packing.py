@@ -55,12 +55,12 @@ def test_round_trip(spark, window):
     docs += [(500 + i, "same text here", 1, "x") for i in range(90)]
     docs += [(900, None, 1, "x"), (901, "", 1, "x"), (902, "long " * 30000, None, None), (903, "z" * 5000, 1, "x")]
     docs += [docs[7], docs[7], (None, "no id", 1, "x"), (7, "other text", 1, "x")]
-    rows = pack(spark.createDataFrame(docs, SCHEMA).repartition(5), PATH, window=window).collect()
+    rows = pack(spark.createDataFrame(docs, SCHEMA).repartition(5), PATH, public_tokenizers.PATTERN, window=window).collect()
     check(rows, docs, window)
 
 
 def test_empty_table(spark):
-    assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+    assert pack(spark.createDataFrame([], SCHEMA), PATH, public_tokenizers.PATTERN).count() == 0
 
 
 def test_solver_meets_a_histogram_it_can_meet():
