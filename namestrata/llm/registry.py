@@ -10,6 +10,7 @@ from namestrata.llm import (
     compression_bands,
     flow_resharding,
     fuzzy_simhash,
+    graph_search,
     language_id,
     prefix_counts,
     rank_codec,
@@ -29,6 +30,11 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op3_graph_search(spark, sf_dir):
+    """The 20 nearest of every twentieth vector."""
+    return graph_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_flow_resharding(spark, sf_dir):
     """All documents into 24 shards of near equal bytes."""
     return flow_resharding.reshard(documents(spark, sf_dir))
@@ -78,6 +84,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup,
         op2_language_id,
+        op3_graph_search,
         op4_flow_resharding,
         op5_rank_codec,
         op6_prefix_counts,
