@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from namestrata.session import cut_lineage
 
+#: Lists up to this length are one expression; both forms give one answer for any list.
 SHORT_LIST = 256
-#: Names up to this many rows in total are joined back by broadcast.
-BROADCAST_NAMES = 200_000
 
 NONE, ALL, SKIP, ALLOW, BOTH = 0, 1, 2, 3, 4
 
@@ -114,11 +113,10 @@ def _filter_long(df: DataFrame, column: str, patterns: DataFrame, keep_matches:
     names = df.select(F.lower(column).alias("name")).distinct()
     matched = matching_names(names, patterns).withColumnRenamed("name", "__name")
     matched = cut_lineage(matched, "matched-names")
-    # Broadcast only when the matched names are few; otherwise a shuffle join, whose hot
-    # names adaptive execution splits (neither semi nor anti join multiplies rows).
-    size = matched.limit(BROADCAST_NAMES + 1).count()
-    side = F.broadcast(matched) if size <= BROADCAST_NAMES else matched
-    return df.join(side, F.lower(df[column]) == side["__name"], "left_semi" if keep_matches else "left_anti")
+    # Adaptive execution picks the join by the bytes of the matched names and splits hot names;
+    # neither semi nor anti join multiplies rows.
+    on = F.lower(df[column]) == matched["__name"]
+    return df.join(matched, on, "left_semi" if keep_matches else "left_anti")
 
 
 def filter_domains(
@@ -133,6 +131,7 @@ def filter_domains(
 
     0 keeps nothing, 1 everything, 2 drops skip-list matches, 3 keeps allow-list matches
     (an empty or missing list keeps nothing), 4 does both; any other mode keeps nothing.
+    A NULL name matches no list: skip lists keep it, allow lists drop it.
     """
     if mode == ALL:
         return df
@@ -141,23 +140,27 @@ def filter_domains(
     out = df
     if mode in (SKIP, BOTH):
         plain = short_list(skip, short)
-        out = out.filter(~plain.matches(F.col(column))) if plain else _filter_long(out, column, skip, False)
+        out = out.filter(~known(plain.matches(F.col(column)))) if plain else _filter_long(out, column, skip, False)
     if mode in (ALLOW, BOTH):
         plain = short_list(allow, short)
         out = out.filter(plain.matches(F.col(column))) if plain else _filter_long(out, column, allow, True)
     return out
 
 
+def known(match: Column) -> Column:
+    return F.coalesce(match, F.lit(False))
+
+
 def rejected(name: Column, mode: int, skip: ShortList, allow: ShortList) -> Column:
     """Whether a mode rejects a name, as an expression (short lists only)."""
     if mode == ALL:
         return F.lit(False)
     if mode == SKIP:
-        return skip.matches(name)
+        return known(skip.matches(name))
     if mode == ALLOW:
-        return ~allow.matches(name)
+        return ~known(allow.matches(name))
     if mode == BOTH:
-        return skip.matches(name) | ~allow.matches(name)
+        return known(skip.matches(name)) | ~known(allow.matches(name))
     return F.lit(True)
 
 
@@ -165,18 +168,23 @@ def filter_messages(
     results: DataFrame, mode: int, skip: DataFrame | None = None, allow: DataFrame | None = None,
     short: int = SHORT_LIST,
 ) -> DataFrame:
-    """Drop a whole message when any of its questions is rejected; none at all passes."""
+    """Drop a whole message when any of its questions is rejected; none at all passes.
+
+    With a long list the messages are stored under a number of their own, as no column tells
+    them apart over captures and streams.
+    """
     skips, allows = short_list(skip, short), short_list(allow, short)
     if skips and allows:
         return results.filter(
             ~F.exists("dns.question", lambda q: rejected(q["name"], mode, skips, allows))
         )
-    asked = results.select("seq", F.explode("dns.question.name").alias("name"))
+    stored = cut_lineage(results.withColumn("__message", F.monotonically_increasing_id()), "messages")
+    asked = stored.select("__message", F.explode("dns.question.name").alias("name"))
     kept = filter_domains(asked, mode, skip, allow, "name", short)
-    total = asked.groupBy("seq").agg(F.count(F.lit(1)).alias("__asked"))
-    passed = kept.groupBy("seq").agg(F.count(F.lit(1)).alias("__passed"))
-    bad = total.join(passed, "seq", "left").filter("coalesce(__passed, 0) < __asked")
-    return results.join(bad.select("seq"), "seq", "left_anti")
+    total = asked.groupBy("__message").agg(F.count(F.lit(1)).alias("__asked"))
+    passed = kept.groupBy("__message").agg(F.count(F.lit(1)).alias("__passed"))
+    bad = total.join(passed, "__message", "left").filter("coalesce(__passed, 0) < __asked")
+    return stored.join(bad.select("__message"), "__message", "left_anti").drop("__message")
 
 
 def with_questions(results: DataFrame) -> DataFrame:

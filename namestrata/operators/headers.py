@@ -21,13 +21,17 @@ CARRIED = ["file", "seq", "ts", "ts_ns"]
 def _layer3(df: DataFrame, data: str, ethernet: Column) -> DataFrame:
     """Add ``l3`` (offset of the IP header) and ``family`` (4, 6 or NULL).
 
-    802.1q tags of any depth are skipped by matching them on the hex text. Without an
-    Ethernet header the first nibble tells the family.
+    802.1q tags of any depth are skipped: the first four bytes that are none end them; only
+    tagged packets are looked at that far. Without an Ethernet header the first nibble tells
+    the family.
     """
     head = F.hex(F.substring(data, 13, 2))
     tagged = head.isin("8100", "88A8")
-    tags = F.regexp_extract(F.hex(F.substring(data, 13, 256)), "^((?:8100|88A8)[0-9A-F]{4})+", 0)
-    skipped = F.when(tagged, (F.length(tags) / 2).cast("int")).otherwise(0)
+    places = F.expr(f"sequence(0, greatest(0, (octet_length({data}) - 12) div 4 + 1))")
+    plain = F.filter(
+        places, lambda i: ~F.hex(slice_bytes(F.col(data), i.cast("int") * 4 + 12, 2)).isin("8100", "88A8")
+    )
+    skipped = F.when(tagged, F.get(plain, F.lit(0)).cast("int") * 4).otherwise(0)
     df = df.withColumn("l3", F.when(ethernet, skipped + 14).otherwise(0))
     ethertype = F.hex(slice_bytes(F.col(data), F.col("l3") - 2, F.lit(2)))
     nibble = F.substring(F.hex(F.substring(data, 1, 1)), 1, 1)
@@ -56,7 +60,7 @@ def _unwrap_vxlan(df: DataFrame) -> DataFrame:
     inner = F.col("family").isNotNull() & (protocol == UDP) & (port == VXLAN_PORT)
     inner = inner & carried.isin("0800", "86DD", "8100", "88A8")
     df = df.withColumn("wrapped", F.coalesce(inner, F.lit(False)))
-    frame = F.when(F.col("wrapped"), slice_bytes(data, F.col("l4") + 16, F.lit(1 << 17)))
+    frame = F.when(F.col("wrapped"), slice_bytes(data, F.col("l4") + 16, F.octet_length(data)))
     return df.withColumn("frame", frame.otherwise(data)).drop("l3", "l4", "family")
 
 
@@ -154,15 +158,18 @@ def default_traffic(datagrams: DataFrame) -> DataFrame:
     return datagrams.filter(plain | ((F.col("ip_version") == 6) & F.col("is_fragment")))
 
 
-def transport(datagrams: DataFrame) -> DataFrame:
-    """UDP and TCP header fields of unfragmented or reassembled datagrams."""
+def transport_fields(datagrams: DataFrame) -> DataFrame:
+    """UDP and TCP header fields of every row, and ``transport_ok``: whether they are whole.
+
+    ``payload`` becomes the body where they are. Rows of other protocols are not ok.
+    """
     data = F.col("payload")
     udp, tcp = F.col("protocol_no") == UDP, F.col("protocol_no") == TCP
     rows = compute_once(
-        datagrams.filter(udp | tcp),
+        datagrams,
         {
-            "src_port": uint(data, 0, 2),
-            "dst_port": uint(data, 2, 2),
+            "src_port": F.when(udp | tcp, uint(data, 0, 2)),
+            "dst_port": F.when(udp | tcp, uint(data, 2, 2)),
             "udp_length": F.when(udp, uint(data, 4, 2)),
             "tcp_seq": F.when(tcp, uint(data, 4, 4)),
             "tcp_header": F.when(tcp, F.shiftright(uint(data, 12, 1), 4) * 4),
@@ -172,14 +179,26 @@ def transport(datagrams: DataFrame) -> DataFrame:
     ok = (udp & ((F.col("udp_length") >= 8) | (F.col("udp_length") == 0))) | (
         tcp & (F.col("tcp_header") >= 20) & (F.col("tcp_header") <= F.octet_length(data))
     )
-    limit = F.when(udp & (F.col("udp_length") > 0), F.col("udp_length") - 8).otherwise(1 << 17)
+    ok = F.coalesce(F.col("dst_port").isNotNull() & ok, F.lit(False))
+    limit = F.when(udp & (F.col("udp_length") > 0), F.col("udp_length") - 8).otherwise(F.octet_length(data))
     start = F.when(udp, F.lit(8)).otherwise(F.col("tcp_header"))
-    body = slice_bytes(data, start, limit)
-    return (
-        rows.filter(F.col("dst_port").isNotNull() & ok)
-        .withColumn("payload", body)
-        .drop("udp_length", "tcp_header")
-    )
+    body = F.when(ok, slice_bytes(data, start, limit)).otherwise(data)
+    return compute_once(rows, {"transport_ok": ok, "payload": body})
+
+
+def transport(datagrams: DataFrame) -> DataFrame:
+    """UDP and TCP header fields of unfragmented or reassembled datagrams."""
+    known = datagrams.filter(F.col("protocol_no").isin(UDP, TCP))
+    rows = transport_fields(known).filter("transport_ok")
+    return rows.drop("udp_length", "tcp_header", "transport_ok")
+
+
+def with_layer_errors(datagrams: DataFrame) -> DataFrame:
+    """Header fields of every row with ``layer_error``: the IP error, or a broken UDP or TCP header."""
+    rows = transport_fields(datagrams)
+    broken = F.col("protocol_no").isin(UDP, TCP) & ~F.col("is_fragment") & ~F.col("transport_ok")
+    error = F.coalesce("error", F.when(broken, "bad transport header"))
+    return rows.withColumn("layer_error", error).drop("udp_length", "tcp_header", "transport_ok", "error")
 
 
 def on_port(df: DataFrame, port: int = 53) -> DataFrame:

@@ -19,10 +19,14 @@ def loss_percent(dropped: Column, captured: Column) -> Column:
     return F.try_divide(dropped.cast("double") * 100.0, captured.cast("double"))
 
 
-def decoding_counts(decoded: DataFrame, error: str = "error") -> DataFrame:
-    """One row: all rows, decoding errors and their share."""
+def decoding_counts(decoded: DataFrame) -> DataFrame:
+    """One row: all rows, header errors (``layer_error``) and their share, and apart from these the
+    messages that could not be unpacked (``error``)."""
+    broken, unread = F.col("layer_error").isNotNull(), F.col("error").isNotNull()
     out = decoded.agg(
-        F.count(F.lit(1)).alias("packetsCaptured"), F.count_if(F.col(error).isNotNull()).alias("decodingErrors")
+        F.count(F.lit(1)).alias("packetsCaptured"),
+        F.count_if(broken).alias("decodingErrors"),
+        F.count_if(~broken & unread).alias("unpackErrors"),
     )
     return out.withColumn("errorPercent", loss_percent(F.col("decodingErrors"), F.col("packetsCaptured")))
 

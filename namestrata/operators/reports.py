@@ -25,19 +25,27 @@ def since(df: DataFrame, column: str, as_of, hours: int, day_column: str | None
     return df.filter(F.col(column) > bound)
 
 
-def new_domains(log: DataFrame, as_of=None, recent_days: int = 1, baseline_days: int = 10) -> DataFrame:
+def new_domains(
+    log: DataFrame, as_of=None, recent_days: int = 1, baseline_days: int = 10, day_column: str | None = None
+) -> DataFrame:
     """Questions of the recent days that the baseline days before did not have.
 
-    Both sides are reduced to distinct names before the join, so a name that fills a
-    third of the log is one row by the time it is shuffled for the join.
+    One scan: each name is reduced to whether either span has it before the shuffle. The bounds
+    stand on the bare time, and on ``day_column`` where the log is partitioned by one, so older
+    files and folders are not read.
     """
     now = as_time(as_of)
     day = truncate(log, "PacketTime", "day")
     recent_from = now - F.expr(f"INTERVAL {int(recent_days)} DAYS")
     base_from = now - F.expr(f"INTERVAL {int(baseline_days)} DAYS")
-    recent = log.filter(day > recent_from).select("Question").distinct()
-    baseline = log.filter((day < recent_from) & (day > base_from)).select("Question").distinct()
-    return recent.join(baseline, "Question", "left_anti")
+    # A day after the bound begins after it, so its rows are later than the bound too.
+    rows = log.filter((F.col("PacketTime") > base_from) & F.col("Question").isNotNull())
+    if day_column:
+        rows = rows.filter(F.col(day_column) >= base_from.cast("date"))
+    spans = rows.groupBy("Question").agg(
+        F.max(day > recent_from).alias("recent"), F.max((day < recent_from) & (day > base_from)).alias("before")
+    )
+    return spans.filter("recent AND NOT before").select("Question")
 
 
 def request_timeline(log: DataFrame) -> DataFrame:
@@ -50,14 +58,14 @@ def request_timeline(log: DataFrame) -> DataFrame:
 
 
 def distinct_domains(domain_count: DataFrame, as_of=None, hours: int = 24) -> DataFrame:
-    """Names seen in the last hours, from the domain-count rollup."""
-    return since(domain_count, "t", as_of, hours).select("Question").distinct()
+    """Names seen in the last hours, from the domain-count rollup, whose day prunes its folders."""
+    return since(domain_count, "t", as_of, hours, "DnsDate").select("Question").distinct()
 
 
 def count_distinct_domains(
     domain_count: DataFrame, as_of=None, hours: int = 24, approximate: bool = False
 ) -> DataFrame:
-    rows = since(domain_count, "t", as_of, hours)
+    rows = since(domain_count, "t", as_of, hours, "DnsDate")
     measure = F.approx_count_distinct if approximate else F.count_distinct
     return rows.agg(measure("Question").alias("domains"))
 

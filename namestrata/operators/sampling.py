@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namestrata.operators.ordering import RANGE, arrival_number
-
-#: Spark ranks inside map tasks up to this limit (its window group limit threshold).
-RANK_LIMIT = 1000
+from namestrata.operators.ordering import RANGE, arrival_number, same_keys
 
 MODES = ("reference_packet", "reference_dnstap", "exact")
 
@@ -118,21 +115,19 @@ def drop_copies(
 ) -> DataFrame:
     """Keep the first copy of equal packets per tumbling window of ``seconds``.
 
-    The first copy is a ``min_by`` aggregate: every map task reduces its copies to one
-    row before the shuffle, so a packet repeated a billion times costs one row per task.
+    ``order`` is unique within ``by``. Only the keys are aggregated, to the least order of
+    those that occur more than once; a packet repeated a billion times costs one row per task
+    there. The packets meet these keys in a join, which adaptive execution turns into a
+    broadcast where the copies are few and splits where one key is hot.
     """
     columns = packets.columns
     slot = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(seconds * 1_000_000))
-    keyed = packets.select(
-        *[F.col(c).alias(f"__by_{c}") for c in by],
-        slot.alias("__slot"),
-        packet_hash(F.col(data), exact_hash).alias("__hash"),
-        F.col(order).alias("__order"),
-        F.struct(*columns).alias("__row"),
-    )
-    keys = [f"__by_{c}" for c in by] + ["__slot", "__hash"]
-    first = keyed.groupBy(*keys).agg(F.min_by("__row", "__order").alias("__row"))
-    return first.select("__row.*")
+    keyed = packets.withColumns({"__slot": slot, "__hash": packet_hash(F.col(data), exact_hash)})
+    keys = [*by, "__slot", "__hash"]
+    counted = keyed.groupBy(*keys).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    firsts = counted.filter("__n > 1").select(*[F.col(k).alias(f"__at_{k}") for k in keys], "__first")
+    joined = keyed.join(firsts, same_keys(keys), "left")
+    return joined.filter(F.col("__first").isNull() | (F.col(order) == F.col("__first"))).select(*columns)
 
 
 def sample_then_drop_copies(
@@ -160,19 +155,15 @@ def limit_per_flush(
 ) -> DataFrame:
     """At most ``limit`` rows per flush, the earliest first; 0 means no limit.
 
-    Small limits are a rank filter: Spark ranks within each map task first and only ships the
-    leading rows of every flush. Beyond that size rows are numbered by ranges of ``order``, so
+    Rows are numbered by ranges of ``order``, a BIGINT that is unique within ``by`` and flush, so
     a flush of any length is never one task's work.
     """
     if limit < 0:
         raise ValueError("the packet limit cannot be negative")
     if limit == 0:
         return df
-    if limit > RANK_LIMIT:
-        numbered = arrival_number(df, order, (*by, flush), out="__n")
-        return numbered.filter(F.col("__n") <= limit).drop("__n")
-    rank = F.row_number().over(Window.partitionBy(*by, flush).orderBy(order))
-    return df.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
+    numbered = arrival_number(df, order, (*by, flush), out="__n")
+    return numbered.filter(F.col("__n") <= limit).drop("__n")
 
 
 def flush_number(

@@ -78,7 +78,8 @@ def _rollup(name: str, grain: str | None = None) -> str:
 for _name in _ROLLUPS:
     ORACLES[_name] = _rollup(_name)
     ORACLES[f"{_name}_by_day"] = _rollup(_name, "day")
-ORACLES["R12_stored_grain"] = _rollup("R3_protocol", "ms")
+for _name in ("R2_domain_unique", "R3_protocol", "R4_general", "R5_edns", "R6_opcode"):
+    ORACLES[f"R12_stored_{_name}"] = _rollup(_name, "second")
 ORACLES["R13_merge_states"] = _rollup("R4_general", "day")
 ORACLES["R13_merge_counts"] = _rollup("R7_type", "day")
 ORACLES["R13_merge_sketches"] = _sql(
@@ -129,6 +130,10 @@ _BODIES = {
         OR starts_with(name, 'alt.'))""",
     "F13_per_message": f"""SELECT seq FROM res WHERE seq NOT IN (SELECT seq FROM q
         WHERE {IS_SKIP.format('name')} OR starts_with(name, 'alt.'))""",
+    "F13_long_list": f"""SELECT seq // 2 AS seq, id, count(*) AS c FROM res WHERE seq NOT IN (SELECT seq FROM q
+        WHERE {IS_SKIP.format('name')} OR starts_with(name, 'alt.')) GROUP BY 1, 2""",
+    "F12_long_list": f"""SELECT seq // 2 AS seq, name FROM q WHERE NOT ({IS_SKIP.format('name')}
+        OR starts_with(name, 'alt.'))""",
     "F14_event_output_unfiltered": "SELECT seq FROM res",
     "F15_bulk_output_unfiltered": "SELECT seq FROM res",
     "F16_with_questions": "SELECT seq FROM res WHERE has_q",
@@ -154,8 +159,8 @@ _KEPT = {
 for _name, _keep in _KEPT.items():
     _BODIES[_name] = f"SELECT seq, Server FROM (SELECT seq, Server, {_NUMBERED}) WHERE {_keep}"
 
-_COPIES = """, copies AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n, row_number() OVER (
-  PARTITION BY CAST(PacketTime AS DATE), Type, Protocol, lower(Question) ORDER BY seq) AS copy FROM dns_log)
+_COPIES = """, copies AS (SELECT seq, row_number() OVER (PARTITION BY seq % 2 ORDER BY seq) AS n, row_number() OVER (
+  PARTITION BY seq % 2, CAST(PacketTime AS DATE), Type, Protocol, left(Question, 1) ORDER BY seq) AS copy FROM dns_log)
  SELECT seq FROM copies WHERE copy = 1"""
 _BODIES["F6_drop_copies"] = _COPIES
 _BODIES["F6_drop_copies_exact_hash"] = _COPIES
@@ -382,8 +387,9 @@ _BODIES |= {
     "D12_D13_tcp_messages": "SELECT seq AS event, id, 3 AS messages FROM res",
     "D6_tcp_records": f"""SELECT seq AS event, IPVersion AS ip_version, {_NET.format('SrcIP')} AS src_ip,
         CAST(NULL AS INT) AS src_port, 'tcp' AS protocol, PacketTime AS ts, id FROM res""",
-    "D14_decoding_errors": """SELECT count(*) AS packetsCaptured, count(*) FILTER (WHERE seq % 23 = 0) AS decodingErrors,
-        count(*) FILTER (WHERE seq % 23 = 0) * 100.0 / count(*) AS errorPercent FROM res""",
+    "D14_decoding_errors": """SELECT count(*) AS packetsCaptured, count(*) FILTER (WHERE seq % 29 = 0) AS decodingErrors,
+        count(*) FILTER (WHERE seq % 23 = 0 AND seq % 29 <> 0) AS unpackErrors,
+        100.0 * count(*) FILTER (WHERE seq % 29 = 0) / count(*) AS errorPercent FROM res""",
     "F1_port": "SELECT seq FROM res WHERE seq % 19 <> 0",
     "F2_default_traffic": _PIECES + "SELECT frag_seq AS seq, IPVersion AS ip_version FROM pieces",
     "F3_port_range": f"SELECT seq, src_port FROM (SELECT seq, {_PORTS} FROM res) WHERE src_port BETWEEN 1 AND 1024",
@@ -411,7 +417,7 @@ _BODIES |= {
     "K6_console_lines": "SELECT seq % 10 AS bucket, count(*) AS c FROM q GROUP BY 1",
     "W7_fan_out": f"""SELECT 'all' AS output, count(*) AS c FROM q UNION ALL
         SELECT 'kept', count(*) FROM q WHERE NOT {IS_SKIP.format('name')}""",
-    "W1_dedup_stream": """SELECT CAST(PacketTime AS DATE) AS day, count(DISTINCT Type || '|' || Protocol || '|' || lower(Question)) AS c
+    "W1_dedup_stream": """SELECT CAST(PacketTime AS DATE) AS day, count(DISTINCT Type || '|' || Protocol || '|' || left(Question, 1)) AS c
         FROM dns_log GROUP BY 1""",
     "W2_fragment_stream": """SELECT IPVersion AS ip_version, count(*) AS c, CAST(sum(seq) AS BIGINT) AS events FROM res
         WHERE seq % 29 <> 0 GROUP BY 1""",

@@ -70,10 +70,9 @@ for _key, _name in ROLLUP_IDS.items():
     QUERIES[f"{_key}_by_day"] = _rollup_query(_name, "day")
 
 
-@query("R12_stored_grain")
-def stored_grain(spark, sf_dir):
-    """The replicated layout groups protocols on the stored time instead of the minute."""
-    return rollups.rollup(traffic.dns_log(spark, sf_dir), "protocol", "ms")
+# The replicated layout stores whole seconds and groups on what it stores.
+for _key in ("R2_domain_unique", "R3_protocol", "R4_general", "R5_edns", "R6_opcode"):
+    QUERIES[f"R12_stored_{_key}"] = _rollup_query(ROLLUP_IDS[_key], "second")
 
 
 @query("R13_merge_states")
@@ -265,6 +264,30 @@ def per_message_filter(spark, sf_dir):
     return domain_filter.filter_messages(traffic.results(spark, sf_dir), 2, skip).select("seq")
 
 
+def _two_captures(spark, sf_dir):
+    """Records of two captures whose numbers restart, so ``seq`` alone tells no two apart."""
+    return traffic.results(spark, sf_dir).withColumn("seq", F.expr("seq div 2"))
+
+
+def _counted(results):
+    return results.groupBy("seq", F.col("dns.id").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+
+
+@query("F13_long_list")
+def per_message_long_list(spark, sf_dir):
+    """The per-message filter by joins; of two records with one number either may go."""
+    skip = domain_list_from(spark, ["alt.,prefix", *SKIP_LINES])
+    return _counted(domain_filter.filter_messages(_two_captures(spark, sf_dir), 2, skip, short=0))
+
+
+@query("F12_long_list")
+def per_question_long_list(spark, sf_dir):
+    questions = rows.explode_questions(_two_captures(spark, sf_dir))
+    skip = domain_list_from(spark, ["alt.,prefix", *SKIP_LINES])
+    kept = domain_filter.filter_domains(questions.withColumn("name", F.col("q.name")), 2, skip, column="name", short=0)
+    return kept.select("seq", "name")
+
+
 @query("F14_event_output_unfiltered")
 def unfiltered(spark, sf_dir):
     """The event output counts skipped questions but publishes every message."""
@@ -346,14 +369,19 @@ QUERIES["F4_sample_exact"] = _sample_query("1:10", "exact")
 
 
 def _copied(spark, sf_dir):
-    """Packets with copies: payloads repeat a lot and arrive seconds apart."""
+    """Packets of two captures, most of them copies within their capture and day; the same
+    payloads recur in the other capture and on other days."""
     log = traffic.dns_log(spark, sf_dir)
     return log.select(
-        "seq", F.lit("capture").alias("file"), F.col("PacketTime").cast("timestamp").alias("ts"),
-        F.concat_ws("|", "Type", "Protocol", F.lower("Question")).cast("binary").alias("data"),
+        "seq", F.concat(F.lit("capture"), F.col("seq") % 2).alias("file"),
+        F.col("PacketTime").cast("timestamp").alias("ts"), _COPIED_DATA.alias("data"),
     )
 
 
+#: Payloads with few values.
+_COPIED_DATA = F.expr("cast(concat_ws('|', Type, Protocol, left(Question, 1)) AS binary)")
+
+
 @query("F6_drop_copies")
 def copies(spark, sf_dir):
     return sampling.drop_copies(_copied(spark, sf_dir), 86400, by=("file",)).select("seq")
@@ -776,9 +804,12 @@ def tcp_records(spark, sf_dir):
 
 @query("D14_decoding_errors")
 def decoding_errors(spark, sf_dir):
+    """Packets with broken headers (every 29th is cut short) and with broken messages, in one pass."""
     packets = traffic.udp_packets(spark, sf_dir)
-    fields = headers.transport(headers.ip_datagrams(packets).filter("error IS NULL"))
-    return metrics.decoding_counts(messages.unpack(fields))
+    data = F.when(F.col("seq") % 29 == 0, F.substring("data", 1, 20)).otherwise(F.col("data"))
+    fields = headers.with_layer_errors(headers.ip_datagrams(packets.withColumn("data", data)))
+    payload = F.coalesce("payload", F.lit(b""))
+    return metrics.decoding_counts(messages.unpack(fields.withColumn("payload", payload)))
 
 
 @query("F1_port")
@@ -961,11 +992,8 @@ def _log_stream(spark, sf_dir):
 
 @query("W1_dedup_stream")
 def dedup_stream(spark, sf_dir):
-    """One row per name, type and day. Which copy is first depends on the stream's order."""
-    log = _log_stream(spark, sf_dir).select(
-        "seq", F.col("PacketTime").alias("ts"),
-        F.concat_ws("|", "Type", "Protocol", F.lower("Question")).cast("binary").alias("data"),
-    )
+    """One row per payload and day; most rows are copies. Which copy is first depends on the stream's order."""
+    log = _log_stream(spark, sf_dir).select("seq", F.col("PacketTime").alias("ts"), _COPIED_DATA.alias("data"))
     kept = jobs.run_to_end(jobs.drop_copies_stream(log, 86400), "dedup")
     return kept.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("c"))
 

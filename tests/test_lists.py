@@ -87,3 +87,25 @@ def test_whole_messages(spark, short):
     )
     kept = filter_messages(df, 2, domain_list_from(spark, ["bad.,fqdn"]), short=short)
     assert sorted(r.seq for r in kept.collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("short", [0, 256])
+def test_messages_of_several_captures(spark, short):
+    """Record numbers restart per capture; a rejected message takes no other with it."""
+    df = spark.sql(
+        "SELECT 'a' AS file, 0L AS seq, named_struct('question', array(named_struct('name', 'bad.'))) AS dns "
+        "UNION ALL SELECT 'b', 0L, named_struct('question', array(named_struct('name', 'good.'))) "
+        "UNION ALL SELECT 'b', 0L, named_struct('question', array(named_struct('name', CAST(NULL AS string))))"
+    )
+    kept = filter_messages(df, 2, domain_list_from(spark, ["bad.,fqdn"]), short=short)
+    assert sorted((r.file, r.dns.question[0].name or "") for r in kept.collect()) == [("b", ""), ("b", "good.")]
+
+
+@pytest.mark.parametrize("short", [0, 256])
+def test_missing_names(spark, short):
+    df = spark.createDataFrame([("bad.",), (None,), ("x.",)], "Question string")
+    patterns = domain_list_from(spark, ["bad.,fqdn"])
+    got = lambda mode, **k: sorted(r[0] or "" for r in filter_domains(df, mode, short=short, **k).collect())
+    assert got(2, skip=patterns) == ["", "x."]
+    assert got(3, allow=patterns) == ["bad."]
+    assert got(4, skip=patterns, allow=patterns) == []
