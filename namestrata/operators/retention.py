@@ -38,6 +38,19 @@ def drop_expired_partitions(
     return gone
 
 
+def drop_oldest_folders(spark: SparkSession, path: str, keep: int, levels: int = 2) -> list[str]:
+    """Delete all but the newest ``keep`` folders ``levels`` deep, whose names sort by time."""
+    folder, fs = _folder(spark, path)
+    found = [folder]
+    for _ in range(levels):
+        found = [s.getPath() for f in found for s in fs.listStatus(f) if s.isDirectory()]
+    found.sort(key=lambda p: p.toString())
+    gone = found[: max(0, len(found) - keep)]
+    for old in gone:
+        fs.delete(old, True)
+    return [p.toString() for p in gone]
+
+
 def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())

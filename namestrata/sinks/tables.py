@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from namestrata.functions.formats import format_column, format_header
 from namestrata.functions.timing import truncate
-from namestrata.operators.retention import drop_expired_partitions
+from namestrata.operators.retention import drop_oldest_folders
 from namestrata.operators.rows import explode_questions, parquet_rows, postgres_rows, with_storage_key
 
 # Parquet columns written with a dictionary.
@@ -33,11 +33,11 @@ def write_parquet(results: DataFrame, path: str, mode: str = "append") -> None:
 def write_log(log: DataFrame, path: str, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
     """The day-partitioned log, each file sorted by hour, server, reversed name and time.
 
-    Days are spread over several tasks by a hash of hour, server and name, so a busy day is
-    not the work of one task, while equal names still lie together in a file.
+    Rows are dealt out by ranges of that very order, sampled from the data, so neither a busy
+    day nor a name that fills it is the work of one task, and equal names lie together.
     """
     keyed = with_storage_key(log).withColumn("dns_date", F.to_date("PacketTime"))
-    spread = keyed.repartition("dns_date", "hour", "Server", F.pmod(F.xxhash64("rq"), F.lit(8)))
+    spread = keyed.repartitionByRange("dns_date", "hour", "Server", "rq", "PacketTime")
     ordered = spread.sortWithinPartitions("dns_date", "hour", "Server", "rq", "PacketTime")
     writer = ordered.drop("hour").write.mode(mode).partitionBy("dns_date")
     writer.option("maxRecordsPerFile", rows_per_file).parquet(path)
@@ -52,7 +52,7 @@ def write_files(
     results: DataFrame, path: str, fmt: str = "json", rotate: str = "hour", keep: int | None = None,
     mode: str = "append", compression: str = "gzip", **options,
 ) -> None:
-    """Text files per question, one folder per hour or day; the newest ``keep`` days stay.
+    """Text files per question, one folder per hour or day; the newest ``keep`` folders stay.
 
     A CSV header, when the format has one, is written as the first line of every file.
     """
@@ -64,8 +64,8 @@ def write_files(
         F.date_format(truncate(rows, "ts", rotate), "yyyyMMddHH").alias("period"),
         format_column(fmt, **options).alias("value"),
     ).filter("value IS NOT NULL")
-    # A period's lines go to a few tasks: few files, and no period is one task's work.
-    lines = lines.repartition("dns_date", "period", F.pmod(F.xxhash64("value"), F.lit(8)))
+    # Ranges, so a small period is one file and a large one is several tasks' work.
+    lines = lines.repartitionByRange("dns_date", "period", F.xxhash64("value"))
     header = format_header(fmt)
     writer = lines.write.mode(mode).partitionBy("dns_date", "period").option("compression", compression)
     if header:
@@ -76,9 +76,7 @@ def write_files(
     else:
         writer.text(path)
     if keep is not None:
-        newest = results.agg(F.max(F.to_date("ts")).cast("string")).first()[0]
-        if newest:
-            drop_expired_partitions(results.sparkSession, path, newest, keep - 1)
+        drop_oldest_folders(results.sparkSession, path, keep)
 
 
 def write_postgres(results: DataFrame, url: str, table: str, mode: str = "append", **properties) -> None:

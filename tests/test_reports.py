@@ -77,3 +77,14 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         shared_dir(Session(), "x")
     Session.conf = Conf({"spark.master": "local[2]"})
     assert shared_dir(Session(), "x").startswith(Session.conf["spark.checkpoint.dir"])
+
+
+def test_newest_folders_stay(spark, tmp_path):
+    from namestrata.operators.retention import drop_oldest_folders
+
+    path = str(tmp_path / "files")
+    rows = [(f"2024-01-{d:02}", f"202401{d:02}{h:02}", "x") for d in (1, 5, 9) for h in (3, 4)]
+    spark.createDataFrame(rows, "day string, period string, value string").write.partitionBy("day", "period").text(path)
+    gone = drop_oldest_folders(spark, path, 4)
+    assert len(gone) == 2 and all("day=2024-01-01" in g for g in gone)
+    assert spark.read.text(path).count() == 4
