@@ -18,50 +18,55 @@ VXLAN_PORT = 4789
 CARRIED = ["file", "seq", "ts", "ts_ns"]
 
 
-def _layer3(df: DataFrame, data: str, ethernet: Column) -> DataFrame:
-    """Add ``l3`` (offset of the IP header) and ``family`` (4, 6 or NULL).
+def _tag_bytes(data: Column, size: Column) -> Column:
+    """Bytes of the 802.1q tags behind the addresses, at any depth.
 
-    802.1q tags of any depth are skipped: the first four bytes that are none end them; only
-    tagged packets are looked at that far. Without an Ethernet header the first nibble tells
-    the family.
+    The first four bytes that are no tag end them; only tagged packets are looked at that far.
     """
-    head = F.hex(F.substring(data, 13, 2))
-    tagged = head.isin("8100", "88A8")
-    places = F.expr(f"sequence(0, greatest(0, (octet_length({data}) - 12) div 4 + 1))")
-    plain = F.filter(
-        places, lambda i: ~F.hex(slice_bytes(F.col(data), i.cast("int") * 4 + 12, 2)).isin("8100", "88A8")
-    )
-    skipped = F.when(tagged, F.get(plain, F.lit(0)).cast("int") * 4).otherwise(0)
-    df = df.withColumn("l3", F.when(ethernet, skipped + 14).otherwise(0))
-    ethertype = F.hex(slice_bytes(F.col(data), F.col("l3") - 2, F.lit(2)))
-    nibble = F.substring(F.hex(F.substring(data, 1, 1)), 1, 1)
-    family = (
-        F.when(ethernet & (ethertype == "0800"), 4)
-        .when(ethernet & (ethertype == "86DD"), 6)
-        .when(~ethernet & (nibble == "4"), 4)
-        .when(~ethernet & (nibble == "6"), 6)
-    )
-    return df.withColumn("family", family)
+    tagged = F.hex(slice_bytes(data, 12, 2)).isin("8100", "88A8")
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 12) / 4).cast("int") + 1))
+    plain = F.filter(places, lambda i: ~F.hex(slice_bytes(data, i * 4 + 12, 2)).isin("8100", "88A8"))
+    return F.when(tagged, F.get(plain, F.lit(0)) * 4).otherwise(0)
+
+
+def _ethernet_family(data: Column, l3: Column) -> Column:
+    ethertype = F.hex(slice_bytes(data, l3 - 2, F.lit(2)))
+    return F.when(ethertype == "0800", 4).when(ethertype == "86DD", 6)
+
+
+def _layer3(df: DataFrame, ethernet: Column) -> DataFrame:
+    """Add ``l3`` (offset of the IP header in ``frame``) and ``family`` (4, 6 or NULL).
+
+    Without an Ethernet header the first nibble tells the family.
+    """
+    frame = F.col("frame")
+    df = df.withColumn("l3", F.when(ethernet, _tag_bytes(frame, F.octet_length(frame)) + 14).otherwise(0))
+    nibble = F.substring(F.hex(F.substring("frame", 1, 1)), 1, 1)
+    raw = F.when(nibble == "4", 4).when(nibble == "6", 6)
+    return df.withColumn("family", F.when(ethernet, _ethernet_family(frame, F.col("l3"))).otherwise(raw))
 
 
 def _unwrap_vxlan(df: DataFrame) -> DataFrame:
     """Replace a VXLAN packet's bytes by the Ethernet frame it carries.
 
     The port alone does not make a VXLAN packet: it may be an ordinary client port. The frame
-    inside must also carry IP, possibly behind VLAN tags.
+    inside must also carry IP, possibly behind VLAN tags. Other packets keep what was read of them.
     """
-    data, l3 = F.col("data"), F.col("l3")
+    data, l3 = F.col("frame"), F.col("l3")
     first = uint(data, l3, 1)
     ihl = first.bitwiseAND(15) * 4
     protocol = F.when(F.col("family") == 4, uint(data, l3 + 9, 1)).otherwise(uint(data, l3 + 6, 1))
     df = df.withColumn("l4", l3 + F.when(F.col("family") == 4, ihl).otherwise(40))
-    port = uint(data, F.col("l4") + 2, 2)
+    # The port as bytes decides almost every packet without another number being read.
+    port = slice_bytes(data, F.col("l4") + 2, F.lit(2)) == F.lit(VXLAN_PORT.to_bytes(2, "big"))
     carried = F.hex(slice_bytes(data, F.col("l4") + 28, F.lit(2)))
-    inner = F.col("family").isNotNull() & (protocol == UDP) & (port == VXLAN_PORT)
+    inner = F.col("family").isNotNull() & port & (protocol == UDP)
     inner = inner & carried.isin("0800", "86DD", "8100", "88A8")
     df = df.withColumn("wrapped", F.coalesce(inner, F.lit(False)))
-    frame = F.when(F.col("wrapped"), slice_bytes(data, F.col("l4") + 16, F.octet_length(data)))
-    return df.withColumn("frame", frame.otherwise(data)).drop("l3", "l4", "family")
+    wrapped = F.col("wrapped")
+    df = df.withColumn("frame", F.when(wrapped, slice_bytes(data, F.col("l4") + 16, F.octet_length(data))).otherwise(data))
+    df = df.withColumn("l3", F.when(wrapped, _tag_bytes(data, F.octet_length(data)) + 14).otherwise(l3))
+    return df.withColumn("family", F.when(wrapped, _ethernet_family(data, l3)).otherwise(F.col("family")))
 
 
 def ip_datagrams(
@@ -73,13 +78,10 @@ def ip_datagrams(
     row could not be decoded; such rows keep NULL fields and can be counted or filtered.
     """
     is_ethernet = (F.col("link_type") == LINK_ETHERNET) if ethernet is None else F.lit(ethernet)
-    rows = packets.select(*CARRIED, "data", is_ethernet.alias("on_ethernet"))
+    rows = packets.select(*CARRIED, F.col("data").alias("frame"), is_ethernet.alias("on_ethernet"))
+    rows = _layer3(rows, F.col("on_ethernet"))
     if vxlan:
-        rows = _unwrap_vxlan(_layer3(rows, "data", F.col("on_ethernet")))
-        rows = rows.withColumn("on_ethernet", F.col("on_ethernet") | F.col("wrapped"))
-    else:
-        rows = rows.withColumnRenamed("data", "frame")
-    rows = _layer3(rows, "frame", F.col("on_ethernet"))
+        rows = _unwrap_vxlan(rows)
     frame, l3 = F.col("frame"), F.col("l3")
     v4, v6 = F.col("family") == 4, F.col("family") == 6
 
