@@ -374,12 +374,12 @@ def _copied(spark, sf_dir):
     log = traffic.dns_log(spark, sf_dir)
     return log.select(
         "seq", F.concat(F.lit("capture"), F.col("seq") % 2).alias("file"),
-        F.col("PacketTime").cast("timestamp").alias("ts"), _COPIED_DATA.alias("data"),
+        F.col("PacketTime").cast("timestamp").alias("ts"), F.expr(_COPIED_DATA).alias("data"),
     )
 
 
 #: Payloads with few values.
-_COPIED_DATA = F.expr("cast(concat_ws('|', Type, Protocol, left(Question, 1)) AS binary)")
+_COPIED_DATA = "cast(concat_ws('|', Type, Protocol, left(Question, 1)) AS binary)"
 
 
 @query("F6_drop_copies")
@@ -994,7 +994,7 @@ def _log_stream(spark, sf_dir):
 @query("W1_dedup_stream")
 def dedup_stream(spark, sf_dir):
     """One row per payload and day; most rows are copies. Which copy is first depends on the stream's order."""
-    log = _log_stream(spark, sf_dir).select("seq", F.col("PacketTime").alias("ts"), _COPIED_DATA.alias("data"))
+    log = _log_stream(spark, sf_dir).select("seq", F.col("PacketTime").alias("ts"), F.expr(_COPIED_DATA).alias("data"))
     kept = jobs.run_to_end(jobs.drop_copies_stream(log, 86400), "dedup")
     return kept.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("c"))
 
