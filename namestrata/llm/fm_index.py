@@ -50,7 +50,7 @@ class WaveletMatrix:
 def joined_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dense ranks of the pairs (a, b)."""
     key = a * (b.max(initial=0) + 1) + b
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     out = np.empty(len(key), dtype=np.int64)
     out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -88,7 +88,7 @@ class FMIndex:
             return ranks[p] if p == k else joined_ranks(ranks[p], shifted(ranks[p], k - p))
 
         full, shorter = of_length(width), of_length(width - 1)
-        order = np.argsort(full, kind="stable")
+        order = np.argsort(full)
         self.symbols = symbols
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.tree = WaveletMatrix(text[order - 1], symbols)

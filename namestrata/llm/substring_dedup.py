@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +109,8 @@ def runs_of(counts: np.ndarray, hashes: np.ndarray, rolling: Rolling, width: int
 def split_hashed(texts: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     words = [t.split() for t in texts]
     counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    get = memo.__getitem__
-    flat = np.fromiter((get(w) for ws in words for w in ws), dtype=np.uint64, count=int(counts.sum()))
+    each = map(memo.__getitem__, chain.from_iterable(words))
+    flat = np.fromiter(each, dtype=np.uint64, count=int(counts.sum()))
     return counts, flat
 
 
@@ -193,12 +193,11 @@ def answer_shard(rows: list[tuple], width: int, per_index: int = INDEX_WORDS) ->
     has several indexes and the run is searched in each. ``owners`` are the smallest documents
     of its windows; runs with nothing to remove are left out.
     """
-    numbers: dict[bytes, int] = {}
     split = [r[4].split() for r in rows]
     lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    words = np.fromiter(
-        (numbers.setdefault(w, len(numbers) + 1) for ws in split for w in ws), dtype=np.int64, count=int(lengths.sum())
-    )
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)), 1)}
+    each = map(numbers.__getitem__, chain.from_iterable(split))
+    words = np.fromiter(each, dtype=np.int64, count=int(lengths.sum()))
     docs = np.array([r[2] for r in rows], dtype=np.int64)
     ends = np.cumsum(lengths)
     least = np.full(len(words), NONE, dtype=np.int64)
