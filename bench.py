@@ -15,8 +15,10 @@ import time
 from namestrata.operators import domain_filter, headers, messages, reports, rollups, rows, sampling
 from namestrata.operators.reassembly import reassemble_fragments, tcp_messages
 from namestrata.plans import traffic
+from namestrata.plans.capture import packets_to_results
 from namestrata.plans.queries import ALLOW_LINES, AS_OF, SKIP_LINES
-from namestrata.session import cut_lineage, get_session
+from namestrata.session import cut_lineage, get_session, shared_dir
+from namestrata.sinks.tables import write_log
 from namestrata.sources import protobuf
 from namestrata.sources.domain_lists import domain_list_from
 
@@ -66,6 +68,7 @@ def main() -> None:
         "ingest_log_rows": lambda: rows.dns_log_rows(results),
         "reassemble_fragments": lambda: reassemble_fragments(headers.ip_datagrams(fragments)),
         "tcp_messages": lambda: tcp_messages(headers.transport(headers.ip_datagrams(segments))),
+        "packets_to_results": lambda: packets_to_results(packets, dedup_seconds=60),
     }
     sizes = {"ingest_udp_packets": packets.count(), "ingest_dnstap": frames.count()}
     spark.range(1000).selectExpr("sum(id)").collect()
@@ -77,6 +80,9 @@ def main() -> None:
             build().write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         taken[name] = round(min(runs), 3)
+    start = time.perf_counter()
+    write_log(log, shared_dir(spark, "bench-log"))
+    taken["write_log"] = round(time.perf_counter() - start, 3)
     rates = {n: round(count / taken[n]) for n, count in sizes.items()}
     print(
         json.dumps(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from namestrata.functions import codes, formats
 from namestrata.functions.ip import ip_bytes, ip_text, mask_ip, to_16, to_number
-from namestrata.functions.once import compute_once
 from namestrata.operators import (
     domain_filter,
     headers,
@@ -26,7 +25,7 @@ from namestrata.plans import traffic
 from namestrata.plans.capture import packets_to_results
 from namestrata.session import cut_lineage, shared_dir
 from namestrata.sinks import frames, tables
-from namestrata.sources import captures, dns_wire, protobuf
+from namestrata.sources import captures, protobuf
 from namestrata.sources.domain_lists import domain_list_from, parse_domain_list
 from namestrata.streaming import jobs
 from namestrata.streaming.reassembly import reassemble_fragments_stream, tcp_messages_stream
