@@ -27,6 +27,9 @@ GRAM = 4
 RUN = 63
 #: Words after which a shard is closed at the next minimizer, and words of an index at most.
 SHARD_WORDS, INDEX_WORDS = 400_000, 1_000_000
+#: One text in so many, and every text of so many bytes, is read first to find heavy minimizers:
+#: those whose distinct runs hold more words than a shard. The choice changes no result.
+PROBE_SHARE, PROBE_LONG = 16, 1 << 16
 #: Words whose hash a task remembers.
 REMEMBERED = 500_000
 
@@ -77,10 +80,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def runs_of(counts: np.ndarray, hashes: np.ndarray, rolling: Rolling, width: int):
+def runs_of(counts: np.ndarray, hashes: np.ndarray, rolling: Rolling, width: int, heavy: np.ndarray | None = None):
     """Runs of windows with one minimizer, in texts of ``counts`` words laid end to end.
 
-    (text number, first word in the text, windows, minimizer, hash of the words of the run).
+    (text number, first word in the text, windows, key, hash of the words of the run). The key is
+    the minimizer. A minimizer in ``heavy`` (sorted) stands for no run: each of its windows is a
+    run of its own, under a key made of the minimizer and the window.
     """
     n = len(hashes)
     if n < width:
@@ -99,11 +104,15 @@ def runs_of(counts: np.ndarray, hashes: np.ndarray, rolling: Rolling, width: int
     fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
     begin = np.flatnonzero(fresh)
     since = np.arange(len(starts)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(starts)]])))
-    begin = np.flatnonzero(since % RUN == 0)
+    alone = np.zeros(len(starts), dtype=bool)
+    if heavy is not None and len(heavy):
+        alone = heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
+    begin = np.flatnonzero((since % RUN == 0) | alone)
     windows = np.diff(np.concatenate([begin, [len(starts)]]))
     at = starts[begin]
     content = rolling.spans(sums, at, windows + width - 1)
-    return text[at], at - first[text[at]], windows, least[begin], content
+    key = np.where(alone[begin], least[begin] ^ (content * np.uint64(MULTIPLIER)), least[begin])
+    return text[at], at - first[text[at]], windows, key, content
 
 
 def split_hashed(texts: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +127,20 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def occurrences(base: DataFrame, width: int) -> DataFrame:
+def occurrences(base: DataFrame, width: int, heavy: np.ndarray | None = None) -> DataFrame:
     """(key, content, doc, loc): every run of every text of ``base`` (doc, check, text).
 
     ``loc`` packs first word, ``check`` and windows into one number.
     """
+    known = None if heavy is None else base.sparkSession.sparkContext.broadcast(heavy)
 
     def start():
         memo, rolling = WordHashes(), Rolling()
+        heavy = None if known is None else known.value
 
         def step(piece):
             counts, hashes = split_hashed(piece.column("text").to_pylist(), memo)
-            found = runs_of(counts, hashes, rolling, width)
+            found = runs_of(counts, hashes, rolling, width, heavy)
             if found is None:
                 return None
             number, at, windows, key, content = found
@@ -142,6 +153,19 @@ def occurrences(base: DataFrame, width: int) -> DataFrame:
     return map_slices(base, start, "key long, content long, doc long, loc long", weight="text")
 
 
+def heavy_keys(base: DataFrame, width: int) -> np.ndarray:
+    """Minimizers with more than a shard of words of distinct runs, as far as a share of the texts tells.
+
+    Each has that many words of its own, so at most PROBE_SHARE of them come to a shard of the input.
+    """
+    part = F.pmod(F.xxhash64("doc", "check"), F.lit(PROBE_SHARE)) == 0
+    some = base.where(part | (F.length("text") >= PROBE_LONG))
+    runs = occurrences(some, width).groupBy("key", "content").agg(F.first("loc").alias("loc"))
+    words = F.sum(F.expr("loc & 63") + width - 1) * PROBE_SHARE
+    found = runs.groupBy("key").agg(words.alias("words")).where(F.col("words") > SHARD_WORDS).select("key")
+    return np.sort(found.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def shared_runs(base: DataFrame, width: int) -> DataFrame:
     """The runs whose minimizer is in two documents or more, as far as they matter.
 
@@ -152,7 +176,7 @@ def shared_runs(base: DataFrame, width: int) -> DataFrame:
     by_key = Window.partitionBy("key")
     same = Window.partitionBy("key", "content").orderBy("doc", "loc")
     alike = Window.partitionBy("key", "content")
-    runs = occurrences(base, width)
+    runs = occurrences(base, width, heavy_keys(base, width))
     runs = runs.withColumn("least", F.min("doc").over(by_key)).withColumn("most", F.max("doc").over(by_key))
     runs = runs.where("least < most").drop("most")
     runs = runs.withColumn("first", F.row_number().over(same) == 1).withColumn("last_doc", F.max("doc").over(alike))

@@ -102,3 +102,23 @@ def test_runs_depend_on_content_only():
 
 def test_empty_table(spark):
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_passage_of_many_documents_is_no_group_of_one_shard(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(20))
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(14))
+    rows = [(i, f"{fresh()} {passage} {fresh()}", "x", 0) for i in range(300)]
+    rows += [(300 + i, rows[i][1] if i % 2 else rows[i][1].replace("p19 ", "p19 q "), "x", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
+    monkeypatch.setattr(substring_dedup, "PROBE_SHARE", 1, raising=False)
+    base, width = substring_dedup.base_of(docs), 13
+    runs = substring_dedup.run_words(base, substring_dedup.shared_runs(base, width), width).collect()
+    words = {}
+    for r in runs:
+        words[r.key] = words.get(r.key, 0) + len(bytes(r.words).split())
+    # Before, a boundary minimizer of the passage held a run of each of the 300 documents.
+    assert max(words.values()) <= 500
+    out = repeated_passages(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == brute(rows)
