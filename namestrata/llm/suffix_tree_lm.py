@@ -14,13 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namestrata.llm.batches import record_batch, schema_of, slices, text_bytes
+from namestrata.llm.batches import map_slices, record_batch, schema_of, slices, text_bytes
 from namestrata.session import cut_lineage
 
 #: Bytes of the longest context; with the next byte a run fits one 64-bit number.
 DEPTH = 6
-#: Contexts kept at most: the size of the model every task holds.
-MAX_CONTEXTS = 60_000
+#: Contexts every task holds, the most frequent ones. All others stay a table that the runs they
+#: may decide are joined with; the split changes no result.
+HELD_CONTEXTS = 60_000
 #: A context is kept if it was seen so often, and if its next bytes differ from those after its
 #: suffix by so many nats in all, per kind of next byte and logarithm of its count.
 LEAST_COUNT, LEAST_GAIN = 8, 0.1
@@ -146,8 +147,8 @@ def training_counts(docs: DataFrame, words: list[bytes]) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def kept_contexts(counts: DataFrame, most: int = MAX_CONTEXTS) -> DataFrame:
-    """(depth, context, gain) of the contexts that pass the test, the most telling ones.
+def kept_contexts(counts: DataFrame) -> DataFrame:
+    """(depth, context, gain, total, kinds) of all contexts that pass the test.
 
     ``counts`` has (depth, run, n): run is a context of ``depth`` bytes and the next byte. The gain
     is the count times the divergence of the next bytes after the context from those after its
@@ -165,7 +166,7 @@ def kept_contexts(counts: DataFrame, most: int = MAX_CONTEXTS) -> DataFrame:
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("of") / F.col("all"))))
     gains = own.groupBy("depth", "context").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
     gains = gains.where(F.col("gain") >= LEAST_GAIN * F.col("kinds") * F.log("total"))
-    return gains.select("depth", "context", "gain").orderBy(F.desc("gain"), "depth", "context").limit(most)
+    return gains.select("depth", "context", "gain", "total", "kinds")
 
 
 @dataclass
@@ -184,6 +185,8 @@ class SuffixTree:
     state: np.ndarray
     byte: np.ndarray
     count: np.ndarray
+    #: By state and column of the byte before it: whether a context outside the tree may follow on.
+    open: np.ndarray | None = None
 
     @classmethod
     def of(cls, kept: set[tuple[int, int]], followers: dict[tuple[int, int], list[tuple[int, int]]]) -> SuffixTree:
@@ -233,6 +236,33 @@ class SuffixTree:
             step[self.prefix[longer], column[self.contexts[longer] & 255]] = longer
         return column, step.reshape(-1), np.log10(chance).astype(np.float32).reshape(-1), columns
 
+    def opened(self, found: list[tuple[int, int]]) -> np.ndarray:
+        """``open`` from (state, column) of the contexts outside; column -1 stands for the state itself."""
+        columns = self.automaton[3]
+        out = np.zeros((len(self.contexts), columns), dtype=bool)
+        whole = np.zeros(len(self.contexts), dtype=bool)
+        state, column = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        whole[state[column < 0]] = True
+        out[state[column >= 0], column[column >= 0]] = True
+        # A state that ends in such a context meets it too; suffixes come first.
+        for length in range(1, int(self.lengths.max(initial=0)) + 1):
+            now = np.flatnonzero(self.lengths == length)
+            whole[now] |= whole[self.suffix[now]]
+        out[whole] = True
+        return out.reshape(-1)
+
+    def places(self, depths: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, column) of contexts: their longest suffix that is a state, and the column of the
+        byte before that suffix, -1 if it is the whole context."""
+        column, step, _, columns = self.automaton
+        state = np.zeros(len(contexts), dtype=np.int64)
+        for k in range(DEPTH, 0, -1):
+            inside = depths >= k
+            byte = column[(contexts[inside] >> 8 * (k - 1)) & 255]
+            state[inside] = step[state[inside] * columns + byte]
+        length = self.lengths[state]
+        return state, np.where(length == depths, -1, column[(contexts >> 8 * length) & 255])
+
     def totals(self, sequences: list[bytes]) -> np.ndarray:
         """Log probability of each sequence."""
         if not sequences:
@@ -242,13 +272,34 @@ class SuffixTree:
 
     def log10(self, sequences: list[bytes]) -> np.ndarray:
         """Log probability of every byte of the sequences, laid end to end: after the longest
-        suffix of what precedes it that is a state.
+        suffix of what precedes it that is a state."""
+        return self.walk(sequences)[0]
+
+    def parts(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log probability of each sequence without its open bytes; sequence number, run and count
+        of the open ones)."""
+        none = np.zeros(0, dtype=np.int64)
+        if not sequences or self.open is None:
+            return self.totals(sequences), none, none, none
+        logs, away = self.walk(sequences)
+        logs[away] = 0.0
+        sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
+        owner = np.repeat(np.arange(len(sizes)), sizes)[away]
+        run = runs(*padded(sequences))[away].view(np.int64)
+        order = np.lexsort((run, owner))
+        owner, run = owner[order], run[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])])[: len(run)])
+        count = np.diff(np.concatenate([first, [len(run)]]))
+        return np.add.reduceat(logs, np.cumsum(sizes) - sizes), owner[first], run[first], count
+
+    def walk(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability, open) of every byte of the sequences, laid end to end.
 
         Long sequences are cut into stretches; one warms up on the DEPTH bytes before it, which
         alone decide its state.
         """
         if not sequences:
-            return np.zeros(0)
+            return np.zeros(0), np.zeros(0, dtype=bool)
         column, step, chance, columns = self.automaton
         data, begins = padded(sequences)
         data = column[data]
@@ -264,17 +315,21 @@ class SuffixTree:
         for k in range(DEPTH):
             state = step[state * columns + data[at - DEPTH + k]].astype(np.int64)
         out = np.zeros(int(sizes.sum()), dtype=np.float64)
+        away = np.zeros(len(out), dtype=bool)
         for k in range(int(length[0])):
             live = int(np.searchsorted(-length, -k, side="left"))
             cell = state[:live] * columns + data[at[:live] + k]
             out[to[:live] + k] = chance[cell]
+            if self.open is not None:
+                now = state[:live]
+                away[to[:live] + k] = self.open[now * columns + data[at[:live] + k - self.lengths[now] - 1]]
             state[:live] = step[cell]
-        return out
+        return out, away
 
 
-def fit(counts: DataFrame) -> SuffixTree:
-    """The tree from the table of ``training_counts``; what is gathered is bounded by MAX_CONTEXTS
-    contexts and their next bytes."""
+def fit(counts: DataFrame) -> tuple[SuffixTree, DataFrame, DataFrame]:
+    """(tree of the held contexts, runs of all depths, all contexts) from the table of
+    ``training_counts``; what is gathered is bounded by HELD_CONTEXTS contexts and their next bytes."""
     by_run = counts.where(f"kind = {RUN}").select("key", "n")
     depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     levels = by_run.select("n", "key", depths.alias("depth"))
@@ -283,30 +338,71 @@ def fit(counts: DataFrame) -> SuffixTree:
     levels = cut_lineage(levels, "levels")
     kept = cut_lineage(kept_contexts(levels), "contexts")
     root = levels.sparkSession.createDataFrame([(0, 0)], "depth int, context long")
-    wanted = kept.select("depth", "context").union(root)
+    # A suffix is as frequent as what ends in it at least, and shorter.
+    held = kept.orderBy(F.desc("total"), "depth", "context").limit(HELD_CONTEXTS)
+    held = cut_lineage(held.select("depth", "context"), "held")
+    wanted = held.union(root)
     next_bytes = levels.withColumn("context", F.expr("shiftright(run, 8)")).join(F.broadcast(wanted), ["depth", "context"])
     followers: dict[tuple[int, int], list[tuple[int, int]]] = {}
     table = next_bytes.select("depth", "context", F.expr("run & 255").alias("byte"), "n").toArrow()
     for depth, context, byte, n in zip(*(c.to_pylist() for c in table.columns)):
         followers.setdefault((depth, context), []).append((byte, n))
-    chosen = {(r.depth, r.context) for r in kept.select("depth", "context").collect()}
-    return SuffixTree.of(chosen, followers)
+    chosen = {(r.depth, r.context) for r in held.collect()}
+    tree = SuffixTree.of(chosen, followers)
+    others = kept.select("depth", "context").join(F.broadcast(held), ["depth", "context"], "left_anti")
+    model = levels.sparkSession.sparkContext.broadcast(tree)
+
+    def start():
+        tree = model.value
+
+        def step(piece):
+            depths, contexts = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in piece.columns)
+            return list(np.unique(np.stack(tree.places(depths, contexts)), axis=1))
+
+        return step
+
+    found = map_slices(others, start, "state long, before long").distinct().toArrow()
+    if found.num_rows:
+        tree.open = tree.opened(list(zip(*(c.to_pylist() for c in found.columns))))
+    return tree, levels, kept
+
+
+def chances(wanted: DataFrame, levels: DataFrame, kept: DataFrame) -> DataFrame:
+    """(run, log): log10 probability of the last byte of each distinct run of ``wanted``, from the
+    root over every kept suffix of its context."""
+    root = levels.where("depth = 0").select(F.col("run").alias("byte"), F.col("n").alias("of"))
+    whole = root.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
+    own = wanted.select("run", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth"))
+    own = own.withColumn("end", F.expr("run & (shiftleft(1L, 8 * (depth + 1)) - 1)"))
+    own = own.withColumn("context", F.expr("shiftright(end, 8)"))
+    own = own.join(kept.select("depth", "context", "total", "kinds"), ["depth", "context"])
+    counted = levels.select("depth", F.col("run").alias("end"), "n")
+    own = own.join(counted, ["depth", "end"], "left").select(
+        "run", F.struct("depth", F.coalesce("n", F.lit(0)).alias("n"), "total", F.greatest(F.col("kinds") * BACK, F.lit(1.0)).alias("back")).alias("s")
+    )
+    steps = own.groupBy("run").agg(F.sort_array(F.collect_list("s")).alias("steps"))
+    both = wanted.join(steps, "run", "left").withColumn("byte", F.expr("run & 255")).join(F.broadcast(root), "byte", "left")
+    start = (F.coalesce("of", F.lit(0)) + 0.5) / F.lit(whole + 0.5 * ALPHABET)
+    last = F.aggregate("steps", start, lambda p, s: (s["n"] + s["back"] * p) / (s["total"] + s["back"]))
+    return both.select("run", F.log10(F.coalesce(last, start)).alias("log"))
 
 
 def scored(docs: DataFrame, tree: SuffixTree, words: list[bytes], found: list[int], totals: dict[int, int]) -> DataFrame:
-    """A row per document: tree score, what the frequent words and the end add to the base, and the
-    other words as hashes with counts."""
+    """A row per document: tree score without the runs that contexts outside the tree may decide,
+    those runs with counts, what the frequent words and the end add to the base, and the other
+    words as hashes with counts."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((tree, words, found))
     schema = (
         "part int, row long, doc_id long, train boolean, n_words long, known long, part_base double, score double, "
-        "rare array<struct<hash: bigint, n: int>>"
+        "rare array<struct<hash: bigint, n: int>>, away array<struct<run: bigint, n: int>>"
     )
     kind = schema_of(schema)
     rare_type = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))
+    away_type = pa.list_(pa.struct([("run", pa.int64()), ("n", pa.int32())]))
     arrow = pa.schema(
         [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_words", pa.int64()),
-         ("known", pa.int64()), ("part_base", pa.float64()), ("score", pa.float64()), ("rare", rare_type)]
+         ("known", pa.int64()), ("part_base", pa.float64()), ("score", pa.float64()), ("rare", rare_type), ("away", away_type)]
     )
 
     def run(batches):
@@ -318,7 +414,7 @@ def scored(docs: DataFrame, tree: SuffixTree, words: list[bytes], found: list[in
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = [word_list(t) for t in piece.column("text").to_pylist()]
-                scores = tree.totals([sequence(ws) for ws in texts])
+                scores, owner, away, times = tree.parts([sequence(ws) for ws in texts])
                 rows = []
                 for ws in texts:
                     base, known, rare = end_base, int(ends > 0), []
@@ -338,9 +434,14 @@ def scored(docs: DataFrame, tree: SuffixTree, words: list[bytes], found: list[in
                 inner = pa.StructArray.from_arrays(
                     [pa.array(hashes, pa.int64()), pa.array(counts, pa.int32())], fields=list(rare_type.value_type)
                 )
+                places = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                far = pa.StructArray.from_arrays(
+                    [pa.array(away, pa.int64()), pa.array(times.astype(np.int32))], fields=list(away_type.value_type)
+                )
                 yield record_batch(
                     [part_, row_, piece.column("doc_id"), piece.column("train"), n, known, base, scores,
-                     pa.ListArray.from_arrays(pa.array(offsets), inner, type=rare_type)], arrow
+                     pa.ListArray.from_arrays(pa.array(offsets), inner, type=rare_type),
+                     pa.ListArray.from_arrays(pa.array(places), far, type=away_type)], arrow
                 )
 
     return docs.mapInArrow(run, kind)
@@ -366,7 +467,8 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
             found[r.key] = r.n
         else:
             totals[r.key] = r.n
-    texts = cut_lineage(scored(docs, fit(counts), words, found, totals), "scored")
+    tree, levels, kept = fit(counts)
+    texts = cut_lineage(scored(docs, tree, words, found, totals), "scored")
 
     rare = texts.select("part", "row", "train", F.explode("rare").alias("w")).select("part", "row", "train", "w.*")
     same = Window.partitionBy("hash")
@@ -382,7 +484,12 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     vocabulary = kinds + sum(c > 0 for c in found) + (totals[0] > 0)
     n = totals[0] + totals[1]
     norm = math.log10(n + 0.5 * (vocabulary + 1))
-    out = texts.drop("rare").join(sums, ["part", "row"], "left")
+    out = texts.drop("rare", "away").join(sums, ["part", "row"], "left")
+    if tree.open is not None:
+        away = texts.select("part", "row", F.explode("away").alias("w")).select("part", "row", "w.*")
+        logs = cut_lineage(chances(away.select("run").distinct(), levels, kept), "chances")
+        more = away.join(logs, "run").groupBy("part", "row").agg(F.sum(F.col("n") * F.col("log")).alias("more"))
+        out = out.join(more, ["part", "row"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     held = F.coalesce(fold(folds) == 1, F.lit(False))
     tokens = F.col("n_words") + 1
     base = F.col("part_base") + F.coalesce("rare_base", F.lit(0.0)) - tokens * norm

@@ -141,3 +141,21 @@ def test_tree_beats_the_base_on_held_out_texts(spark):
     assert len(held) > 1000
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
+
+
+def test_contexts_beyond_those_held_count(spark, monkeypatch):
+    """Scores equal those of the tree of all contexts, however few of them a task holds."""
+    rows = [(i, t, "x", 1) for i, t in enumerate(some_texts(120, 7))] + [(None, "zq \xff the", "x", 1), (500, None, "x", 1)]
+    train = [sequence((t or "").lower().encode().split()) for d, t, *_ in rows if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    by = {}
+    counts = counts_of(train)
+    for (d, s), n in counts.items():
+        by.setdefault((d, number(s[:-1])), []).append((s[-1], n))
+    table = spark.createDataFrame([(d, number(s), n) for (d, s), n in counts.items()], "depth int, run long, n long")
+    tree = SuffixTree.of({(r.depth, r.context) for r in kept_contexts(table).collect()}, by)
+    want = naive(tree, [sequence((t or "").lower().encode().split()) for _, t, *_ in rows])
+    monkeypatch.setattr(suffix_tree_lm, "HELD_CONTEXTS", 15, raising=False)
+    # Where the number is a cap, as it was, it is the default of an argument.
+    monkeypatch.setattr(kept_contexts, "__defaults__", kept_contexts.__defaults__ and (15,))
+    got = {str(r.doc_id): r.score for r in score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == pytest.approx({str(r[0]): w for r, w in zip(rows, want)}, rel=1e-5)
