@@ -13,7 +13,10 @@ from namestrata.llm import (
     graph_search,
     language_id,
     prefix_counts,
+    quadratic_quality,
     rank_codec,
+    ranked_search,
+    spelling_variants,
     substring_dedup,
     suffix_tree_lm,
 )
@@ -74,6 +77,21 @@ def op10_fuzzy_simhash(spark, sf_dir):
     return fuzzy_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Words of all texts with their near words, forms and roots."""
+    return spelling_variants.variants(documents(spark, sf_dir))
+
+
+def op12_quadratic_quality(spark, sf_dir):
+    """Quality score of every whole text, learned from four folds of five."""
+    return quadratic_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -92,8 +110,14 @@ QUERIES = {
         op8_suffix_tree_lm,
         op9_compression_bands,
         op10_fuzzy_simhash,
+        op11_spelling_variants,
+        op12_quadratic_quality,
+        op13_ranked_search,
         pipeline,
     )
 }
-#: None of these can be stated in SQL; tests compare them with brute force and the libraries.
-ORACLES: dict[str, str] = {}
+#: The others cannot be stated in SQL; tests compare them with brute force and the libraries.
+ORACLES: dict[str, str] = {
+    "op11_spelling_variants": spelling_variants.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
+}
