@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namestrata.llm.batches import map_slices, record_batch, schema_of, slices, text_bytes
@@ -19,21 +17,20 @@ from namestrata.session import cut_lineage
 
 #: Bytes of the longest context; with the next byte a run fits one 64-bit number.
 DEPTH = 6
-#: Contexts every task holds, the most frequent ones. All others stay a table that the runs they
-#: may decide are joined with; the split changes no result.
-HELD_CONTEXTS = 60_000
 #: A context is kept if it was seen so often, and if its next bytes differ from those after its
 #: suffix by so many nats in all, per kind of next byte and logarithm of its count.
 LEAST_COUNT, LEAST_GAIN = 8, 0.1
 #: Weight of the suffix's distribution in a context's, in counts per kind of next byte.
 BACK = 4.0
-#: Documents read to find frequent words, and how many of those every task counts in memory.
-#: All other words are counted by a shuffle; the split changes no result.
-PROBE_DOCUMENTS, FREQUENT = 2000, 60_000
+#: Next bytes of kept contexts, and words, that a task holds at once. A larger tree or vocabulary is
+#: dealt into shards, each of which goes over the texts once; the split changes no result.
+HELD_RUNS, HELD_WORDS = 4_000_000, 4_000_000
+#: Words and runs a task counts before it hands its counts on.
+COUNTED_WORDS, COUNTED_RUNS = 400_000, 4_000_000
+#: Words and runs whose logarithms a task remembers.
+KNOWN_WORDS, KNOWN_RUNS = 300_000, 1 << 20
 #: The end of a text; no word holds it.
 END = b"\n"
-#: Bytes scored in one stretch; stretches of a batch advance in step.
-STRETCH = 256
 ALPHABET = 256
 
 
@@ -69,10 +66,15 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     keys, counts = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = firsts(keys)
     return keys[first], np.add.reduceat(counts, first)
 
 
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each value of sorted ``keys`` begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+
+
 def fold(folds: int = 5):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
@@ -83,37 +85,22 @@ def tagged(docs: DataFrame, folds: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(), train.alias("train"))
 
 
-def frequent_words(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of a bounded sample of documents."""
-    n = docs.count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit("probe")), F.lit(1 << 30))
-    some = docs.where(F.coalesce(place, F.lit(0)) < min(1.0, PROBE_DOCUMENTS / max(1, n)) * (1 << 30))
-    kind, arrow = schema_of("word binary, n long"), pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                found = Counter(w for t in piece.column("text").to_pylist() for w in word_list(t))
-                if found:
-                    yield record_batch([list(found), list(found.values())], arrow)
-
-    counted = some.select("text").mapInArrow(run, kind).groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+def word_key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
 #: Kinds of rows of the statistics.
 RUN, WORD, TOTAL = 0, 1, 2
 
 
-def training_counts(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(kind, key, n) over all training texts: runs of bytes, frequent words by number, documents
-    (key 0) and words (key 1)."""
+def training_counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) over all training texts: runs of bytes, words by hash, documents (key 0) and
+    words (key 1). Tasks add up before the exchange."""
     kind = schema_of("kind int, key long, n long")
     arrow = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        number = {w: i for i, w in enumerate(words)}
-        found = np.zeros(len(words) + 1, dtype=np.int64)
+        words: Counter[bytes] = Counter()
         totals = [0, 0]
         held, size = [], 0
 
@@ -124,327 +111,294 @@ def training_counts(docs: DataFrame, words: list[bytes]) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = [word_list(t) for t in piece.column("text").to_pylist()]
-                ids = [number.get(w, len(words)) for ws in texts for w in ws]
-                found += np.bincount(np.array(ids, dtype=np.int64), minlength=len(words) + 1)
                 totals[0] += len(texts)
-                totals[1] += len(ids)
+                totals[1] += sum(map(len, texts))
+                for ws in texts:
+                    words.update(ws)
+                if len(words) > COUNTED_WORDS:
+                    yield rows(WORD, [word_key(w) for w in words], list(words.values()))
+                    words.clear()
                 keys, counts = np.unique(runs(*padded([sequence(ws) for ws in texts])), return_counts=True)
                 held.append((keys, counts))
                 size += len(keys)
-                if size > 6_000_000:
+                if size > 1.5 * COUNTED_RUNS:
                     held = [merged(held)]
                     size = len(held[0][0])
-                    if size > 4_000_000:
+                    if size > COUNTED_RUNS:
                         yield rows(RUN, *held[0])
                         held, size = [], 0
         if held:
             yield rows(RUN, *merged(held))
-        some = np.flatnonzero(found[:-1])
-        yield rows(WORD, some, found[some])
+        yield rows(WORD, [word_key(w) for w in words], list(words.values()))
         yield rows(TOTAL, [0, 1], totals)
 
     counted = docs.where("train").select("text").mapInArrow(run, kind)
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def kept_contexts(counts: DataFrame) -> DataFrame:
-    """(depth, context, gain, total, kinds) of all contexts that pass the test.
+def passing(n: np.ndarray, first: np.ndarray, of: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pass the test, total, kinds) of contexts whose next bytes were seen ``n`` times each, the
+    first of each context at ``first``; ``of`` times of ``whole`` after the suffix.
+
+    The gain is the count times the divergence of the next bytes after the context from those
+    after its suffix without the first byte.
+    """
+    total = np.add.reduceat(n, first)
+    kinds = np.diff(np.concatenate([first, [len(n)]]))
+    ratio = (n / np.repeat(total, kinds)) / (of / whole)
+    gain = np.add.reduceat(n * np.log(ratio), first)
+    return (total >= LEAST_COUNT) & (gain >= LEAST_GAIN * kinds * np.log(total)), total, kinds
+
+
+def subtree(keys: np.ndarray, n: np.ndarray, low: np.ndarray):
+    """(depth, contexts, totals, next bytes, counts) by depth from 2 on of the contexts that pass.
 
-    ``counts`` has (depth, run, n): run is a context of ``depth`` bytes and the next byte. The gain
-    is the count times the divergence of the next bytes after the context from those after its
-    suffix without the first byte.
+    ``keys`` are sorted runs whose contexts end in the same two bytes, so every context from depth
+    2 on is complete here, and so is its suffix; ``low`` counts next bytes after single bytes.
     """
-    counts = counts.withColumn("context", F.expr("shiftright(run, 8)"))
-    total = counts.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    own = counts.join(total.where(f"depth > 0 AND total >= {LEAST_COUNT}"), ["depth", "context"])
-    shorter = counts.select((F.col("depth") + 1).alias("depth"), F.col("run").alias("end"), F.col("n").alias("of"))
-    whole = total.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), F.col("total").alias("all"))
-    # A mask of as many bytes as the shorter context has, and one more for the next byte.
-    own = own.withColumn("end", F.expr("run & (shiftleft(1L, cast(8 * depth as int)) - 1)"))
-    own = own.withColumn("suffix", F.expr("shiftright(end, 8)"))
-    own = own.join(shorter, ["depth", "end"]).join(whole, ["depth", "suffix"])
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("of") / F.col("all"))))
-    gains = own.groupBy("depth", "context").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-    gains = gains.where(F.col("gain") >= LEAST_GAIN * F.col("kinds") * F.log("total"))
-    return gains.select("depth", "context", "gain", "total", "kinds")
+    levels = {}
+    for depth in range(DEPTH, 1, -1):
+        end = np.uint64((1 << 8 * (depth + 1)) - 1)
+        levels[depth] = merged([(keys & end, n)])
+    for depth in range(2, DEPTH + 1):
+        own, count = levels[depth]
+        context = own >> np.uint64(8)
+        first = firsts(context)
+        if depth == 2:
+            byte, before = (own & np.uint64(255)).astype(np.int64), (context & np.uint64(255)).astype(np.int64)
+            of, whole = low[before, byte], low.sum(axis=1)[before]
+        else:
+            shorter, times = levels[depth - 1]
+            at = np.searchsorted(shorter, own & np.uint64((1 << 8 * depth) - 1))
+            start = firsts(shorter >> np.uint64(8))
+            sums = np.add.reduceat(times, start)
+            of, whole = times[at], sums[np.searchsorted(start, at, side="right") - 1]
+        good, total, kinds = passing(count, first, of, whole)
+        mine = np.repeat(good, kinds)
+        if good.any():
+            yield depth, context[first][good], total[good], kinds[good], (own[mine] & np.uint64(255)).astype(np.uint8), count[mine]
+
+
+def tree_rows(counts: DataFrame, low: np.ndarray) -> DataFrame:
+    """(ending, depth, context, total, next, n) of all contexts of two bytes and more that pass.
+
+    Runs are dealt out by the last two bytes of their context. A task reads one such group at a
+    time, as numbers: its size is the number of distinct runs around two bytes, not of occurrences.
+    """
+    kind = schema_of("ending int, depth int, context long, total long, next binary, n array<long>")
+    lists = pa.list_(pa.int64())
+    arrow = pa.schema([("ending", pa.int32()), ("depth", pa.int32()), ("context", pa.int64()), ("total", pa.int64()), ("next", pa.binary()), ("n", lists)])
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def work(ending, keys, n):
+            starts = firsts(ending)
+            for s, e in zip(starts, [*starts[1:], len(ending)]):
+                order = np.argsort(keys[s:e])
+                for depth, context, total, kinds, byte, count in subtree(keys[s:e][order], n[s:e][order], low):
+                    stop = np.concatenate([[0], np.cumsum(kinds)]).astype(np.int32)
+                    after = [byte[a:b].tobytes() for a, b in zip(stop[:-1], stop[1:])]
+                    size = len(context)
+                    yield record_batch(
+                        [np.full(size, ending[s], np.int32), np.full(size, depth, np.int32), pa.array(context.astype(np.int64)),
+                         pa.array(total.astype(np.int64)), after, pa.ListArray.from_arrays(pa.array(stop), pa.array(count.astype(np.int64)), type=lists)], arrow
+                    )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(c).to_numpy() for c in ("ending", "key", "n")]
+            cut = int(np.searchsorted(part[0], part[0][-1]))
+            if cut or (held and held[0][0][0] != part[0][0]):
+                held.append(tuple(x[:cut] for x in part))
+                ending, keys, n = (np.concatenate(x) for x in zip(*held))
+                yield from work(ending, keys.view(np.uint64), n)
+                held = []
+            held.append(tuple(x[cut:] for x in part))
+        if held:
+            ending, keys, n = (np.concatenate(x) for x in zip(*held))
+            yield from work(ending, keys.view(np.uint64), n)
+
+    ending = F.expr("cast(shiftright(key, 8) & 65535 as int)")
+    dealt = counts.where(f"kind = {RUN}").select(ending.alias("ending"), "key", "n")
+    return dealt.repartition("ending").sortWithinPartitions("ending").mapInArrow(run, kind)
 
 
 @dataclass
 class SuffixTree:
-    """The model: states are contexts closed under dropping bytes at either end, so the state of a
-    text is always its longest suffix among them."""
-
-    #: By state, root first, by growing length: context, length, state without the first byte,
-    #: state without the last byte, and whether the context has next bytes of its own.
-    contexts: np.ndarray
-    lengths: np.ndarray
-    suffix: np.ndarray
-    prefix: np.ndarray
-    own: np.ndarray
-    #: Next bytes with counts: state, byte, count.
-    state: np.ndarray
-    byte: np.ndarray
-    count: np.ndarray
-    #: By state and column of the byte before it: whether a context outside the tree may follow on.
-    open: np.ndarray | None = None
+    """The root and single bytes as counts, and the kept contexts of some endings: by depth the
+    contexts, sorted, with totals and weights of their suffix, and their runs, sorted, with counts."""
+
+    low: np.ndarray
+    contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    followers: dict[int, tuple[np.ndarray, np.ndarray]]
+    #: Whether an ending, two bytes as a number, is answered here.
+    mine: np.ndarray
 
     @classmethod
-    def of(cls, kept: set[tuple[int, int]], followers: dict[tuple[int, int], list[tuple[int, int]]]) -> SuffixTree:
-        closed = {(0, 0)}
-        todo = list(kept)
-        while todo:
-            depth, context = todo.pop()
-            if (depth, context) not in closed:
-                closed.add((depth, context))
-                todo += [(depth - 1, context & ((1 << 8 * (depth - 1)) - 1)), (depth - 1, context >> 8)]
-        states = sorted(closed)
-        number = {s: i for i, s in enumerate(states)}
-        suffix = [number[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else 0 for d, c in states]
-        prefix = [number[d - 1, c >> 8] if d else 0 for d, c in states]
-        own = [s in kept or s == (0, 0) for s in states]
-        rows = [(i, b, n) for i, s in enumerate(states) if own[i] for b, n in followers.get(s, ())]
-        table = np.array(rows, dtype=np.int64).reshape(-1, 3)
-        numbers = (np.array(x, dtype=np.int64) for x in ([c for _, c in states], [d for d, _ in states], suffix, prefix))
-        return cls(*numbers, np.array(own, dtype=bool), table[:, 0], table[:, 1], table[:, 2])
-
-    @cached_property
-    def automaton(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(column of each byte, next state, log10 probability, columns): flat by state and column.
-
-        The last column stands for each byte that no training text has.
-        """
-        seen = np.unique(np.concatenate([self.byte, self.contexts[self.lengths == 1]]))
-        columns = len(seen) + 1
-        column = np.full(256, len(seen), dtype=np.int64)
-        column[seen] = np.arange(len(seen))
-        n = len(self.contexts)
-        chance = np.zeros((n, columns))
-        step = np.zeros((n, columns), dtype=np.int32)
-        total = np.bincount(self.state, weights=self.count, minlength=n)
-        kinds = np.bincount(self.state, minlength=n)
-        counts = np.zeros((n, columns), dtype=np.float32)
-        counts[self.state, column[self.byte]] = self.count
-        chance[0] = (counts[0] + 0.5) / (total[0] + 0.5 * ALPHABET)
-        for length in range(int(self.lengths.max(initial=0)) + 1):
-            now = np.flatnonzero(self.lengths == length)
-            if length:
-                # A state without next bytes of its own speaks for its suffix.
-                back = np.where(self.own[now], np.maximum(BACK * kinds[now], 1), 1.0)[:, None]
-                chance[now] = (counts[now] + back * chance[self.suffix[now]]) / (total[now][:, None] + back)
-                step[now] = step[self.suffix[now]]
-            longer = np.flatnonzero(self.lengths == length + 1)
-            step[self.prefix[longer], column[self.contexts[longer] & 255]] = longer
-        return column, step.reshape(-1), np.log10(chance).astype(np.float32).reshape(-1), columns
-
-    def opened(self, found: list[tuple[int, int]]) -> np.ndarray:
-        """``open`` from (state, column) of the contexts outside; column -1 stands for the state itself."""
-        columns = self.automaton[3]
-        out = np.zeros((len(self.contexts), columns), dtype=bool)
-        whole = np.zeros(len(self.contexts), dtype=bool)
-        state, column = np.array(found, dtype=np.int64).reshape(-1, 2).T
-        whole[state[column < 0]] = True
-        out[state[column >= 0], column[column >= 0]] = True
-        # A state that ends in such a context meets it too; suffixes come first.
-        for length in range(1, int(self.lengths.max(initial=0)) + 1):
-            now = np.flatnonzero(self.lengths == length)
-            whole[now] |= whole[self.suffix[now]]
-        out[whole] = True
-        return out.reshape(-1)
-
-    def places(self, depths: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state, column) of contexts: their longest suffix that is a state, and the column of the
-        byte before that suffix, -1 if it is the whole context."""
-        column, step, _, columns = self.automaton
-        state = np.zeros(len(contexts), dtype=np.int64)
-        for k in range(DEPTH, 0, -1):
-            inside = depths >= k
-            byte = column[(contexts[inside] >> 8 * (k - 1)) & 255]
-            state[inside] = step[state[inside] * columns + byte]
-        length = self.lengths[state]
-        return state, np.where(length == depths, -1, column[(contexts >> 8 * length) & 255])
+    def of(cls, low: np.ndarray, table: pa.Table, mine: np.ndarray) -> SuffixTree:
+        contexts, followers = {}, {}
+        for depth in range(2, DEPTH + 1):
+            own = table.filter(np.asarray(table.column("depth")) == depth).sort_by("context").combine_chunks()
+            if not own.num_rows:
+                continue
+            context = np.asarray(own.column("context")).astype(np.uint64)
+            after = own.column("next").to_pylist()
+            kinds = np.fromiter(map(len, after), dtype=np.int64, count=len(after))
+            byte = np.frombuffer(b"".join(after), dtype=np.uint8)
+            n = np.asarray(own.column("n").combine_chunks().flatten())
+            run = (np.repeat(context, kinds) << np.uint64(8)) | byte
+            order = np.argsort(run, kind="stable")
+            # Whole numbers either way; halves what most trees take.
+            narrow = np.uint32 if int(n.max()) < 1 << 32 else np.int64
+            contexts[depth] = context, np.asarray(own.column("total")).astype(np.float64), np.maximum(BACK * kinds, 1.0)
+            followers[depth] = run[order], n[order].astype(narrow)
+        return cls(low, contexts, followers, mine)
+
+    def log10(self, run: np.ndarray) -> np.ndarray:
+        """Log probability of the last byte of each run, after the longest suffix of the bytes before
+        it that was kept, which mixes in its own suffixes down to the root."""
+        byte, before = (run & np.uint64(255)).astype(np.int64), ((run >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+        root = self.low.sum(axis=0)
+        chance = ((root + 0.5) / (root.sum() + 0.5 * ALPHABET))[byte]
+        good, total, kinds = self.single()
+        own = good[before]
+        back = np.maximum(BACK * kinds, 1.0)[before]
+        chance = np.where(own, (self.low[before, byte] + back * chance) / (total[before] + back), chance)
+        for depth, (context, total, back) in self.contexts.items():
+            key = run & np.uint64((1 << 8 * (depth + 1)) - 1)
+            at = np.minimum(np.searchsorted(context, key >> np.uint64(8)), len(context) - 1)
+            hit = np.flatnonzero(context[at] == key >> np.uint64(8))
+            at, key = at[hit], key[hit]
+            known, times = self.followers[depth]
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            n = np.where(known[place] == key, times[place], 0)
+            chance[hit] = (n + back[at] * chance[hit]) / (total[at] + back[at])
+        return np.log10(chance)
+
+    def single(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(kept, total, kinds) of each single byte as a context."""
+        total, kinds, root = self.low.sum(axis=1), (self.low > 0).sum(axis=1), self.low.sum(axis=0)
+        good = np.zeros(256, dtype=bool)
+        some = np.flatnonzero(total)
+        if len(some):
+            a, b = np.nonzero(self.low)
+            n = self.low[a, b].astype(np.float64)
+            good[some] = passing(n, firsts(a), root[b], np.full(len(b), root.sum()))[0]
+        return good, total, kinds
+
+
+class Scorer:
+    """Log probabilities of texts under a tree; what a run gives is remembered by its hash's slot."""
+
+    def __init__(self, tree: SuffixTree):
+        self.tree = tree
+        self.run = np.zeros(KNOWN_RUNS, dtype=np.uint64)
+        # Empty slots hold no number.
+        self.log = np.full(KNOWN_RUNS, np.nan)
+        self.bits = np.uint64(64 - (KNOWN_RUNS - 1).bit_length())
+
+    def log10(self, run: np.ndarray) -> np.ndarray:
+        slot = ((run * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+        out = self.log[slot]
+        away = np.flatnonzero((self.run[slot] != run) | np.isnan(out))
+        if len(away):
+            new, back = np.unique(run[away], return_inverse=True)
+            logs = self.tree.log10(new)
+            out[away] = logs[back]
+            slot = ((new * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+            # Of runs that share a slot the last one stays, in both arrays alike.
+            _, last = np.unique(slot[::-1], return_index=True)
+            last = len(slot) - 1 - last
+            self.run[slot[last]], self.log[slot[last]] = new[last], logs[last]
+        return out
 
     def totals(self, sequences: list[bytes]) -> np.ndarray:
-        """Log probability of each sequence."""
+        """Log probability of each sequence over the bytes that are answered here."""
         if not sequences:
             return np.zeros(0)
         sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
-        return np.add.reduceat(self.log10(sequences), np.cumsum(sizes) - sizes)
-
-    def log10(self, sequences: list[bytes]) -> np.ndarray:
-        """Log probability of every byte of the sequences, laid end to end: after the longest
-        suffix of what precedes it that is a state."""
-        return self.walk(sequences)[0]
-
-    def parts(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(log probability of each sequence without its open bytes; sequence number, run and count
-        of the open ones)."""
-        none = np.zeros(0, dtype=np.int64)
-        if not sequences or self.open is None:
-            return self.totals(sequences), none, none, none
-        logs, away = self.walk(sequences)
-        logs[away] = 0.0
-        sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
-        owner = np.repeat(np.arange(len(sizes)), sizes)[away]
-        run = runs(*padded(sequences))[away].view(np.int64)
-        order = np.lexsort((run, owner))
-        owner, run = owner[order], run[order]
-        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])])[: len(run)])
-        count = np.diff(np.concatenate([first, [len(run)]]))
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes), owner[first], run[first], count
-
-    def walk(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability, open) of every byte of the sequences, laid end to end.
-
-        Long sequences are cut into stretches; one warms up on the DEPTH bytes before it, which
-        alone decide its state.
-        """
-        if not sequences:
-            return np.zeros(0), np.zeros(0, dtype=bool)
-        column, step, chance, columns = self.automaton
-        data, begins = padded(sequences)
-        data = column[data]
-        sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
-        pieces = -(-sizes // STRETCH)
-        owner = np.repeat(np.arange(len(sizes)), pieces)
-        skip = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
-        length = np.minimum(sizes[owner] - skip, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        owner, skip, length = owner[order], skip[order], length[order]
-        at, to = begins[owner] + skip, (begins - DEPTH * (np.arange(len(sizes)) + 1))[owner] + skip
-        state = np.zeros(len(at), dtype=np.int64)
-        for k in range(DEPTH):
-            state = step[state * columns + data[at - DEPTH + k]].astype(np.int64)
-        out = np.zeros(int(sizes.sum()), dtype=np.float64)
-        away = np.zeros(len(out), dtype=bool)
-        for k in range(int(length[0])):
-            live = int(np.searchsorted(-length, -k, side="left"))
-            cell = state[:live] * columns + data[at[:live] + k]
-            out[to[:live] + k] = chance[cell]
-            if self.open is not None:
-                now = state[:live]
-                away[to[:live] + k] = self.open[now * columns + data[at[:live] + k - self.lengths[now] - 1]]
-            state[:live] = step[cell]
-        return out, away
-
-
-def fit(counts: DataFrame) -> tuple[SuffixTree, DataFrame, DataFrame]:
-    """(tree of the held contexts, runs of all depths, all contexts) from the table of
-    ``training_counts``; what is gathered is bounded by HELD_CONTEXTS contexts and their next bytes."""
-    by_run = counts.where(f"kind = {RUN}").select("key", "n")
-    depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
-    levels = by_run.select("n", "key", depths.alias("depth"))
-    run = F.expr("key & (shiftleft(1L, 8 * (depth + 1)) - 1)")
-    levels = levels.select("depth", run.alias("run"), "n").groupBy("depth", "run").agg(F.sum("n").alias("n"))
-    levels = cut_lineage(levels, "levels")
-    kept = cut_lineage(kept_contexts(levels), "contexts")
-    root = levels.sparkSession.createDataFrame([(0, 0)], "depth int, context long")
-    # A suffix is as frequent as what ends in it at least, and shorter.
-    held = kept.orderBy(F.desc("total"), "depth", "context").limit(HELD_CONTEXTS)
-    held = cut_lineage(held.select("depth", "context"), "held")
-    wanted = held.union(root)
-    next_bytes = levels.withColumn("context", F.expr("shiftright(run, 8)")).join(F.broadcast(wanted), ["depth", "context"])
-    followers: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    table = next_bytes.select("depth", "context", F.expr("run & 255").alias("byte"), "n").toArrow()
-    for depth, context, byte, n in zip(*(c.to_pylist() for c in table.columns)):
-        followers.setdefault((depth, context), []).append((byte, n))
-    chosen = {(r.depth, r.context) for r in held.collect()}
-    tree = SuffixTree.of(chosen, followers)
-    others = kept.select("depth", "context").join(F.broadcast(held), ["depth", "context"], "left_anti")
-    model = levels.sparkSession.sparkContext.broadcast(tree)
+        run = runs(*padded(sequences))
+        logs = np.zeros(len(run))
+        if self.tree.mine.all():
+            logs = self.log10(run)
+        else:
+            mine = np.flatnonzero(self.tree.mine[((run >> np.uint64(8)) & np.uint64(65535)).astype(np.int64)])
+            logs[mine] = self.log10(run[mine])
+        return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+
+
+class WordLogs:
+    """(log10(c + 0.5), whether c > 0) of words, for the words of one shard; of others (0, False)."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shard: int, shards: int):
+        self.keys, self.counts, self.shard, self.shards = keys, counts, shard, shards
+        self.known: dict[bytes, tuple[float, bool]] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Looks up what is not known yet, all at once."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        key = np.array([word_key(w) for w in new], dtype=np.int64)
+        c = np.zeros(len(new), dtype=np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            c = np.where(self.keys[at] == key, self.counts[at], 0)
+        logs = np.where(key % self.shards == self.shard, np.log10(c + 0.5), 0.0)
+        self.known.update(zip(new, zip(logs.tolist(), (c > 0).tolist())))
+
+    def sums(self, words: list[bytes]) -> tuple[float, int]:
+        base, known, of = 0.0, 0, self.known
+        for w, n in Counter(words).items():
+            log, seen = of[w]
+            base += n * log
+            known += n * seen
+        return base, known
+
+
+def dealt_out(sizes: dict[int, int], most: int) -> tuple[np.ndarray, int]:
+    """(shard of each ending, shards): the largest first, each to the emptiest shard, so that a
+    shard holds at most ``most`` runs unless one ending alone has more."""
+    shards = max(1, -(-int(sum(sizes.values()) * 1.05) // most)) if sum(sizes.values()) > most else 1
+    of, load = np.zeros(65536, dtype=np.int64), np.zeros(shards, dtype=np.int64)
+    for ending, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        of[ending] = int(load.argmin())
+        load[of[ending]] += n
+    return of, shards
+
+
+def scored(docs: DataFrame, tree: SuffixTree, words: WordLogs, ends: int) -> DataFrame:
+    """(doc_id, d1, d2, n_words, n_known, base, score) per row of ``docs``: what a shard knows of the
+    logarithms of its words and bytes, and two digests that stand for the text."""
+    # One object, so that a task reads it once.
+    shared = docs.sparkSession.sparkContext.broadcast((tree, words, ends))
 
     def start():
-        tree = model.value
+        tree, words, ends = shared.value
+        scorer = Scorer(tree)
+        first = words.shard == 0
+        end_base, end_known = (math.log10(ends + 0.5), int(ends > 0)) if first else (0.0, 0)
 
         def step(piece):
-            depths, contexts = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in piece.columns)
-            return list(np.unique(np.stack(tree.places(depths, contexts)), axis=1))
+            raw = piece.column("text").to_pylist()
+            texts = [word_list(t) for t in raw]
+            words.learn(set().union(*texts))
+            base, known = zip(*(words.sums(ws) for ws in texts))
+            digests = [[xxhash.xxh64_intdigest(t or b"", s) - (1 << 63) for t in raw] for s in (0, 1)]
+            scores = scorer.totals([sequence(ws) for ws in texts])
+            return [
+                piece.column("doc_id"), *digests, [len(ws) for ws in texts], [k + end_known for k in known],
+                [b + end_base for b in base], scores,
+            ]
 
         return step
 
-    found = map_slices(others, start, "state long, before long").distinct().toArrow()
-    if found.num_rows:
-        tree.open = tree.opened(list(zip(*(c.to_pylist() for c in found.columns))))
-    return tree, levels, kept
-
-
-def chances(wanted: DataFrame, levels: DataFrame, kept: DataFrame) -> DataFrame:
-    """(run, log): log10 probability of the last byte of each distinct run of ``wanted``, from the
-    root over every kept suffix of its context."""
-    root = levels.where("depth = 0").select(F.col("run").alias("byte"), F.col("n").alias("of"))
-    whole = root.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
-    own = wanted.select("run", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth"))
-    own = own.withColumn("end", F.expr("run & (shiftleft(1L, 8 * (depth + 1)) - 1)"))
-    own = own.withColumn("context", F.expr("shiftright(end, 8)"))
-    own = own.join(kept.select("depth", "context", "total", "kinds"), ["depth", "context"])
-    counted = levels.select("depth", F.col("run").alias("end"), "n")
-    own = own.join(counted, ["depth", "end"], "left").select(
-        "run", F.struct("depth", F.coalesce("n", F.lit(0)).alias("n"), "total", F.greatest(F.col("kinds") * BACK, F.lit(1.0)).alias("back")).alias("s")
-    )
-    steps = own.groupBy("run").agg(F.sort_array(F.collect_list("s")).alias("steps"))
-    both = wanted.join(steps, "run", "left").withColumn("byte", F.expr("run & 255")).join(F.broadcast(root), "byte", "left")
-    start = (F.coalesce("of", F.lit(0)) + 0.5) / F.lit(whole + 0.5 * ALPHABET)
-    last = F.aggregate("steps", start, lambda p, s: (s["n"] + s["back"] * p) / (s["total"] + s["back"]))
-    return both.select("run", F.log10(F.coalesce(last, start)).alias("log"))
-
-
-def scored(docs: DataFrame, tree: SuffixTree, words: list[bytes], found: list[int], totals: dict[int, int]) -> DataFrame:
-    """A row per document: tree score without the runs that contexts outside the tree may decide,
-    those runs with counts, what the frequent words and the end add to the base, and the other
-    words as hashes with counts."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((tree, words, found))
-    schema = (
-        "part int, row long, doc_id long, train boolean, n_words long, known long, part_base double, score double, "
-        "rare array<struct<hash: bigint, n: int>>, away array<struct<run: bigint, n: int>>"
-    )
-    kind = schema_of(schema)
-    rare_type = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))
-    away_type = pa.list_(pa.struct([("run", pa.int64()), ("n", pa.int32())]))
-    arrow = pa.schema(
-        [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_words", pa.int64()),
-         ("known", pa.int64()), ("part_base", pa.float64()), ("score", pa.float64()), ("rare", rare_type), ("away", away_type)]
-    )
-
-    def run(batches):
-        tree, words, found = model.value
-        part, row = TaskContext.get().partitionId(), 0
-        logs = {w: math.log10(c + 0.5) for w, c in zip(words, found)}
-        unseen = {w for w, c in zip(words, found) if not c}
-        end_base, ends, digest = math.log10(totals[0] + 0.5), totals[0], xxhash.xxh64_intdigest
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                texts = [word_list(t) for t in piece.column("text").to_pylist()]
-                scores, owner, away, times = tree.parts([sequence(ws) for ws in texts])
-                rows = []
-                for ws in texts:
-                    base, known, rare = end_base, int(ends > 0), []
-                    for w, n in Counter(ws).items():
-                        log = logs.get(w)
-                        if log is None:
-                            rare.append((digest(w) - (1 << 63), n))
-                        else:
-                            base += n * log
-                            known += 0 if w in unseen else n
-                    rows.append((part, row, len(ws), known, base, rare))
-                    row += 1
-                part_, row_, n, known, base, rare = zip(*rows)
-                flat = [x for r in rare for x in r]
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
-                hashes, counts = zip(*flat) if flat else ((), ())
-                inner = pa.StructArray.from_arrays(
-                    [pa.array(hashes, pa.int64()), pa.array(counts, pa.int32())], fields=list(rare_type.value_type)
-                )
-                places = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-                far = pa.StructArray.from_arrays(
-                    [pa.array(away, pa.int64()), pa.array(times.astype(np.int32))], fields=list(away_type.value_type)
-                )
-                yield record_batch(
-                    [part_, row_, piece.column("doc_id"), piece.column("train"), n, known, base, scores,
-                     pa.ListArray.from_arrays(pa.array(offsets), inner, type=rare_type),
-                     pa.ListArray.from_arrays(pa.array(places), far, type=away_type)], arrow
-                )
-
-    return docs.mapInArrow(run, kind)
+    kind = "doc_id long, d1 long, d2 long, n_words long, n_known long, base double, score double"
+    return map_slices(docs.select("doc_id", "text"), start, kind, weight="text")
 
 
 def score(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -456,49 +410,48 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     knows no token and the tree gives every byte the same chance. Other columns are ignored.
 
     ``score`` is the tree's log10 probability of the words, a space between them, and the end.
+    Every context that passes the test is kept. What a task holds is bounded: where the tree or the
+    vocabulary is larger, each shard of them goes over the texts once and narrow sums are added up.
     """
     docs = tagged(docs, folds)
-    words = frequent_words(docs)
-    counts = cut_lineage(training_counts(docs, words), "counts")
-    small = counts.where(f"kind <> {RUN}").collect()
-    found, totals = [0] * len(words), {0: 0, 1: 0}
-    for r in small:
-        if r.kind == WORD:
-            found[r.key] = r.n
-        else:
-            totals[r.key] = r.n
-    tree, levels, kept = fit(counts)
-    texts = cut_lineage(scored(docs, tree, words, found, totals), "scored")
-
-    rare = texts.select("part", "row", "train", F.explode("rare").alias("w")).select("part", "row", "train", "w.*")
-    same = Window.partitionBy("hash")
-    rare = rare.withColumn("c", F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).over(same))
-    rare = rare.withColumn("head", F.row_number().over(same.orderBy("part", "row")) == 1)
-    sums = rare.groupBy("part", "row").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_base"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.when(F.col("head") & (F.col("c") > 0), 1).otherwise(0)).alias("kinds"),
-    )
-    sums = cut_lineage(sums, "sums")
-    kinds = sums.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("n")).first().n
-    vocabulary = kinds + sum(c > 0 for c in found) + (totals[0] > 0)
-    n = totals[0] + totals[1]
-    norm = math.log10(n + 0.5 * (vocabulary + 1))
-    out = texts.drop("rare", "away").join(sums, ["part", "row"], "left")
-    if tree.open is not None:
-        away = texts.select("part", "row", F.explode("away").alias("w")).select("part", "row", "w.*")
-        logs = cut_lineage(chances(away.select("run").distinct(), levels, kept), "chances")
-        more = away.join(logs, "run").groupBy("part", "row").agg(F.sum(F.col("n") * F.col("log")).alias("more"))
-        out = out.join(more, ["part", "row"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
-    held = F.coalesce(fold(folds) == 1, F.lit(False))
+    spark = docs.sparkSession
+    counts = cut_lineage(training_counts(docs), "counts")
+    totals = {r.key: r.n for r in counts.where(f"kind = {TOTAL}").collect()}
+    vocabulary = counts.where(f"kind = {WORD}").count()
+    low = np.zeros((256, 256), dtype=np.int64)
+    for r in counts.where(f"kind = {RUN}").groupBy(F.expr("key & 65535").alias("pair")).agg(F.sum("n").alias("n")).collect():
+        low[r.pair >> 8, r.pair & 255] = r.n
+    tree = cut_lineage(tree_rows(counts, low), "tree")
+    sizes = {r.ending: r.n for r in tree.groupBy("ending").agg(F.sum(F.size("n")).alias("n")).collect()}
+    of, shards = dealt_out(sizes, HELD_RUNS)
+    shards = max(shards, -(-vocabulary // HELD_WORDS))
+
+    parts = []
+    for s in range(shards):
+        own = counts.where((F.col("kind") == WORD) & (F.pmod("key", F.lit(shards)) == s)).select("key", "n").toArrow().sort_by("key")
+        words = WordLogs(*(np.asarray(own.column(c)) for c in ("key", "n")), s, shards)
+        endings = spark.createDataFrame([(int(e),) for e in sizes if of[e] == s], "ending int")
+        rows = tree.join(F.broadcast(endings), "ending", "left_semi") if shards > 1 else tree
+        table = rows.select("depth", "context", "total", "next", "n").toArrow()
+        parts.append(scored(docs, SuffixTree.of(low, table, of == s), words, totals.get(0, 0)))
+    out = parts[0]
+    if shards > 1:
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        # Rows alike in id and text are one group, and as many rows again afterwards.
+        sums = [F.sum(c).alias(c) for c in ("n_known", "base", "score")]
+        out = out.groupBy("doc_id", "d1", "d2").agg(F.first("n_words").alias("n_words"), *sums, (F.count("*") / shards).alias("copies"))
+        alike = [(F.col(c) / F.col("copies")).alias(c) for c in ("n_known", "base", "score")]
+        out = out.select("doc_id", "n_words", *alike, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    n = totals.get(0, 0) + totals.get(1, 0)
+    norm = math.log10(n + 0.5 * (vocabulary + (totals.get(0, 0) > 0) + 1))
     tokens = F.col("n_words") + 1
-    base = F.col("part_base") + F.coalesce("rare_base", F.lit(0.0)) - tokens * norm
     return out.select(
         "doc_id",
-        held.alias("held_out"),
+        F.coalesce(fold(folds) == 1, F.lit(False)).alias("held_out"),
         tokens.alias("n_tokens"),
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.col("n_known").cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
+        (F.col("base") - tokens * norm).alias("base_score"),
         "score",
     )

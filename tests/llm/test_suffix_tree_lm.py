@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from namestrata.llm import suffix_tree_lm
-from namestrata.llm.suffix_tree_lm import DEPTH, END, SuffixTree, kept_contexts, merged, padded, runs, score, sequence
+from namestrata.llm.suffix_tree_lm import DEPTH, END, RUN, Scorer, SuffixTree, dealt_out, merged, padded, runs, score, sequence, tree_rows
 
 SCHEMA = "doc_id long, text string, train string, n int"
 
@@ -40,66 +40,101 @@ def test_runs_stay_inside_texts():
     assert dict(zip(keys.tolist(), n.tolist())) == want
 
 
-def naive(tree, sequences):
-    """The same model byte by byte: the longest suffix that is a state, probabilities by recursion."""
-    states = {(int(d), int(c)): i for i, (d, c) in enumerate(zip(tree.lengths, tree.contexts))}
-    follow = {}
-    for s, b, n in zip(tree.state, tree.byte, tree.count):
-        follow.setdefault(int(s), {})[int(b)] = int(n)
-
-    def chance(i, byte):
-        own = follow.get(i, {})
-        if i == 0:
-            return (own.get(byte, 0) + 0.5) / (sum(own.values()) + 128)
-        if not tree.own[i]:
-            return chance(int(tree.suffix[i]), byte)
-        back = max(suffix_tree_lm.BACK * len(own), 1)
-        return (own.get(byte, 0) + back * chance(int(tree.suffix[i]), byte)) / (sum(own.values()) + back)
-
-    out = []
-    for s in sequences:
-        text, total = END * DEPTH + s, 0.0
-        for i in range(DEPTH, len(text)):
-            d = max(d for d in range(DEPTH + 1) if (d, number(text[i - d : i])) in states)
-            total += math.log10(chance(states[d, number(text[i - d : i])], text[i]))
-        out.append(total)
-    return out
-
-
-def test_kept_contexts_and_scores(spark):
-    sequences = [sequence(t.lower().encode().split()) for t in some_texts()]
-    counts = counts_of(sequences)
-    rows = [(d, number(s), n) for (d, s), n in counts.items()]
-    kept = {(r.depth, r.context): r.gain for r in kept_contexts(spark.createDataFrame(rows, "depth int, run long, n long")).collect()}
-    want = {}
+def followers_of(counts):
     by = {}
     for (d, s), n in counts.items():
         by.setdefault((d, s[:-1]), {})[s[-1]] = n
+    return by
+
+
+def kept_of(by):
+    """Contexts that pass the test, by the formula."""
+    out = set()
     for (d, c), own in by.items():
         total = sum(own.values())
         if d and total >= suffix_tree_lm.LEAST_COUNT:
             short = by[d - 1, c[1:]]
             gain = sum(n * math.log(n / total * sum(short.values()) / short[b]) for b, n in own.items())
             if gain >= suffix_tree_lm.LEAST_GAIN * len(own) * math.log(total):
-                want[d, number(c)] = gain
-    assert kept == pytest.approx(want) and len(want) > 50
+                out.add((d, c))
+    return out
 
-    followers = {(d, number(c)): list(own.items()) for (d, c), own in by.items()}
-    tree = SuffixTree.of(set(kept), followers)
-    odd = [sequence(t) for t in ([], [b"zzz", b"\xff"], [b"the"] * 900, "éé tion".encode().split())]
-    assert tree.totals(sequences[:40] + odd) == pytest.approx(naive(tree, sequences[:40] + odd), rel=1e-5)
 
+def chance(by, kept, context, byte):
+    """The model by recursion over suffixes."""
+    own = by.get((len(context), context), {})
+    if not context:
+        return (own.get(byte, 0) + 0.5) / (sum(own.values()) + 128)
+    shorter = chance(by, kept, context[1:], byte)
+    if (len(context), context) not in kept:
+        return shorter
+    back = max(suffix_tree_lm.BACK * len(own), 1)
+    return (own.get(byte, 0) + back * shorter) / (sum(own.values()) + back)
 
-def test_probabilities_sum_to_one():
-    sequences = [sequence(t.encode().split()) for t in some_texts(50)]
-    by = {}
-    for (d, s), n in counts_of(sequences).items():
-        by.setdefault((d, number(s[:-1])), []).append((s[-1], n))
-    tree = SuffixTree.of({k for k in by if k[0] in (1, 2)}, by)
-    column, _, chance, columns = tree.automaton
-    sums = (10.0 ** chance.reshape(-1, columns)).astype(float)
-    sums[:, -1] *= 256 - (columns - 1)
-    assert sums.sum(axis=1) == pytest.approx(np.ones(len(sums)), rel=1e-4)
+
+def naive(by, kept, sequences):
+    out = []
+    for s in sequences:
+        text = END * DEPTH + s
+        out.append(sum(math.log10(chance(by, kept, text[i - DEPTH : i], text[i])) for i in range(DEPTH, len(text))))
+    return out
+
+
+def low_of(by):
+    low = np.zeros((256, 256), dtype=np.int64)
+    for (d, c), own in by.items():
+        if d == 1:
+            for b, n in own.items():
+                low[c[0], b] = n
+    return low
+
+
+def test_kept_contexts(spark):
+    sequences = [sequence(t.lower().encode().split()) for t in some_texts()]
+    counts = counts_of(sequences)
+    by = followers_of(counts)
+    rows = [(RUN, number(s), n) for (d, s), n in counts.items() if d == DEPTH] + [(1, 5, 7), (2, 0, 1)]
+    table = spark.createDataFrame(rows, "kind int, key long, n long").repartition(3)
+    got = {}
+    for r in tree_rows(table, low_of(by)).collect():
+        assert r.ending == r.context & 65535
+        got[r.depth, r.context] = (r.total, dict(zip(r.next, r.n)))
+    kept = kept_of(by)
+    assert got == {(d, number(c)): (sum(by[d, c].values()), by[d, c]) for d, c in kept if d > 1} and len(got) > 50
+    single = SuffixTree(low_of(by), {}, {}, np.ones(65536, dtype=bool)).single()[0]
+    assert {bytes([b]) for b in np.flatnonzero(single)} == {c for d, c in kept if d == 1}
+
+
+def test_probabilities_sum_to_one(spark):
+    sequences = [sequence(t.lower().encode().split()) for t in some_texts(60)]
+    counts = counts_of(sequences)
+    by = followers_of(counts)
+    rows = [(RUN, number(s), n) for (d, s), n in counts.items() if d == DEPTH]
+    table = tree_rows(spark.createDataFrame(rows, "kind int, key long, n long"), low_of(by)).toArrow()
+    tree = SuffixTree.of(low_of(by), table, np.ones(65536, dtype=bool))
+    for context in [b"the tio", b"\n" * 6, b"\xff\x00zzzz", *[s[-7:-1] for s in sequences if len(s) > 8][:20]]:
+        run = np.array([number(context[-6:] + bytes([b])) for b in range(256)], dtype=np.uint64)
+        assert (10.0 ** tree.log10(run)).sum() == pytest.approx(1)
+
+
+def test_remembered_runs_give_the_same():
+    tree = SuffixTree(np.ones((256, 256), dtype=np.int64), {}, {}, np.ones(65536, dtype=bool))
+    tree.log10 = lambda run: -(run % np.uint64(1009)).astype(np.float64)
+    scorer = Scorer(tree)
+    rng = np.random.default_rng(5)
+    for most in (1 << 55, 1 << 40, 50, 1):
+        for _ in range(4):
+            run = rng.integers(0, most, 300_000, dtype=np.uint64)
+            assert (scorer.log10(run) == tree.log10(run)).all()
+
+
+def test_shards_of_endings():
+    of, shards = dealt_out({5: 10, 6: 70, 9: 30, 11: 30}, 100)
+    load = Counter()
+    for e, n in {5: 10, 6: 70, 9: 30, 11: 30}.items():
+        load[of[e]] += n
+    assert shards == 2 and max(load.values()) == 70
+    assert dealt_out({}, 10)[1] == 1 and dealt_out({3: 5}, 10)[1] == 1
 
 
 def brute_base(rows):
@@ -119,9 +154,9 @@ def brute_base(rows):
     return out
 
 
-@pytest.mark.parametrize("frequent", [0, 20, 60_000])
-def test_base_matches_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", frequent)
+@pytest.mark.parametrize("words", [40, 4_000_000])
+def test_base_matches_brute_force(spark, monkeypatch, words):
+    monkeypatch.setattr(suffix_tree_lm, "HELD_WORDS", words)
     rows = [(i, t, "clash", 1) for i, t in enumerate(some_texts(120, 4))]
     rows += [rows[3], rows[3], (None, "the an", None, None), (500, None, "x", 1), (501, "", "x", 1), (502, "w " * 20000, "x", 1)]
     got = score(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
@@ -143,19 +178,15 @@ def test_tree_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
 
 
-def test_contexts_beyond_those_held_count(spark, monkeypatch):
+@pytest.mark.parametrize("held", [500, 4_000_000])
+def test_scores_match_the_recursion(spark, monkeypatch, held):
     """Scores equal those of the tree of all contexts, however few of them a task holds."""
+    monkeypatch.setattr(suffix_tree_lm, "HELD_RUNS", held)
     rows = [(i, t, "x", 1) for i, t in enumerate(some_texts(120, 7))] + [(None, "zq \xff the", "x", 1), (500, None, "x", 1)]
+    rows += [(501, "the the", "x", 1), (501, "the the", "x", 2), (501, "an", "x", 2)]
     train = [sequence((t or "").lower().encode().split()) for d, t, *_ in rows if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
-    by = {}
-    counts = counts_of(train)
-    for (d, s), n in counts.items():
-        by.setdefault((d, number(s[:-1])), []).append((s[-1], n))
-    table = spark.createDataFrame([(d, number(s), n) for (d, s), n in counts.items()], "depth int, run long, n long")
-    tree = SuffixTree.of({(r.depth, r.context) for r in kept_contexts(table).collect()}, by)
-    want = naive(tree, [sequence((t or "").lower().encode().split()) for _, t, *_ in rows])
-    monkeypatch.setattr(suffix_tree_lm, "HELD_CONTEXTS", 15, raising=False)
-    # Where the number is a cap, as it was, it is the default of an argument.
-    monkeypatch.setattr(kept_contexts, "__defaults__", kept_contexts.__defaults__ and (15,))
-    got = {str(r.doc_id): r.score for r in score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
-    assert got == pytest.approx({str(r[0]): w for r, w in zip(rows, want)}, rel=1e-5)
+    by = followers_of(counts_of(train))
+    want = naive(by, kept_of(by), [sequence((t or "").lower().encode().split()) for _, t, *_ in rows])
+    got = score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    bag = lambda x: sorted((str(d), round(s, 5)) for d, s in x)
+    assert bag((r.doc_id, r.score) for r in got) == bag((r[0], w) for r, w in zip(rows, want))
