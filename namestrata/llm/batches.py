@@ -42,14 +42,14 @@ def record_batch(columns: list[Iterable], schema: pa.Schema) -> pa.RecordBatch:
 def map_slices(
     df: DataFrame,
     start: Callable[[], Callable[[pa.RecordBatch], list[Iterable] | None]],
-    schema: str,
+    schema: str | StructType,
     weight: str | None = None,
 ) -> DataFrame:
     """``mapInArrow`` in small pieces.
 
     ``start`` runs once per task and gives the function from a piece to output columns.
     """
-    kind = schema_of(schema)
+    kind = schema_of(schema) if isinstance(schema, str) else schema
 
     def run(batches):
         out = to_arrow_schema(kind)
@@ -68,5 +68,35 @@ def text_bytes(name: str = "text"):
     return F.col(name).cast("binary").alias(name)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: names of any kind, which some functions do not take."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place_of(name: str, df: DataFrame) -> int:
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def keep_rows(docs: DataFrame, start: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is good by the function that ``start`` gives a task.
+
+    Columns may have any names and types.
+    """
+    plain = plain_names(docs)
+    kind = plain.schema
+
+    def begin():
+        good = start()
+
+        def step(piece):
+            kept = piece.filter(pa.array([good(t) for t in piece.column("own").to_pylist()], pa.bool_()))
+            return kept.columns[:-1] if kept.num_rows else None
+
+        return step
+
+    text = F.col(f"c{place_of('text', docs)}").cast("binary")
+    return map_slices(plain.withColumn("own", text), begin, kind, weight="own").toDF(*docs.columns)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -10,12 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namestrata.llm.batches import map_slices, text_bytes
+from namestrata.llm.batches import keep_rows, map_slices, text_bytes
 
 ORDER = 4
-#: Bounds of the fitted model: characters of labelled text over all languages, and languages
-#: (the most frequent labels). Every text is scored; only the fit is on a sample.
-SAMPLE_CHARS, MAX_LANGUAGES = 4_000_000, 512
+#: Bound of the fitted model: characters of labelled text over all languages, and a text of each
+#: language more. Every text is scored; only the fit is on a sample.
+SAMPLE_CHARS = 4_000_000
+#: Languages whose values share a table. More languages are more tables, with no more values.
+TABLE_LANGUAGES = 64
 #: A text is rejected beyond the median cross-entropy of its language by SLACK bits plus SPREADS
 #: times the deviation, for its length, that nine of ten calibration texts stay below.
 SLACK, SPREADS = 1.0, 4.0
@@ -89,25 +91,15 @@ class Table:
 
 
 @dataclass
-class Models:
-    """One model per language: log probabilities of grams and log weights of contexts by order."""
+class Block:
+    """Some languages: log probabilities of grams and log weights of contexts by order, in columns."""
 
-    languages: list[str]
     grams: list[Table]
     contexts: list[Table]
     unseen: np.ndarray
-    limits: dict[str, tuple[float, float]] = field(default_factory=dict)
-
-    def log_likelihood(self, points: np.ndarray) -> np.ndarray:
-        """Log probability of a normalised text under every language."""
-        total = np.zeros(len(self.languages))
-        step = max(1024, (1 << 20) // len(self.languages))
-        for begin in range(0, len(points) - ORDER + 1, step):
-            total += self._part(points[begin : begin + step + ORDER - 1])
-        return total
 
-    def _part(self, points: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.languages))
+    def part(self, points: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(self.unseen))
         # Position of each predicted character that the order at hand still has to answer for.
         at = np.arange(ORDER - 1, len(points))
         for n in range(ORDER, 0, -1):
@@ -121,6 +113,26 @@ class Models:
                 total += self.contexts[n - 1].values[row[found]].sum(axis=0, dtype=np.float64)
         return total + len(at) * self.unseen
 
+
+@dataclass
+class Models:
+    """One model per language, in blocks of TABLE_LANGUAGES, and the limits of rejection."""
+
+    languages: list[str]
+    blocks: list[Block]
+    limits: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def log_likelihood(self, points: np.ndarray) -> np.ndarray:
+        """Log probability of a normalised text under every language."""
+        total = np.zeros(len(self.languages))
+        step = max(1024, (1 << 20) // max(1, min(len(self.languages), TABLE_LANGUAGES)))
+        for begin in range(0, len(points) - ORDER + 1, step):
+            total += self._part(points[begin : begin + step + ORDER - 1])
+        return total
+
+    def _part(self, points: np.ndarray) -> np.ndarray:
+        return np.concatenate([b.part(points) for b in self.blocks])
+
     def predict(self, text: bytes | None) -> tuple[str, float, float | None, int]:
         """(language, score, cross-entropy in bits, length); ``und`` where there is no letter."""
         points = normal(text.decode("utf-8", "replace")) if text and self.languages else ()
@@ -178,41 +190,45 @@ def kneser_ney(counts: dict[str, Counter]) -> Models:
             g = g[1:]
         return factor * probability[k][len(g)][g]
 
-    some = range(len(languages))
-    grams, contexts = [], []
-    for n in range(1, ORDER + 1):
-        every = sorted({g for p in probability for g in p[n]})
-        grams.append(Table.of({g: [math.log(chance(k, g)) for k in some] for g in every}, n, len(languages)))
-        every = sorted({h for b in weight for h in b[n]}) if n > 1 else []
-        contexts.append(
-            Table.of({h: [math.log(weight[k][n].get(h, 1.0)) for k in some] for h in every}, n - 1, len(languages))
-        )
-    unseen = np.array([math.log(chance(k, "\0")) for k in some])
-    return Models(languages, grams, contexts, unseen)
+    def block(some: range) -> Block:
+        grams, contexts = [], []
+        for n in range(1, ORDER + 1):
+            every = sorted({g for k in some for g in probability[k][n]})
+            grams.append(Table.of({g: [math.log(chance(k, g)) for k in some] for g in every}, n, len(some)))
+            every = sorted({h for k in some for h in weight[k][n]}) if n > 1 else []
+            contexts.append(
+                Table.of({h: [math.log(weight[k][n].get(h, 1.0)) for k in some] for h in every}, n - 1, len(some))
+            )
+        return Block(grams, contexts, np.array([math.log(chance(k, "\0")) for k in some]))
+
+    count = len(languages)
+    return Models(languages, [block(range(i, min(count, i + TABLE_LANGUAGES))) for i in range(0, count, TABLE_LANGUAGES)])
 
 
 def labelled_sample(docs: DataFrame, chars: int) -> DataFrame:
-    """Rows (lang, text, calibrates) of at most ``chars`` characters of text, evenly over languages.
+    """Rows (lang, text, calibrates) of about ``chars`` characters of text, evenly over languages.
 
-    ``docs`` has doc_id, text and lang. Rows are taken in the order of a hash of doc_id; one in
-    eight is set aside for calibration.
+    ``docs`` has doc_id, text and lang. Rows are taken in the order of a hash of doc_id until a
+    language has its part, so the last one may go beyond it and every language has one; one in
+    eight, never a language's first, is set aside for calibration. The labels alone are gathered.
     """
     size = F.length("text")
-    langs = docs.groupBy("lang").agg(F.sum(size).alias("size")).orderBy(F.desc("size"), "lang")
-    langs = langs.limit(MAX_LANGUAGES).collect()
+    place = F.xxhash64("doc_id", F.lit("sample"))
+    spot = F.pmod(place, F.lit(1 << 30))
+    langs = docs.groupBy("lang").agg(F.sum(size).alias("size"), F.min(spot).alias("least")).collect()
     room = chars // max(1, len(langs))
     spark = docs.sparkSession
-    # The share of a language that fills its room once and a half; the window below cuts exactly.
-    share = spark.createDataFrame(
-        [(r.lang, min(1.0, 1.5 * room / max(1, r.size))) for r in langs], "lang string, share double"
-    )
-    place = F.xxhash64("doc_id", F.lit("sample"))
-    taken = docs.join(F.broadcast(share), "lang").withColumn("place", place)
-    taken = taken.where(F.pmod("place", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    by = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text"))
-    before = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    taken = taken.withColumn("upto", before).where(F.col("upto") <= room)
-    return taken.select("lang", text_bytes(), (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(8)) == 0).alias("calibrates"))
+    # The share of a language that fills its room once and a half, and its first row at least; the
+    # window below cuts exactly.
+    upto = [(r.lang, max(r.least, int(min(1.0, 1.5 * room / max(1, r.size)) * (1 << 30)))) for r in langs]
+    taken = docs.join(spark.createDataFrame(upto, "lang string, until long"), "lang").withColumn("place", place)
+    taken = taken.where(spot <= F.col("until"))
+    by = Window.partitionBy("lang").orderBy("spot", "place", "doc_id", F.xxhash64("text"))
+    before = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    taken = taken.withColumn("spot", spot).withColumn("before", F.coalesce(before, F.lit(0)))
+    taken = taken.withColumn("first", F.row_number().over(by) == 1).where(F.col("first") | (F.col("before") < room))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(8)) == 0
+    return taken.select("lang", text_bytes(), (aside & ~F.col("first")).alias("calibrates"))
 
 
 def gram_counts(sample: DataFrame) -> dict[str, Counter]:
@@ -241,11 +257,11 @@ def gram_counts(sample: DataFrame) -> dict[str, Counter]:
 def fit(docs: DataFrame, chars: int = SAMPLE_CHARS) -> Models:
     """Models and rejection limits from labelled ``docs`` (doc_id, text, lang).
 
-    Rows without text or label take no part. With no labelled letter at all the models are
+    Rows without a letter or label take no part; every label with a letter is learned. With no labelled letter at all the models are
     empty and every text is ``und``. The limits come from texts the models were not fitted on
     (see SLACK); a language without such texts rejects nothing.
     """
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
+    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     sample = labelled_sample(labelled.select("doc_id", "text", "lang"), chars)
     models = kneser_ney(gram_counts(sample.where("NOT calibrates")))
     if not models.languages:
@@ -286,22 +302,16 @@ def predictions(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language the models do not reject."""
+    """The rows of ``docs``, all columns of whatever names, whose language the models do not reject."""
 
     def start():
         def good(text: bytes | None) -> bool:
             lang, _, bits, n = models.predict(text)
             return not models.rejects(lang, bits, n)
 
-        def step(piece):
-            keep = [good(t) for t in piece.column("__text").to_pylist()]
-            kept = piece.drop_columns(["__text"]).filter(keep)
-            return list(kept.columns) if kept.num_rows else None
-
-        return step
+        return good
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_slices(docs.withColumn("__text", F.col("text").cast("binary")), start, kind, weight="__text")
+    return keep_rows(docs, start)
 
 
 def fold(column: str = "doc_id", folds: int = 3):

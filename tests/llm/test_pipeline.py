@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from namestrata.llm.compression_bands import Bands, shares, verdict, word_measures
+from namestrata.llm.compression_bands import Bands, judge, word_measures
 from namestrata.llm.substring_dedup import drop_repeated_passages, without
 from tests.conftest import SF
 from tests.llm.test_combination_packing import check
@@ -43,7 +43,7 @@ def test_stages_match_plain_versions(spark):
     for r in docs.collect():
         b = r.text.encode()
         n = word_measures(b)
-        if n[0] >= 50 and 100 * n[4] <= 50 * n[0] and verdict(len(b), *shares(b, bands, packer), bands)[0]:
+        if n[0] >= 50 and 100 * n[4] <= 50 * n[0] and judge(b, bands, packer)[0]:
             want.add(tuple(r))
     assert {tuple(r) for r in good.collect()} == want and 100 < len(want) < 200
 
