@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ LEAST_COUNT, LEAST_GAIN = 8, 0.1
 BACK = 4.0
 #: Next bytes of kept contexts, and words, that a task holds at once. A larger tree or vocabulary is
 #: dealt into shards, each of which goes over the texts once; the split changes no result.
-HELD_RUNS, HELD_WORDS = 4_000_000, 4_000_000
+HELD_RUNS, HELD_WORDS = 6_000_000, 4_000_000
 #: Words and runs a task counts before it hands its counts on.
 COUNTED_WORDS, COUNTED_RUNS = 400_000, 4_000_000
 #: Words and runs whose logarithms a task remembers.
-KNOWN_WORDS, KNOWN_RUNS = 300_000, 1 << 20
+KNOWN_WORDS, KNOWN_RUNS = 300_000, 1 << 21
 #: The end of a text; no word holds it.
 END = b"\n"
 ALPHABET = 256
@@ -330,33 +331,44 @@ class Scorer:
 
 
 class WordLogs:
-    """(log10(c + 0.5), whether c > 0) of words, for the words of one shard; of others (0, False)."""
+    """log10(c + 0.5) and whether c > 0 of words, for the words of one shard; of others 0 and False."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, shard: int, shards: int):
         self.keys, self.counts, self.shard, self.shards = keys, counts, shard, shards
-        self.known: dict[bytes, tuple[float, bool]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.logs, self.seen = np.zeros(0), np.zeros(0, dtype=bool)
 
     def learn(self, words: set[bytes]) -> None:
-        """Looks up what is not known yet, all at once."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        key = np.array([word_key(w) for w in new], dtype=np.int64)
+        """Looks up words that are not known yet, all at once."""
+        new = list(words)
+        key = np.fromiter(map(word_key, new), dtype=np.int64, count=len(new))
         c = np.zeros(len(new), dtype=np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            c = np.where(self.keys[at] == key, self.counts[at], 0)
-        logs = np.where(key % self.shards == self.shard, np.log10(c + 0.5), 0.0)
-        self.known.update(zip(new, zip(logs.tolist(), (c > 0).tolist())))
-
-    def sums(self, words: list[bytes]) -> tuple[float, int]:
-        base, known, of = 0.0, 0, self.known
-        for w, n in Counter(words).items():
-            log, seen = of[w]
-            base += n * log
-            known += n * seen
+            c = np.where(self.keys[at] == key, self.counts[at].astype(np.int64), 0)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.logs = np.concatenate([self.logs, np.where(key % self.shards == self.shard, np.log10(c + 0.5), 0.0)])
+        self.seen = np.concatenate([self.seen, c > 0])
+
+    def sums(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """By text: the logarithms added up, and the words seen."""
+        words = list(chain.from_iterable(texts))
+        new = set(words).difference(self.place)
+        if len(self.place) + len(new) > KNOWN_WORDS:
+            self.clear()
+            new = set(words)
+        self.learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        some = np.flatnonzero(sizes)
+        base, known = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        if len(some):
+            start = (np.cumsum(sizes) - sizes)[some]
+            base[some] = np.add.reduceat(self.logs[at], start)
+            known[some] = np.add.reduceat(self.seen[at].astype(np.int64), start)
         return base, known
 
 
@@ -386,13 +398,11 @@ def scored(docs: DataFrame, tree: SuffixTree, words: WordLogs, ends: int) -> Dat
         def step(piece):
             raw = piece.column("text").to_pylist()
             texts = [word_list(t) for t in raw]
-            words.learn(set().union(*texts))
-            base, known = zip(*(words.sums(ws) for ws in texts))
+            base, known = words.sums(texts)
             digests = [[xxhash.xxh64_intdigest(t or b"", s) - (1 << 63) for t in raw] for s in (0, 1)]
             scores = scorer.totals([sequence(ws) for ws in texts])
             return [
-                piece.column("doc_id"), *digests, [len(ws) for ws in texts], [k + end_known for k in known],
-                [b + end_base for b in base], scores,
+                piece.column("doc_id"), *digests, [len(ws) for ws in texts], known + end_known, base + end_base, scores
             ]
 
         return step
@@ -429,7 +439,8 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     parts = []
     for s in range(shards):
         own = counts.where((F.col("kind") == WORD) & (F.pmod("key", F.lit(shards)) == s)).select("key", "n").toArrow().sort_by("key")
-        words = WordLogs(*(np.asarray(own.column(c)) for c in ("key", "n")), s, shards)
+        key, n = (np.asarray(own.column(c)) for c in ("key", "n"))
+        words = WordLogs(key, n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n, s, shards)
         endings = spark.createDataFrame([(int(e),) for e in sizes if of[e] == s], "ending int")
         rows = tree.join(F.broadcast(endings), "ending", "left_semi") if shards > 1 else tree
         table = rows.select("depth", "context", "total", "next", "n").toArrow()
@@ -443,15 +454,15 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
         out = out.groupBy("doc_id", "d1", "d2").agg(F.first("n_words").alias("n_words"), *sums, (F.count("*") / shards).alias("copies"))
         alike = [(F.col(c) / F.col("copies")).alias(c) for c in ("n_known", "base", "score")]
         out = out.select("doc_id", "n_words", *alike, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    n = totals.get(0, 0) + totals.get(1, 0)
-    norm = math.log10(n + 0.5 * (vocabulary + (totals.get(0, 0) > 0) + 1))
+    learned = totals.get(0, 0) + totals.get(1, 0)
+    norm = math.log10(learned + 0.5 * (vocabulary + (totals.get(0, 0) > 0) + 1))
     tokens = F.col("n_words") + 1
     return out.select(
         "doc_id",
         F.coalesce(fold(folds) == 1, F.lit(False)).alias("held_out"),
         tokens.alias("n_tokens"),
         F.col("n_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
+        F.lit(learned).cast("long").alias("train_tokens"),
         (F.col("base") - tokens * norm).alias("base_score"),
         "score",
     )
