@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from namestrata.llm import combination_packing, compression_bands, fuzzy_simhash, language_id, substring_dedup
+from namestrata.llm import combination_packing, compression_bands, language_id, near_copies, substring_dedup
 from namestrata.session import cut_lineage
 
 
@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
-    return fuzzy_simhash.drop_near_duplicates(docs)
+    """The document with the smallest id of every group of copies: five-word shingles, similarity 0.8."""
+    return near_copies.drop_near_copies(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
