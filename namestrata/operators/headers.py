@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from namestrata.functions.binary import slice_bytes, uint
 from namestrata.functions.once import compute_once, pick_once
+from namestrata.operators.counters import Counters, watched
 from namestrata.schemas import LINK_ETHERNET
 
 UDP, TCP, V6_FRAGMENT, HOP_BY_HOP = 17, 6, 44, 0
@@ -188,10 +189,10 @@ def transport_fields(datagrams: DataFrame) -> DataFrame:
     return compute_once(rows, {"transport_ok": ok, "payload": body})
 
 
-def transport(datagrams: DataFrame) -> DataFrame:
+def transport(datagrams: DataFrame, counters: Counters | None = None) -> DataFrame:
     """UDP and TCP header fields of unfragmented or reassembled datagrams."""
     known = datagrams.filter(F.col("protocol_no").isin(UDP, TCP))
-    rows = transport_fields(known).filter("transport_ok")
+    rows = watched(counters, transport_fields(known), decodingErrors=~F.col("transport_ok")).filter("transport_ok")
     return rows.drop("udp_length", "tcp_header", "transport_ok")
 
 

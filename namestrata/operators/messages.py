@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from namestrata.functions.ip import mask_ip
 from namestrata.functions.wire import message_bytes
+from namestrata.operators.counters import Counters, watched
 from namestrata.schemas import DNS_RESULT_COLUMNS, MESSAGE
 from namestrata.sources.dns_wire import decode_messages
 
@@ -49,17 +50,26 @@ def _masked(v4_bits: int, v6_bits: int) -> dict:
     return {ip: mask_ip(F.col(ip), v4_bits, v6_bits) for ip in ("src_ip", "dst_ip")}
 
 
-def udp_records(payloads: DataFrame, v4_bits: int = 32, v6_bits: int = 128) -> DataFrame:
+def _decoded(payloads: DataFrame, v4_bits: int, v6_bits: int, counters: Counters | None) -> DataFrame:
+    rows = unpack(payloads.withColumn("packet_length", F.octet_length("payload")))
+    broken = F.col("error").isNotNull()
+    rows = watched(counters, rows, unpackErrors=broken, messagesDecoded=~broken)
+    return rows.filter("error IS NULL").withColumns(_masked(v4_bits, v6_bits))
+
+
+def udp_records(
+    payloads: DataFrame, v4_bits: int = 32, v6_bits: int = 128, counters: Counters | None = None
+) -> DataFrame:
     """Decoded UDP payloads as results: ports kept, size of the payload, masked addresses."""
-    rows = payloads.withColumn("packet_length", F.octet_length("payload"))
-    rows = unpack(rows).filter("error IS NULL").withColumns(_masked(v4_bits, v6_bits))
+    rows = _decoded(payloads, v4_bits, v6_bits, counters)
     return _as_results(rows, "udp")
 
 
-def tcp_records(messages: DataFrame, v4_bits: int = 32, v6_bits: int = 128) -> DataFrame:
+def tcp_records(
+    messages: DataFrame, v4_bits: int = 32, v6_bits: int = 128, counters: Counters | None = None
+) -> DataFrame:
     """Decoded TCP messages as results: no ports, the time the stream began."""
-    rows = messages.withColumn("packet_length", F.octet_length("payload"))
-    rows = unpack(rows).filter("error IS NULL").withColumns(_masked(v4_bits, v6_bits))
+    rows = _decoded(messages, v4_bits, v6_bits, counters)
     nothing = F.lit(None).cast("int")
     return _as_results(rows.withColumns({"src_port": nothing, "dst_port": nothing}), "tcp")
 

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from namestrata.operators.carry import carry
-from namestrata.operators.ordering import chunk_numbers, sessions
+from namestrata.operators.ordering import RANGE, chunk_numbers, sessions
 from namestrata.session import cut_lineage
 
 # Limits of a fragment train.
@@ -20,6 +26,8 @@ GC_SECONDS = 10
 #: A chunk spans this many capture records, so it holds no more rows than that.
 FRAGMENT_CHUNK_RECORDS = 200_000
 TCP_CHUNK_BYTES = 4 << 20
+#: Keys of up to so many rows and bytes are held by one task.
+LIGHT_ROWS, LIGHT_BYTES = 50_000, 16 << 20
 FIN, SYN, RST = 1, 2, 4
 
 FRAGMENT_KEY = ["file", "ip_version", "src_ip", "dst_ip", "ip_id", "key_protocol"]
@@ -84,12 +92,14 @@ def _fragment_step(chunk: int, rows: list[tuple], state: bytes | None):
 
 
 def reassemble_fragments(
-    datagrams: DataFrame, gc_seconds: int = GC_SECONDS, several_chunks: bool | None = None
-) -> DataFrame:
+    datagrams: DataFrame, gc_seconds: int = GC_SECONDS, several_chunks: bool | None = None,
+    light_rows: int = LIGHT_ROWS,
+) -> DataFrame:
     """Complete datagrams from IPv4 and IPv6 fragments.
 
     A train is keyed by addresses and identification (and protocol for IPv4) and forgotten
-    after ``gc_seconds`` without a fragment. Keys that are reused all the time are cut into
+    after ``gc_seconds`` without a fragment. Keys of up to ``light_rows`` fragments are walked in
+    one pass after one exchange. Only keys with more, which are reused all the time, are cut into
     sessions at such pauses and, inside a long session, into chunks of capture records that
     pass their unfinished train on.
     """
@@ -97,22 +107,103 @@ def reassemble_fragments(
         *_key_columns(FRAGMENT_KEY), "seq", "ts_ns", "frag_offset", "more_fragments", "protocol_no",
         "payload", F.unix_micros("ts").alias("us"),
     )
-    # Fragments are a small share of the packets but are read several times below.
+    # Fragments are a small share of the packets but are read again below.
     rows = cut_lineage(rows, "fragments")
+    done = _by_weight(
+        rows, FRAGMENT_KEY, F.count(F.lit(1)) > light_rows,
+        lambda light: _walk(light, FRAGMENT_KEY, _fragment_rows, "ts_ns BIGINT, protocol_no INT", gc_seconds),
+        lambda heavy: _heavy_fragments(heavy, gc_seconds, several_chunks),
+    )
+    return done.select(
+        "file", "seq", _stamp("ts_ns").alias("ts"), "ts_ns", "ip_version", "src_ip", "dst_ip",
+        "protocol_no", "payload",
+    )
+
+
+def _heavy_fragments(rows: DataFrame, gc_seconds: int, several_chunks: bool | None) -> DataFrame:
     rows = sessions(rows, tuple(FRAGMENT_KEY), "us", gc_seconds * 1_000_000)
     rows = cut_lineage(rows, "fragment-sessions")
     key = [*FRAGMENT_KEY, "session"]
     rows = rows.withColumn("part", F.expr(f"seq div {FRAGMENT_CHUNK_RECORDS}"))
-    done = carry(
+    return carry(
         chunk_numbers(rows, key, "part"), key, "chunk", ["seq"],
         ["seq", "ts_ns", "frag_offset", "more_fragments", "payload", "protocol_no"],
         _fragment_step, "seq BIGINT, ts_ns BIGINT, protocol_no INT, payload BINARY",
         several_chunks,
     )
-    return done.select(
-        "file", "seq", _stamp("ts_ns").alias("ts"), "ts_ns", "ip_version", "src_ip", "dst_ip",
-        "protocol_no", "payload",
-    )
+
+
+def _by_weight(rows: DataFrame, key: list[str], heavy, walk, cut) -> DataFrame:
+    """``walk`` over the keys that one task can hold, ``cut`` over those that the condition calls
+    heavy; without such keys there is one pass only. Sizes come from narrow columns."""
+    large = rows.groupBy(*key).agg(heavy.alias("__heavy")).filter("__heavy").select(*key)
+    large = cut_lineage(large, "heavy-keys")
+    if large.isEmpty():
+        return walk(rows)
+    light = walk(rows.join(large, key, "left_anti"))
+    return light.unionByName(cut(rows.join(large, key, "left_semi")), allowMissingColumns=True)
+
+
+def _walk(rows: DataFrame, key: list[str], step, out: str, gc_seconds: int) -> DataFrame:
+    """Every key's rows in one task's memory, one key after the other, through ``step``."""
+    fields = [c for c in rows.columns if c not in key]
+    added = T.DataType.fromDDL(f"struct<seq: bigint, {_struct(out)}, payload: binary>").fields
+    schema = T.StructType([*[rows.schema[k] for k in key], *added])
+    arrow, gap = to_arrow_schema(schema), gc_seconds * 1_000_000
+
+    def stream(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*key, *fields)]
+            yield from zip(*columns)
+
+    def job(batches):
+        made: list[tuple] = []
+        for own, group in groupby(stream(batches), key=itemgetter(*range(len(key)))):
+            made += [(*own, *r) for r in step([dict(zip(fields, r[len(key) :])) for r in group], gap)]
+            if len(made) >= 4096:
+                yield _arrow_batch(made, arrow)
+                made = []
+        yield _arrow_batch(made, arrow)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(job, schema)
+
+
+def _struct(ddl: str) -> str:
+    return ", ".join(": ".join(f.split()) for f in ddl.split(", "))
+
+
+def _arrow_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(arrow)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+
+def _runs(rows: list[dict], gap: int, starts: str | None = None) -> Iterator[list[dict]]:
+    """Sessions of one key, as :func:`sessions` numbers them: after a pause, and at each row that
+    ``starts`` one."""
+    rows.sort(key=lambda r: (r["us"] // gap, r["seq"] // RANGE, r["us"], r["seq"]))
+    run: list[dict] = []
+    last = None
+    for _, part in groupby(rows, key=lambda r: (r["us"] // gap, r["seq"] // RANGE)):
+        part = list(part)
+        idle = last is not None and part[0]["us"] - last > gap
+        last = part[-1]["us"]
+        for place, r in enumerate(part):
+            if run and ((idle and place == 0) or (starts and r[starts])):
+                yield run
+                run = []
+            run.append(r)
+    yield run
+
+
+def _fragment_rows(rows: list[dict], gap: int) -> list[tuple]:
+    out = []
+    for run in _runs(rows, gap):
+        train = FragmentTrain()
+        for r in sorted(run, key=itemgetter("seq")):
+            data = train.add(r["frag_offset"], r["more_fragments"], r["payload"])
+            if data is not None:
+                out.append((r["seq"], r["ts_ns"], r["protocol_no"], data))
+    return out
 
 
 def _key_columns(names: list[str]) -> list:
@@ -130,20 +221,24 @@ FLOW = ["file", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port"]
 STREAM = [*FLOW, "session"]
 
 
-def tcp_streams(segments: DataFrame, gc_seconds: int = GC_SECONDS) -> DataFrame:
-    """Place every segment in its stream: adds ``session``, ``stream_ts`` and ``offset``.
+def tcp_segments(segments: DataFrame) -> DataFrame:
+    """What reassembly needs of each segment, stored: a small share of the packets, read again below."""
+    rows = segments.select(
+        *_key_columns(FLOW), "seq", "ts_ns", "tcp_seq", "payload", F.unix_micros("ts").alias("us"),
+        (F.col("tcp_flags").bitwiseAND(SYN) != 0).alias("syn"), F.octet_length("payload").alias("size"),
+    )
+    return cut_lineage(rows, "segments")
+
+
+def tcp_streams(rows: DataFrame, gc_seconds: int = GC_SECONDS) -> DataFrame:
+    """Place every segment of :func:`tcp_segments` in its stream: adds ``session``, ``stream_ns`` and
+    ``offset``.
 
     One direction of a flow is a stream until it pauses for ``gc_seconds`` or a new SYN.
     Sequence numbers wrap at 32 bits. Each time slot keeps the number of its first segment;
     the signed steps between slots add up to 64-bit positions, and a segment's place is its
     signed distance from its slot's first one.
     """
-    rows = segments.select(
-        *_key_columns(FLOW), "seq", "ts_ns", "tcp_seq", "payload", F.unix_micros("ts").alias("us"),
-        (F.col("tcp_flags").bitwiseAND(SYN) != 0).alias("syn"),
-    )
-    # TCP is a small share of the packets but is read several times below.
-    rows = cut_lineage(rows, "segments")
     rows = sessions(rows, tuple(FLOW), "us", gc_seconds * 1_000_000, starts="syn")
     # A SYN takes one number, so the data begins one later.
     rows = rows.withColumn("number", F.col("tcp_seq") + F.when(F.col("syn"), 1).otherwise(0))
@@ -223,17 +318,59 @@ def _first_message(pieces: list[bytes], enough: int = 8) -> int:
     return 0
 
 
+def _segment_rows(rows: list[dict], gap: int) -> list[tuple]:
+    """Messages of one flow that fits into memory, placed as in :func:`tcp_streams`."""
+    out = []
+    for run in _runs(rows, gap, starts="syn"):
+        base = first = begin = None
+        pieces: dict[int, bytes] = {}
+        run.sort(key=lambda r: (r["us"] // gap, r["us"], r["seq"]))
+        for _, part in groupby(run, key=lambda r: r["us"] // gap):
+            for place, r in enumerate(part):
+                number = r["tcp_seq"] + r["syn"]
+                if place == 0:
+                    base = 0 if base is None else base + _signed(number - first)
+                    first = number
+                    begin = begin or (r["seq"], r["ts_ns"])
+                offset = base + _signed(number - first)
+                if r["size"]:
+                    pieces[offset] = max(pieces.get(offset, b""), r["payload"], key=len)
+        if pieces:
+            messages, _, _ = _framing_step(0, [(o, pieces[o], None) for o in sorted(pieces)], None)
+            out += [(*begin, *m) for m in messages]
+    return out
+
+
+def _signed(distance: int) -> int:
+    return (distance + (1 << 31)) % (1 << 32) - (1 << 31)
+
+
 def tcp_messages(
-    segments: DataFrame, gc_seconds: int = GC_SECONDS, several_chunks: bool | None = None
-) -> DataFrame:
+    segments: DataFrame, gc_seconds: int = GC_SECONDS, several_chunks: bool | None = None,
+    light_rows: int = LIGHT_ROWS, light_bytes: int = LIGHT_BYTES,
+) -> DataFrame:
     """DNS messages carried by TCP segments, one row per message.
 
-    Segments are put in stream order, repeated bytes are dropped and holes are closed up.
-    Copies of a segment collapse in a partial aggregation before anything is grouped, and a
-    stream is worked off in chunks of a few megabytes. The time of a message is the time its
-    stream began.
+    Segments are put in stream order, repeated bytes are dropped and holes are closed up. Flows of
+    up to ``light_rows`` segments and ``light_bytes`` are walked in one pass after one exchange.
+    Of larger ones, copies of a segment collapse in a partial aggregation before anything is
+    grouped, and a stream is worked off in chunks of a few megabytes. The time of a message is the
+    time its stream began.
     """
-    placed = tcp_streams(segments, gc_seconds).filter(F.octet_length("payload") > 0)
+    rows = tcp_segments(segments)
+    found = _by_weight(
+        rows, FLOW, (F.count(F.lit(1)) > light_rows) | (F.sum("size") > light_bytes),
+        lambda light: _walk(light, FLOW, _segment_rows, "ts_ns BIGINT, offset BIGINT, part INT", gc_seconds),
+        lambda heavy: _heavy_messages(heavy, gc_seconds, several_chunks),
+    )
+    return found.select(
+        "file", "seq", _stamp("ts_ns").alias("ts"), "ts_ns", "ip_version", "src_ip", "dst_ip", "src_port",
+        "dst_port", "offset", "part", "payload",
+    )
+
+
+def _heavy_messages(rows: DataFrame, gc_seconds: int, several_chunks: bool | None) -> DataFrame:
+    placed = tcp_streams(rows, gc_seconds).filter(F.octet_length("payload") > 0)
     begins = [*STREAM, "stream_ns", "stream_seq"]
     rows = placed.groupBy(*begins, "offset").agg(
         F.max_by("payload", F.octet_length("payload")).alias("payload")
@@ -245,8 +382,4 @@ def tcp_messages(
         ["offset", "payload", "next_first"], _framing_step,
         "offset BIGINT, part INT, payload BINARY", several_chunks,
     )
-    return found.select(
-        "file", F.col("stream_seq").alias("seq"), _stamp("stream_ns").alias("ts"),
-        F.col("stream_ns").alias("ts_ns"), "ip_version", "src_ip", "dst_ip", "src_port", "dst_port",
-        "offset", "part", "payload",
-    )
+    return found.withColumnsRenamed({"stream_seq": "seq", "stream_ns": "ts_ns"})

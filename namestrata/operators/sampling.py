@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from namestrata.operators.counters import Counters, watched
 from namestrata.operators.ordering import RANGE, arrival_number, same_keys
 
 MODES = ("reference_packet", "reference_dnstap", "exact")
@@ -54,6 +55,7 @@ def sample_records(
     order: str = "seq",
     by: tuple[str, ...] = (),
     number: str | None = None,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Keep the sampled records. The counter runs per ``by`` (one capture each).
 
@@ -61,10 +63,14 @@ def sample_records(
     capture, as the capture sources produce it; then no shuffle is needed at all.
     """
     a, b = parse_ratio(ratio)
+    rows, n = df, F.col("__n")
     if number:
-        return df.filter(sample_condition(F.col(number) + 1, a, b, mode))
-    numbered = arrival_number(df, order, by, out="__n")
-    return numbered.filter(sample_condition(F.col("__n"), a, b, mode)).drop("__n")
+        n = F.col(number) + 1
+    else:
+        rows = arrival_number(df, order, by, out="__n")
+    kept = sample_condition(n, a, b, mode)
+    rows = watched(counters, rows, packetsCaptured=F.lit(True), packetsOverRatio=~kept)
+    return rows.filter(kept).select(*df.columns)
 
 
 # The 64-bit FNV-1a offset basis and prime.
@@ -104,7 +110,7 @@ def packet_hash(data: Column, exact: bool = False) -> Column:
     return fnv1a64(data) if exact else F.xxhash64(data)
 
 
-def drop_copies(
+def mark_copies(
     packets: DataFrame,
     seconds: int = 60,
     data: str = "data",
@@ -112,8 +118,9 @@ def drop_copies(
     order: str = "seq",
     by: tuple[str, ...] = (),
     exact_hash: bool = False,
+    out: str = "is_copy",
 ) -> DataFrame:
-    """Keep the first copy of equal packets per tumbling window of ``seconds``.
+    """Add ``out``: whether an equal packet of a smaller order is in the same tumbling window.
 
     ``order`` is unique within ``by``. Only the keys are aggregated, to the least order of
     those that occur more than once; a packet repeated a billion times costs one row per task
@@ -127,17 +134,23 @@ def drop_copies(
     counted = keyed.groupBy(*keys).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
     firsts = counted.filter("__n > 1").select(*[F.col(k).alias(f"__at_{k}") for k in keys], "__first")
     joined = keyed.join(firsts, same_keys(keys), "left")
-    return joined.filter(F.col("__first").isNull() | (F.col(order) == F.col("__first"))).select(*columns)
+    copy = F.col("__first").isNotNull() & (F.col(order) != F.col("__first"))
+    return joined.select(*columns, copy.alias(out))
+
+
+def drop_copies(packets: DataFrame, seconds: int = 60, **options) -> DataFrame:
+    """Keep the first copy of equal packets per tumbling window, see :func:`mark_copies`."""
+    return mark_copies(packets, seconds, out="__copy", **options).filter("NOT __copy").select(*packets.columns)
 
 
 def sample_then_drop_copies(
     packets: DataFrame, ratio: str, mode: str = "reference_packet", order: str = "seq",
-    number: str | None = None, **dedup,
+    number: str | None = None, counters: Counters | None = None, **dedup,
 ) -> DataFrame:
     """Both steps as the packet path applies them.
 
     The copy table also sees packets the sampler rejected, so a rejected first copy
-    hides its later copies.
+    hides its later copies. A packet may count as sampled out and as a copy.
     """
     a, b = parse_ratio(ratio)
     by = dedup.get("by", ())
@@ -146,8 +159,11 @@ def sample_then_drop_copies(
     if not number:
         rows = arrival_number(rows, order, by, out="__n")
     rows = rows.withColumn("__kept", sample_condition(n, a, b, mode))
-    first = drop_copies(rows, order=order, **dedup)
-    return first.filter("__kept").select(*packets.columns)
+    rows = mark_copies(rows, order=order, out="__copy", **dedup)
+    rows = watched(
+        counters, rows, packetsCaptured=F.lit(True), packetsOverRatio=~F.col("__kept"), packetsDuplicate=F.col("__copy")
+    )
+    return rows.filter("__kept AND NOT __copy").select(*packets.columns)
 
 
 def limit_per_flush(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from namestrata.operators.counters import Counters, watched
 from namestrata.operators.headers import TCP, UDP, ip_datagrams, on_port, transport
 from namestrata.operators.messages import merge_results, tcp_records, udp_records
 from namestrata.operators.reassembly import reassemble_fragments, tcp_messages
@@ -21,32 +23,43 @@ def packets_to_results(
     defrag: bool = True,
     tcp: bool = True,
     ethernet: bool | None = None,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Sample, drop copies, decode headers, reassemble, decode messages, mask.
 
     Sampling and copies come before any decoding, the port filter before any message leaves
-    the JVM. The record number of the capture is the sampling counter.
+    the JVM. The record number of the capture is the sampling counter. ``counters`` get
+    packetsCaptured, packetsOverRatio and packetsDuplicate where such a step is on,
+    decodingErrors, unpackErrors and messagesDecoded.
     """
     if dedup_seconds:
         packets = sample_then_drop_copies(
-            packets, ratio, number="seq", seconds=dedup_seconds, by=("file",)
+            packets, ratio, number="seq", counters=counters, seconds=dedup_seconds, by=("file",)
         )
+        if defrag or tcp:
+            # Finding copies shuffles the packets; what is left is stored, not found twice.
+            packets = cut_lineage(packets, "survivors")
     elif ratio != "1:1":
-        packets = sample_records(packets, ratio, number="seq")
-    datagrams = ip_datagrams(packets, ethernet).filter("error IS NULL")
+        packets = sample_records(packets, ratio, number="seq", counters=counters)
+    datagrams = ip_datagrams(packets, ethernet)
+    datagrams = watched(counters, datagrams, decodingErrors=F.col("error").isNotNull()).filter("error IS NULL")
     whole = datagrams.filter(f"NOT is_fragment AND protocol_no = {UDP}")
-    parts = [udp_records(on_port(transport(whole), port), mask_v4, mask_v6)]
+    parts = [udp_records(on_port(transport(whole, counters), port), mask_v4, mask_v6, counters)]
     if not (defrag or tcp):
         return parts[0]
     # What needs reassembly is a small share: it is set aside in one pass over the capture, so
     # the capture itself is read twice in all, whatever the number of paths.
     rest = cut_lineage(datagrams.filter(f"is_fragment OR protocol_no = {TCP}"), "reassembly")
-    tcp_segments = on_port(transport(rest.filter("NOT is_fragment")), port)
-    if defrag:
-        rebuilt = on_port(transport(reassemble_fragments(rest)), port)
-        parts.append(udp_records(rebuilt.filter(f"protocol_no = {UDP}"), mask_v4, mask_v6))
-        late = rebuilt.filter(f"protocol_no = {TCP}")
-        tcp_segments = tcp_segments.unionByName(late, allowMissingColumns=True)
-    if tcp:
-        parts.append(tcp_records(tcp_messages(tcp_segments), mask_v4, mask_v6))
+    fragments, segments = rest.agg(F.count_if("is_fragment"), F.count_if(~F.col("is_fragment"))).first()
+    late = None
+    if defrag and fragments:
+        rebuilt = reassemble_fragments(rest)
+        udp = transport(rebuilt.filter(f"protocol_no = {UDP}"), counters)
+        parts.append(udp_records(on_port(udp, port), mask_v4, mask_v6, counters))
+        late = on_port(transport(rebuilt.filter(f"protocol_no = {TCP}"), counters), port)
+    if tcp and (segments or late is not None):
+        flows = on_port(transport(rest.filter("NOT is_fragment"), counters), port)
+        if late is not None:
+            flows = flows.unionByName(late, allowMissingColumns=True)
+        parts.append(tcp_records(tcp_messages(flows), mask_v4, mask_v6, counters))
     return merge_results(*parts)

@@ -111,6 +111,22 @@ _BODIES = {
         WHEN 16 THEN 'TXT' WHEN 15 THEN 'MX' WHEN 1 THEN 'A' END AS Name FROM dns_log""",
     "A5_counters": f"""SELECT count(*) AS dispatched, count(*) FILTER (WHERE NOT {SKIP}) AS sent,
         count(*) FILTER (WHERE {SKIP}) AS skipped FROM dns_log""",
+    "A5_pipeline_counters": f""", twice AS (
+          SELECT *, seq * 2 + again AS s FROM (SELECT *, unnest(CASE WHEN seq % 7 = 0 THEN [0, 1] ELSE [0] END) AS again FROM res)),
+        marked AS (SELECT *, (s % 6 + 1) % 4 <= 1 AS kept FROM twice),
+        alive AS (SELECT *, seq % 29 = 0 AS broken, seq % 29 <> 0 AND seq % 19 <> 0 AS here FROM marked WHERE kept AND again = 0),
+        asked AS (SELECT {IS_SKIP.format('name')} AS skips, {IS_ALLOW.format('name')} AS allows
+          FROM alive JOIN (SELECT seq, name FROM q) USING (seq) WHERE here AND seq % 23 <> 0)
+        SELECT (SELECT count(*) FROM marked) AS packetsCaptured, (SELECT count(*) FROM marked WHERE NOT kept) AS packetsOverRatio,
+          (SELECT count(*) FROM marked WHERE again = 1) AS packetsDuplicate,
+          (SELECT count(*) FROM alive WHERE broken) AS decodingErrors,
+          (SELECT count(*) FROM alive WHERE here AND seq % 23 = 0) AS unpackErrors,
+          (SELECT count(*) FROM alive WHERE here AND seq % 23 <> 0) AS messagesDecoded,
+          count(*) FILTER (WHERE NOT skips) AS "parquetSentToOutput", count(*) FILTER (WHERE skips) AS "parquetSkipped", 0 AS "parquetFailed",
+          count(*) AS "logSentToOutput", 0 AS "logSkipped", 0 AS "logFailed",
+          count(*) FILTER (WHERE allows) AS "syslogSentToOutput", count(*) FILTER (WHERE NOT allows) AS "syslogSkipped", 0 AS "syslogFailed",
+          0 AS "unreachableSentToOutput", 0 AS "unreachableSkipped", count(*) FILTER (WHERE NOT skips) AS "unreachableFailed"
+        FROM asked""",
     "A6_loss_percent": """SELECT Server, count(*) AS captured, count(*) FILTER (WHERE ResponseCode = 3) AS dropped,
         round(count(*) FILTER (WHERE ResponseCode = 3) * 100.0 / count(*), 6) AS loss_percent
         FROM dns_log GROUP BY Server""",
@@ -386,7 +402,7 @@ _BODIES |= {
         WHERE piece < 2 OR (NOT has_q AND NOT response)""",
     "D12_D13_tcp_messages": "SELECT seq AS event, id, 3 AS messages FROM res",
     "D6_tcp_records": f"""SELECT seq AS event, IPVersion AS ip_version, {_NET.format('SrcIP')} AS src_ip,
-        CAST(NULL AS INT) AS src_port, 'tcp' AS protocol, PacketTime AS ts, id FROM res""",
+        CAST(NULL AS INT) AS src_port, 'tcp' AS protocol, PacketTime AS ts, id FROM res, range(3)""",
     "D14_decoding_errors": """SELECT count(*) AS packetsCaptured, count(*) FILTER (WHERE seq % 29 = 0) AS decodingErrors,
         count(*) FILTER (WHERE seq % 23 = 0 AND seq % 29 <> 0) AS unpackErrors,
         100.0 * count(*) FILTER (WHERE seq % 29 = 0) / count(*) AS errorPercent FROM res""",
@@ -426,8 +442,7 @@ _BODIES |= {
     "W4_rollup_tables": """SELECT CAST(PacketTime AS DATE) AS DnsDate, Server, Type, count(*) AS c FROM dns_log
         WHERE QR = 0 GROUP BY 1, 2, 3""",
     "W4_windowed_rollup": """SELECT CAST(PacketTime AS DATE) AS DnsDate, Server, OpCode, count(*) AS c FROM dns_log
-        WHERE QR = 0 AND CAST(PacketTime AS DATE) < (SELECT CAST(max(PacketTime) AS DATE) FROM dns_log WHERE QR = 0)
-        GROUP BY 1, 2, 3""",
+        WHERE QR = 0 GROUP BY 1, 2, 3""",
     "W9_progress_counters": """SELECT count(*) AS rows, count(*) FILTER (WHERE QR = 1) AS responses, true AS rows_equal,
         true AS responses_equal FROM dns_log""",
 }

@@ -20,11 +20,13 @@ from namestrata.operators import (
     rows,
     sampling,
 )
+from namestrata.operators.counters import Counters
 from namestrata.operators.reassembly import reassemble_fragments, tcp_messages
 from namestrata.plans import traffic
 from namestrata.plans.capture import packets_to_results
 from namestrata.session import cut_lineage, shared_dir
 from namestrata.sinks import frames, tables
+from namestrata.sinks.delivery import deliver
 from namestrata.sources import captures, protobuf
 from namestrata.sources.domain_lists import domain_list_from, parse_domain_list
 from namestrata.streaming import jobs
@@ -161,12 +163,40 @@ def counters(spark, sf_dir):
     """Sent and skipped questions of an output with a skip list."""
     log = traffic.dns_log(spark, sf_dir)
     plain = domain_filter.short_list(domain_list_from(spark, SKIP_LINES))
-    hit = plain.matches(F.col("Question"))
+    hit = domain_filter.known(plain.matches(F.col("Question")))
     return log.agg(
         F.count(F.lit(1)).alias("dispatched"), F.count_if(~hit).alias("sent"), F.count_if(hit).alias("skipped")
     )
 
 
+@query("A5_pipeline_counters")
+def pipeline_counters(spark, sf_dir):
+    """Every counter of the capture plan and its outputs, from the jobs that do the work.
+
+    Every seventh packet comes twice, every 29th has no readable header; one output of four fails.
+    """
+    packets = traffic.udp_packets(spark, sf_dir)
+    junk = F.concat(F.unhex(F.lit("FF" * 14)), "data")
+    packets = packets.withColumn("data", F.when(F.col("seq") % 29 == 0, junk).otherwise(F.col("data")))
+    again = F.explode(F.when(F.col("seq") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    packets = packets.withColumn("again", again).withColumn("seq", F.col("seq") * 2 + F.col("again")).drop("again")
+    seen = Counters()
+    results = packets_to_results(cut_lineage(packets, "capture"), ratio="1:4", dedup_seconds=60, counters=seen)
+    folder = shared_dir(spark, "outputs")
+    tables.register_sink("unreachable", _unreachable)
+    outputs = [
+        ("parquet", 2, {"path": f"{folder}/rows"}), ("log", 1, {"path": f"{folder}/log"}),
+        ("frames", 3, {"path": f"{folder}/syslog", "name": "syslog", "label": "syslog"}), ("unreachable", 2, {}),
+    ]
+    skip, allow = domain_list_from(spark, SKIP_LINES), domain_list_from(spark, ALLOW_LINES)
+    deliver(cut_lineage(results, "results"), outputs, skip, allow, seen)
+    return seen.row(spark)
+
+
+def _unreachable(df, options):
+    raise ConnectionError("no such host")
+
+
 @query("A6_loss_percent")
 def loss(spark, sf_dir):
     log = traffic.dns_log(spark, sf_dir)
@@ -798,7 +828,7 @@ def tcp_records(spark, sf_dir):
     return out.select(
         F.expr("seq div 8").alias("event"), "ip_version", "src_ip", "src_port", "protocol",
         F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("dns.id").alias("id"),
-    ).distinct()
+    )
 
 
 @query("D14_decoding_errors")
@@ -1031,9 +1061,11 @@ def rollup_tables(spark, sf_dir):
 
 @query("W4_windowed_rollup")
 def windowed_rollup(spark, sf_dir):
-    """Windows a stream closes; the newest stay open, as the watermark has not passed them."""
-    stream = jobs.windowed_rollup(_log_stream(spark, sf_dir), "opcode", "1 day", "0 seconds")
-    closed = jobs.run_to_end(stream, "windows")
+    """All windows: those a stream closes, and the newest at the end of it."""
+    end = shared_dir(spark, "end")
+    log = jobs.with_end(_log_stream(spark, sf_dir), end, "PacketTime")
+    stream = jobs.windowed_rollup(log, "opcode", "1 day", "0 seconds")
+    closed = jobs.run_to_end(stream, "windows", end=end)
     return closed.select("DnsDate", "Server", "OpCode", "c")
 
 

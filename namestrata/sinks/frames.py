@@ -139,3 +139,15 @@ def influx_points(results: DataFrame, server: str = "default") -> DataFrame:
     return rows.select("seq", q["name"].alias("name"), line.alias("value"))
 
 
+
+
+#: Frames by name of the output that sends them.
+FRAMES = {
+    "elastic": elastic_documents, "zinc": zinc_bulk, "splunk": splunk_events, "syslog": syslog_lines,
+    "nats": nats_events, "influx": influx_points,
+}
+
+
+def write_frames(results: DataFrame, name: str, path: str, mode: str = "append") -> None:
+    """Frames as a table (seq, value) that a sender can read."""
+    FRAMES[name](results).select("seq", "value").write.mode(mode).parquet(path)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from namestrata.functions.formats import format_column, format_header
 from namestrata.functions.timing import truncate
 from namestrata.operators.retention import drop_oldest_folders
-from namestrata.operators.rows import explode_questions, parquet_rows, postgres_rows, with_storage_key
+from namestrata.operators.rows import dns_log_rows, explode_questions, parquet_rows, postgres_rows, with_storage_key
+from namestrata.sinks.frames import kafka_records, write_frames
 
 # Parquet columns written with a dictionary.
 DICTIONARY_COLUMNS = [
@@ -33,11 +34,12 @@ def write_parquet(results: DataFrame, path: str, mode: str = "append") -> None:
 def write_log(log: DataFrame, path: str, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
     """The day-partitioned log, each file sorted by hour, server, reversed name and time.
 
-    Rows are dealt out by ranges of that very order, sampled from the data, so neither a busy
-    day nor a name that fills it is the work of one task, and equal names lie together.
+    Rows are dealt out by day, hour and server in one exchange, whose sizes adaptive execution
+    evens out: it splits what is large, so neither a busy hour nor a name that fills it is the work
+    of one task, and puts small parts together. The input is evaluated once.
     """
     keyed = with_storage_key(log).withColumn("dns_date", F.to_date("PacketTime"))
-    spread = keyed.repartitionByRange("dns_date", "hour", "Server", "rq", "PacketTime")
+    spread = keyed.hint("rebalance", F.col("dns_date"), F.col("hour"), F.col("Server"))
     ordered = spread.sortWithinPartitions("dns_date", "hour", "Server", "rq", "PacketTime")
     writer = ordered.drop("hour").write.mode(mode).partitionBy("dns_date")
     writer.option("maxRecordsPerFile", rows_per_file).parquet(path)
@@ -64,8 +66,8 @@ def write_files(
         F.date_format(truncate(rows, "ts", rotate), "yyyyMMddHH").alias("period"),
         format_column(fmt, **options).alias("value"),
     ).filter("value IS NOT NULL")
-    # Ranges, so a small period is one file and a large one is several tasks' work.
-    lines = lines.repartitionByRange("dns_date", "period", F.xxhash64("value"))
+    # Adaptive execution splits a large period over tasks and puts small ones together.
+    lines = lines.hint("rebalance", F.col("dns_date"), F.col("period"))
     header = format_header(fmt)
     writer = lines.write.mode(mode).partitionBy("dns_date", "period").option("compression", compression)
     if header:
@@ -99,8 +101,6 @@ def kafka_options(servers: str, topic: str, compression: str = "snappy", **extra
 
 
 def write_kafka(results: DataFrame, servers: str, topic: str, fmt: str = "json", **extra: str) -> None:
-    from namestrata.sinks.frames import kafka_records
-
     options = kafka_options(servers, topic, **extra)
     kafka_records(results, fmt).write.format("kafka").options(**options).save()
 
@@ -119,6 +119,8 @@ Sink = Callable[[DataFrame, dict], None]
 
 SINKS: dict[str, Sink] = {
     "parquet": lambda df, o: write_parquet(df, o["path"], o.get("mode", "append")),
+    "log": lambda df, o: write_log(dns_log_rows(df, o.get("server", "default")), o["path"], o.get("mode", "append")),
+    "frames": lambda df, o: write_frames(df, o["name"], o["path"], o.get("mode", "append")),
     "file": lambda df, o: write_files(df, **o),
     "postgres": lambda df, o: write_postgres(df, **o),
     "kafka": lambda df, o: write_kafka(df, **o),
@@ -129,10 +131,18 @@ SINKS: dict[str, Sink] = {
 MESSAGE_SINKS = {"kafka"}
 
 
-def register_sink(name: str, write: Sink, whole_messages: bool = False) -> None:
-    """Add an output: a function of (results, options) that stores a finite DataFrame."""
+#: Outputs that own a folder, ``path``, where a block of a stream can be replaced.
+BLOCK_SINKS = {"parquet", "file", "log", "frames"}
+
+
+def register_sink(name: str, write: Sink, whole_messages: bool = False, blocks: bool = False) -> None:
+    """Add an output: a function of (results, options) that stores a finite DataFrame.
+
+    ``blocks`` tells that it takes ``path`` and ``mode`` and can replace what is there.
+    """
     SINKS[name] = write
     (MESSAGE_SINKS.add if whole_messages else MESSAGE_SINKS.discard)(name)
+    (BLOCK_SINKS.add if blocks else BLOCK_SINKS.discard)(name)
 
 
 def write_to(results: DataFrame, name: str, options: dict) -> None:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from namestrata.operators.domain_filter import filter_domains, filter_messages
+from namestrata.operators.counters import Counters
 from namestrata.operators.rollups import ROLLUPS, finalize, merge_rollup, partial_rollup
-from namestrata.operators.rows import explode_questions
 from namestrata.operators.sampling import packet_hash
 from namestrata.session import shared_dir
-from namestrata.sinks.tables import MESSAGE_SINKS, write_to
+from namestrata.sinks.delivery import Commits, Output, active_outputs, deliver
 
 
 def trigger_options(delay_seconds: float = 0, available_now: bool = False) -> dict:
@@ -42,9 +42,10 @@ def read_folder(
 
 
 def drop_copies_stream(
-    packets: DataFrame, seconds: int = 60, data: str = "data", time: str = "ts", late: int = 60
-) -> DataFrame:
-    """First copy per tumbling window of event time.
+    packets: DataFrame, seconds: int = 60, data: str = "data", time: str = "ts", late: int = 60,
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """First copy per tumbling window of event time, of each capture by its columns ``by``.
 
     The watermark runs on the window's start, so the copies of a window are forgotten once it
     has passed by ``late`` seconds.
@@ -52,14 +53,18 @@ def drop_copies_stream(
     start = F.window(time, f"{seconds} seconds")["start"]
     keyed = packets.withColumns({"__hash": packet_hash(F.col(data)), "__window": start})
     marked = keyed.withWatermark("__window", f"{seconds + late} seconds")
-    return marked.dropDuplicates(["__window", "__hash"]).drop("__window", "__hash")
+    return marked.dropDuplicates([*by, "__window", "__hash"]).drop("__window", "__hash")
 
 
 def windowed_rollup(log: DataFrame, name: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """A rollup over event-time windows, emitted once a window is final."""
+    """A rollup over event-time windows, emitted once a window is final.
+
+    A row at END only moves the watermark, see :func:`with_end`.
+    """
     spec = ROLLUPS[name]
-    rows = log.filter(spec.where) if spec.where else log
-    rows = rows.withWatermark("PacketTime", late)
+    rows = log.withWatermark("PacketTime", late)
+    if spec.where:
+        rows = rows.filter(F.expr(spec.where) | (F.col("PacketTime") >= end_time()))
     keys = [F.window("PacketTime", window).alias("__w"), "Server", *spec.keys]
     measures = []
     if spec.counts:
@@ -149,24 +154,24 @@ class ReloadedList:
 
 
 def fan_out(
-    results: DataFrame, outputs: list[tuple[str, int, dict]], checkpoint: str,
-    skip: ReloadedList | None = None, allow: ReloadedList | None = None, **trigger,
+    results: DataFrame, outputs: list[Output], checkpoint: str,
+    skip: ReloadedList | None = None, allow: ReloadedList | None = None, counters: Counters | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Send every result to all outputs, each a (sink name, output mode, options).
+    """Send every result to all outputs, see :func:`deliver`.
 
     A micro-batch is stored once and written to each output in turn, so outputs slow the
-    stream down instead of losing records. Modes outside 1 to 4 switch an output off.
+    stream down instead of losing records. A micro-batch that is replayed after a failure is
+    written once: the records of who has it lie below ``checkpoint``.
     """
-    active = [(n, m, o) for n, m, o in outputs if 1 <= m <= 4]
-    if not active:
-        raise ValueError("no output specified, please specify at least one output")
+    active_outputs(outputs)
+    commits = Commits(results.sparkSession, f"{checkpoint}-delivered")
 
     def block(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
             lists = (skip.get() if skip else None, allow.get() if allow else None)
-            for name, mode, options in active:
-                write_to(filter_for(name, rows, mode, *lists), name, options)
+            deliver(rows, outputs, *lists, counters, batch_id, commits)
         finally:
             rows.unpersist()
 
@@ -174,13 +179,6 @@ def fan_out(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def filter_for(name: str, results: DataFrame, mode: int, skip=None, allow=None) -> DataFrame:
-    """What an output of this name gets: kept questions, or kept messages for message-wise ones."""
-    if name in MESSAGE_SINKS:
-        return filter_messages(results, mode, skip, allow)
-    return filter_domains(explode_questions(results), mode, skip, allow, "q.name")
-
-
 # --- progress --------------------------------------------------------------------------------
 
 
@@ -209,14 +207,62 @@ class ProgressCounters(StreamingQueryListener):
         pass
 
 
-def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Process everything a stream has to offer and read the outcome back as a table."""
+#: A time after all rows.
+END = "9999-01-01 00:00:00"
+
+
+def end_time() -> Column:
+    return F.lit(END).cast("timestamp")
+
+
+def with_end(rows: DataFrame, folder: str, time: str, key: dict | None = None) -> DataFrame:
+    """``rows`` and, once :func:`write_end` has put it below ``folder``, one row at END.
+
+    The row has nothing but its time and the values of ``key``. It moves the watermark past all
+    others, so that every window and timer left in the state is handed out.
+    """
+    spark = rows.sparkSession
+    _ready(spark, folder)
+    end = spark.readStream.schema(T.StructType([T.StructField("at", T.TimestampType())])).parquet(folder)
+    filled = {n: F.lit(v) for n, v in (key or {}).items()}
+    columns = [
+        F.col("at").alias(f.name) if f.name == time
+        else filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields
+    ]
+    # A batch in which one side has nothing is planned without it, so both must agree that any
+    # column may be NULL, or the state of one batch would not fit the next; a map says so.
+    bare = {f.name: F.element_at(F.create_map(F.lit(0), F.col(f.name)), F.lit(0)) for f in rows.schema.fields if not f.nullable}
+    return rows.withColumns(bare).unionByName(end.select(*columns))
+
+
+def write_end(spark: SparkSession, folder: str) -> None:
+    spark.range(1).select(end_time().alias("at")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _ready(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def run_to_end(stream: DataFrame, purpose: str, mode: str = "append", end: str | None = None) -> DataFrame:
+    """Process everything a stream has to offer and read the outcome back as a table.
+
+    With ``end``, the folder given to :func:`with_end`, the stream then goes on from its checkpoint
+    over the end row, which flushes what is left in its state.
+    """
     spark = stream.sparkSession
     folder = shared_dir(spark, purpose)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-        .start(f"{folder}/rows")
-    )
-    query.awaitTermination()
+
+    def go() -> None:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode)
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+            .start(f"{folder}/rows")
+        )
+        query.awaitTermination()
+
+    go()
+    if end:
+        write_end(spark, end)
+        go()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -141,9 +141,10 @@ def fragments(datagrams, rng, ident=7):
     return rows
 
 
+@pytest.mark.parametrize("light", [0, 100_000])
 @pytest.mark.parametrize("lost", [0.0, 0.05])
-def test_hot_fragment_key_in_chunks(spark, monkeypatch, lost):
-    """One key reused by all datagrams, cut into tiny chunks, equals the one-by-one walk."""
+def test_hot_fragment_key_in_chunks(spark, monkeypatch, lost, light):
+    """One key reused by all datagrams, cut into tiny chunks or held whole, equals the one-by-one walk."""
     monkeypatch.setattr(reassembly, "FRAGMENT_CHUNK_RECORDS", 7)
     rng = random.Random(11)
     rows = fragments([rng.randbytes(60) for _ in range(60)], rng)
@@ -162,11 +163,12 @@ def test_hot_fragment_key_in_chunks(spark, monkeypatch, lost):
         F.lit(17).alias("protocol_no"), "frag_offset", "more_fragments", F.lit(True).alias("is_fragment"),
         "payload",
     )
-    mine = reassembly.reassemble_fragments(df).select("seq", "payload").collect()
+    mine = reassembly.reassemble_fragments(df, light_rows=light).select("seq", "payload").collect()
     assert sorted((r.seq, bytes(r.payload)) for r in mine) == sorted(expected)
 
 
-def test_train_expires_after_a_pause(spark):
+@pytest.mark.parametrize("light", [0, 100_000])
+def test_train_expires_after_a_pause(spark, light):
     rows = [(0, 0, 0, True, b"a" * 16), (1, 60_000_000_000, 2, False, b"b" * 8)]
     base = spark.createDataFrame(
         rows, "seq bigint, ts_ns bigint, frag_offset int, more_fragments boolean, payload binary"
@@ -176,12 +178,13 @@ def test_train_expires_after_a_pause(spark):
         F.lit(7).cast("bigint").alias("ip_id"), F.lit(17).alias("protocol_no"),
         F.lit(True).alias("is_fragment"),
     )
-    assert reassembly.reassemble_fragments(base, gc_seconds=10).count() == 0
-    assert reassembly.reassemble_fragments(base, gc_seconds=120).count() == 1
+    assert reassembly.reassemble_fragments(base, gc_seconds=10, light_rows=light).count() == 0
+    assert reassembly.reassemble_fragments(base, gc_seconds=120, light_rows=light).count() == 1
 
 
+@pytest.mark.parametrize("light", [0, 100_000])
 @pytest.mark.parametrize("start", [100, (1 << 32) - 500])
-def test_long_tcp_stream_in_chunks(spark, monkeypatch, start):
+def test_long_tcp_stream_in_chunks(spark, monkeypatch, start, light):
     """A stream over many chunks, shuffled, repeated and wrapping, gives all its messages."""
     monkeypatch.setattr(reassembly, "TCP_CHUNK_BYTES", 256)
     rng = random.Random(2)
@@ -204,11 +207,42 @@ def test_long_tcp_stream_in_chunks(spark, monkeypatch, start):
         F.lit(b"efgh").alias("dst_ip"), F.lit(999).alias("src_port"), F.lit(53).alias("dst_port"),
         (F.col("seq") * 1_000_000).alias("ts_ns"), F.timestamp_millis("seq").alias("ts"),
     )
-    out = reassembly.tcp_messages(df).orderBy("offset", "part").collect()
+    out = reassembly.tcp_messages(df, light_rows=light).orderBy("offset", "part").collect()
     assert sorted(bytes(r.payload) for r in out) == sorted(messages)
     assert {r.seq for r in out} == {0}
 
 
+def test_both_lanes_agree_on_flows_of_all_kinds(spark):
+    """Flows with SYNs, pauses, losses, copies and no beginning, in one pass and cut up."""
+    rng = random.Random(5)
+    rows, seq = [], 0
+    for flow in range(40):
+        number, us = rng.randrange(1 << 32), rng.randrange(10**9)
+        for _ in range(rng.randrange(1, 4)):
+            if rng.random() < 0.7:
+                rows.append((seq, us, flow, number, 2, b""))
+                number, seq = (number + 1) % (1 << 32), seq + 1
+            for _ in range(rng.randrange(1, 12)):
+                message = bytes([0, flow, 0, 0, 0, 1] + [0] * 6) + rng.randbytes(rng.randrange(30))
+                data = len(message).to_bytes(2, "big") + message
+                for piece in (data[:9], data[9:]):
+                    for _ in range(rng.choice([0, 1, 1, 1, 1, 2])):
+                        rows.append((seq, us, flow, number, 16, piece))
+                        seq, us = seq + 1, us + rng.choice([1000, 1000, 4_000_000])
+                    number = (number + len(piece)) % (1 << 32)
+            us += rng.choice([1000, 30_000_000])
+    df = spark.createDataFrame(rows, "seq bigint, us bigint, flow int, tcp_seq bigint, tcp_flags int, payload binary").select(
+        "*", F.lit(None).cast("string").alias("file"), F.lit(4).alias("ip_version"), F.lit(b"abcd").alias("src_ip"),
+        F.lit(b"efgh").alias("dst_ip"), (F.col("flow") + 1000).alias("src_port"), F.lit(53).alias("dst_port"),
+        (F.col("us") * 1000).alias("ts_ns"), F.timestamp_micros("us").alias("ts"),
+    )
+    found = []
+    for light in (0, 30, 100_000):
+        out = reassembly.tcp_messages(df, light_rows=light).collect()
+        found.append(sorted((r.src_port, r.seq, r.ts_ns, r.offset, r.part, bytes(r.payload)) for r in out))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2), max_size=12))
 def test_train_never_returns_partial_data(order):
