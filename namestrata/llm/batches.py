@@ -98,5 +98,15 @@ def keep_rows(docs: DataFrame, start: Callable[[], Callable[[bytes | None], bool
     return map_slices(plain.withColumn("own", text), begin, kind, weight="own").toDF(*docs.columns)
 
 
+#: Rows of narrow columns, some 40 MB, up to which a stored table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A stored table of narrow columns, marked for broadcast if its counted rows are few; a larger
+    one is joined by exchange."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namestrata.llm.batches import keep_rows, map_slices, text_bytes
+from namestrata.llm.batches import BROADCAST_ROWS, keep_rows, map_slices, text_bytes
 
 ORDER = 4
 #: Bound of the fitted model: characters of labelled text over all languages, and a text of each
@@ -221,7 +221,9 @@ def labelled_sample(docs: DataFrame, chars: int) -> DataFrame:
     # The share of a language that fills its room once and a half, and its first row at least; the
     # window below cuts exactly.
     upto = [(r.lang, max(r.least, int(min(1.0, 1.5 * room / max(1, r.size)) * (1 << 30)))) for r in langs]
-    taken = docs.join(spark.createDataFrame(upto, "lang string, until long"), "lang").withColumn("place", place)
+    bounds = spark.createDataFrame(upto, "lang string, until long")
+    bounds = F.broadcast(bounds) if len(upto) <= BROADCAST_ROWS else bounds
+    taken = docs.join(bounds, "lang").withColumn("place", place)
     taken = taken.where(spot <= F.col("until"))
     by = Window.partitionBy("lang").orderBy("spot", "place", "doc_id", F.xxhash64("text"))
     before = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1))
