@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namestrata.llm.batches import map_slices, plain_names, place_of, record_batch, schema_of, slices, text_bytes
-from namestrata.llm.components import connected_components, spanning_stars
+from namestrata.llm.batches import few, map_slices, plain_names, place_of, record_batch, schema_of, slices, text_bytes
+from namestrata.llm.components import connected_components, spanning_stars, thinned
 from namestrata.llm.fuzzy_simhash import links
 from namestrata.session import cut_lineage
 
@@ -187,10 +187,11 @@ def copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     rows = cut_lineage(prints(docs, seeds), "prints")
     least = F.min(F.struct("doc_id", "body")).alias("least")
     nodes = cut_lineage(rows.groupBy("content").agg(least, F.first("fps").alias("fps")), "nodes")
-    rough = cut_lineage(connected_components(candidates(nodes, seeds)), "rough")
+    edges = thinned(cut_lineage(candidates(nodes, seeds), "candidates"))
+    rough = cut_lineage(connected_components(edges), "rough")
     wanted = rough.select(F.col("node").alias("content"), "root").join(nodes.select("content", "least"), "content")
     wanted = wanted.select("content", "root", F.col("least.doc_id").alias("doc_id"), F.col("least.body").alias("body"))
-    texts = docs.join(wanted, ["doc_id", "body"]).dropDuplicates(["content"]).select("root", "content", "text")
+    texts = docs.join(few(cut_lineage(wanted, "wanted")), ["doc_id", "body"]).dropDuplicates(["content"]).select("root", "content", "text")
     found = connected_components(verified_links(texts, width, similarity, tile))
     classes = nodes.join(found.withColumnRenamed("node", "content"), "content", "left").select("content", "least", F.coalesce("root", "content").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("first"))
@@ -220,9 +221,10 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     classes = cut_lineage(copies(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text")), width, similarity, seeds, tile), "copies")
     first = (F.col("doc_id") == F.col("least_id")) & (F.col("body") == F.col("least_body"))
     names = {"doc_id": "own_id", "body": "own_body"}
-    gone = classes.where(~first).select("doc_id", "body").withColumnsRenamed(names)
-    again = classes.where(first & (F.col("times") > 1)).select("doc_id", "body").withColumnsRenamed(names)
-    kept = keyed.join(gone, ["own_id", "own_body"], "left_anti")
-    single = kept.join(again, ["own_id", "own_body"], "left_anti")
-    repeated = kept.join(again, ["own_id", "own_body"], "left_semi").dropDuplicates(["own_id", "own_body"])
-    return single.unionByName(repeated).select(*plain.columns).toDF(*docs.columns)
+    gone = cut_lineage(classes.where(~first).select("doc_id", "body").withColumnsRenamed(names), "gone")
+    again = cut_lineage(classes.where(first & (F.col("times") > 1)).select("doc_id", "body").withColumnsRenamed(names), "again")
+    kept = keyed.join(few(gone), ["own_id", "own_body"], "left_anti")
+    if not again.isEmpty():
+        repeated = kept.join(few(again), ["own_id", "own_body"], "left_semi").dropDuplicates(["own_id", "own_body"])
+        kept = kept.join(few(again), ["own_id", "own_body"], "left_anti").unionByName(repeated)
+    return kept.select(*plain.columns).toDF(*docs.columns)
