@@ -388,8 +388,7 @@ _REBUILT = f"""SELECT seq AS event, IPVersion AS ip_version, src AS src_ip, 53 A
  {N_ANSWERS} AS answers FROM res WHERE seq % 29 <> 0 AND IPVersion = """
 _BODIES |= {
     "D1_headers": f"SELECT seq, IPVersion AS ip_version, src AS src_ip, dst AS dst_ip, {_PORTS} FROM res",
-    "D2_decapsulation": """SELECT IPVersion AS ip_version, 17 AS protocol_no, count(*) AS c FROM res
-        WHERE seq % 5 <> 4 GROUP BY 1""",
+    "D2_decapsulation": """SELECT IPVersion AS ip_version, 17 AS protocol_no, count(*) AS c FROM res GROUP BY 1""",
     "D3_raw_ip": "SELECT seq, IPVersion AS ip_version FROM res WHERE seq % 5 = 4",
     "D5_udp_records": f"""SELECT seq, IPVersion AS ip_version, {_NET.format('SrcIP')} AS src_ip, {_NET.format('dst')} AS dst_ip,
         coalesce(src_port, 53) AS src_port, coalesce(dst_port, 4000) AS dst_port, 'udp' AS protocol, id,
@@ -412,10 +411,10 @@ _BODIES |= {
     "U1_all_paths": f"""SELECT 'udp' AS protocol, IPVersion AS ip_version, count(*) FILTER (WHERE {_UDP_OK})
          + count(*) FILTER (WHERE seq % 29 <> 0) AS c FROM res GROUP BY 2
         UNION ALL SELECT 'tcp', IPVersion, 3 * count(*) FROM res GROUP BY 2""",
-    "S1_pcap": "SELECT seq, ts_ns FROM res WHERE seq % 5 <> 4",
-    "S2_pcapng": "SELECT seq, ts_ns FROM res WHERE seq % 5 <> 4",
-    "S3_format_sniffing": """SELECT f AS format, count(DISTINCT seq // 500) AS c FROM res,
-        unnest(['pcap', 'pcapng']) t(f) WHERE seq % 5 <> 4 GROUP BY f""",
+    "S1_pcap": "SELECT seq, ts_ns, CASE WHEN seq % 5 = 4 THEN 101 ELSE 1 END AS link_type FROM res",
+    "S2_pcapng": "SELECT seq, ts_ns, CASE WHEN seq % 5 = 4 THEN 101 ELSE 1 END AS link_type FROM res",
+    "S3_format_sniffing": """SELECT 'pcap' AS format, count(DISTINCT (seq // 500, seq % 5 = 4)) AS c FROM res
+        UNION ALL SELECT 'pcapng', count(DISTINCT seq // 500) FROM res""",
     "S4_dnstap": f"""SELECT seq, PacketTime + CASE WHEN seq % 3 = 1 THEN INTERVAL 1 SECOND ELSE INTERVAL 0 SECOND END AS ts,
         IPVersion AS ip_version, src AS src_ip, coalesce(src_port, 0) AS src_port, dst AS dst_ip, Protocol AS protocol,
         Server AS identity, 'v1' AS version, id, {N_QUESTIONS} AS questions FROM res WHERE seq % 23 <> 0""",

@@ -6,6 +6,8 @@ with the table.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,33 +317,56 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_files(spark: SparkSession, sf_dir: str, kind: str = "pcap", records: int = 500) -> DataFrame:
-    """Whole capture files of ``records`` packets each, in the shape of ``binaryFile`` rows."""
-    rows = udp_packets(spark, sf_dir).filter("link_type = 1")
-    rows = rows.withColumn("number", F.expr(f"seq div {records}"))
+    """Whole capture files of ``records`` packets each, in the shape of ``binaryFile`` rows.
+
+    A classic file has one link type; a pcapng file has two interfaces, the second one declared
+    where its first packet comes.
+    """
+    rows = udp_packets(spark, sf_dir).withColumn("number", F.expr(f"seq div {records}"))
     size = F.octet_length("data")
     if kind == "pcap":
-        head = "A1B23C4D00020004000000000000000000040000" + "00000001"
+        head = F.concat(F.lit("A1B23C4D00020004000000000000000000040000"), hex_uint(F.col("link_type"), 4))
         record = F.concat(
             hex_uint(F.expr("ts_ns div 1000000000"), 4), hex_uint(F.pmod("ts_ns", F.lit(1_000_000_000)), 4),
             hex_uint(size, 4), hex_uint(size, 4), F.hex("data"),
         )
+        keys = ["number", "link_type"]
     else:
         section = "0A0D0D0A0000001C1A2B3C4D00010000FFFFFFFFFFFFFFFF0000001C"
-        interface = "000000010000001C0001000000040000" + "0009000109000000" + "0000001C"
-        head = section + interface
+        interface = "000000010000001C{}000000040000" + "0009000109000000" + "0000001C"
+        head = F.lit(section + interface.format("0001"))
         pad = F.pmod(-size, F.lit(4))
         total = hex_uint(32 + size + pad, 4)
+        raw = F.col("link_type") == 101
+        first = raw & (F.col("seq") - F.col("number") * records == 4)
         record = F.concat(
-            F.lit("00000006"), total, F.lit("00000000"), hex_uint(F.shiftright("ts_ns", 32), 4),
+            F.when(first, interface.format("0065")).otherwise(""),
+            F.lit("00000006"), total, F.when(raw, "00000001").otherwise("00000000"), hex_uint(F.shiftright("ts_ns", 32), 4),
             hex_uint(F.col("ts_ns"), 4), hex_uint(size, 4), hex_uint(size, 4), F.hex("data"),
             F.repeat(F.lit("00"), pad), total,
         )
+        keys = ["number"]
     # At most ``records`` packets per file, so no group grows with the table.
-    packed = rows.withColumn("record", record).groupBy("number").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "record"))).alias("all")
+    packed = rows.withColumn("record", record).withColumn("head", head).groupBy(*keys).agg(
+        F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("seq", "record"))).alias("all")
     )
-    content = F.concat(F.lit(head), F.array_join(F.transform("all", lambda r: r["record"]), ""))
+    content = F.concat("head", F.array_join(F.transform("all", lambda r: r["record"]), ""))
     return packed.select(
-        F.concat(F.lit("file"), F.col("number").cast("string")).alias("path"),
+        F.concat_ws("-", F.lit("file"), *[F.col(k).cast("string") for k in keys]).alias("path"),
         F.unhex(content).alias("content"),
     )
+
+
+def write_captures(files: DataFrame, folder: str) -> int:
+    """Capture files as real files below a folder that all executors see; returns how many."""
+
+    def job(batches):
+        for batch in batches:
+            system, base = arrow_fs.FileSystem.from_uri(folder) if ":/" in folder else (arrow_fs.LocalFileSystem(), folder)
+            system.create_dir(base)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return files.select("path", "content").mapInArrow(job, "path STRING").count()

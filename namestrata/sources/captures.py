@@ -3,7 +3,9 @@
 Two ways in. ``packets_from_contents`` takes files as ``binaryFile`` rows, right for many
 small captures. ``read_captures`` takes paths: files are split by bytes, a light first job
 finds the records of every split, a second one reads them, so one huge capture spreads over
-the cluster like any other splittable file.
+the cluster like any other splittable file. Splits start at once from a guessed place; the one
+before tells whether it was right. What a pcapng split needs from earlier ones, the interfaces
+declared there, is put together from what all splits report, in one step for any number of them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from namestrata.operators.carry import carry
 from namestrata.schemas import PACKETS
+from namestrata.session import cut_lineage
 
 # File magics, block types and option codes of the two formats.
 PCAP_MAGICS = {
@@ -31,6 +34,8 @@ PCAP_MAGICS = {
 PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 TIME_RESOLUTION = 9
+#: Types of blocks by which a split finds its place: the registered ones.
+BLOCKS = {SECTION, *range(1, 13), 0x204, 0x216, 0xBAD, 0x40000BAD}
 
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
@@ -104,6 +109,14 @@ class PcapngState:
             return 0, min(original, len(data) - 16), original, self.interfaces[0][0], 12
         return None
 
+    def packet_interface(self, data: bytes) -> int | None:
+        """Number of the interface of a packet block, if it holds its whole packet; else None."""
+        kind = struct.unpack_from(self.order + "I", data, 0)[0]
+        if kind == ENHANCED:
+            number, _, _, size = struct.unpack_from(self.order + "IIII", data, 8)
+            return number if 28 + size <= len(data) else None
+        return 0 if kind == SIMPLE else None
+
     def _resolution(self, data: bytes) -> int:
         at = 16
         while at + 4 <= len(data) - 4:
@@ -281,43 +294,145 @@ def _pcap_split(chunk: int, rows: list[tuple], state: bytes | None):
     return [(chunk, stop, first, count, b"")], used, struct.pack(">q", at)
 
 
+def _pcapng_start(data: bytes) -> tuple[int, str] | None:
+    """First place in ``data`` that looks like the start of a block, and its byte order."""
+    places = ((at, order) for at in range(0, len(data) - 11, 4) for order in "<>")
+    return next((p for p in places if _blocks_follow(data, *p)), None)
+
+
+def _blocks_follow(data: bytes, at: int, order: str, blocks: int = 4) -> bool:
+    """Whether ``blocks`` whole blocks follow one another, or as many as the data holds."""
+    for seen in range(blocks):
+        if at + 12 > len(data):
+            return seen > 0
+        if data[at : at + 4] == PCAPNG_MAGIC:
+            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+        kind, size = struct.unpack_from(order + "II", data, at)
+        if kind not in BLOCKS or size < 12 or size % 4 or size > MAX_RECORD:
+            return False
+        if at + size > len(data):
+            return True
+        if struct.unpack_from(order + "I", data, at + size - 4)[0] != size:
+            return False
+        at += size
+    return True
+
+
 def _pcapng_split(chunk: int, rows: list[tuple], state: bytes | None):
-    """As for pcap; the state also holds the interfaces, so a split waits for the one before."""
+    """Walk the blocks of one byte split; state is where its first block starts and the byte order.
+
+    A split other than the first starts at a place that looks like a block in either byte order, and
+    is run again only if the split before ended elsewhere. What interfaces hold
+    there is not known yet, so it tells which ones it declares and how many packets each number has
+    before and between them.
+    """
     path, begin, stop = rows[0]
-    if state is None and begin > 0:
-        return [(chunk, stop, stop, 0, b"")], b"?", b"?"
     source = _Window(_Remote(path))
-    at, order, interfaces = pickle.loads(state) if state else (0, "<", [])
-    reader = PcapngState(order, list(interfaces))
-    context, first, count = pickle.dumps((order, list(interfaces))), at, 0
+    head = source.read_at(12, 0)
+    order = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
+    if state:
+        at, order = pickle.loads(state)
+    elif begin == 0:
+        at = 0
+    else:
+        found = _pcapng_start(source.read_at(stop - begin, begin))
+        at, order = (begin + found[0], found[1]) if found else (stop, order)
+    used = b"" if begin == 0 else pickle.dumps((at, order))
+    first, start_order, reader = at, order, PcapngState(order)
+    told: list = []
     while at < stop:
         head = source.read_at(12, at)
         size = block_size(reader.order, head) if len(head) == 12 else 0
         if size < 12:
             break
-        # A packet counts under the same conditions as when it is read.
-        count += reader.block(source.read_at(size, at)) is not None
+        block = source.read_at(size, at)
+        kind = struct.unpack_from(reader.order + "I", block, 0)[0]
+        if kind in (SECTION, INTERFACE):
+            reader.block(block)
+            told.append((SECTION, reader.order) if kind == SECTION else (INTERFACE, reader.interfaces[-1]))
+        else:
+            number = reader.packet_interface(block)
+            if number is not None:
+                if not told or told[-1][0] != ENHANCED:
+                    told.append((ENHANCED, {}))
+                told[-1][1][number] = told[-1][1].get(number, 0) + 1
         at += size
-    ended = pickle.dumps((at, reader.order, reader.interfaces))
-    return [(chunk, stop, first, count, context)], state or b"", ended
+    return [(chunk, stop, first, pickle.dumps((start_order, told)))], used, pickle.dumps((at, reader.order))
+
+
+def _pcapng_contexts(found: DataFrame) -> DataFrame:
+    """(path, number, stop, first, count, context): the interfaces that each split begins with, and
+    its packets under them.
+
+    Only splits that declare something matter to later ones; a file has few of these, and they are
+    put in order within the file once. All others take what the last such split left.
+    """
+    from pyspark.sql import Window
 
+    schema = "path STRING, number BIGINT, after BINARY"
 
-def _index(files: DataFrame, step) -> DataFrame:
-    """Records of every byte split of ``files``: where the first one starts, how many."""
-    last = F.expr(f"(length - 1) div {SPLIT_BYTES}")
+    def declared(batches):
+        for batch in batches:
+            rows = [r for r in batch.to_pylist() if any(k != ENHANCED for k, _ in pickle.loads(r["told"])[1])]
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("path", "number", "told")} for r in rows], schema=_TOLD)
+
+    def left(table: pa.Table) -> pa.Table:
+        state, out = PcapngState(), []
+        for r in sorted(table.to_pylist(), key=lambda r: r["number"]):
+            for kind, what in pickle.loads(r["told"])[1]:
+                if kind == SECTION:
+                    state = PcapngState(what)
+                elif kind == INTERFACE:
+                    state.interfaces.append(what)
+            out.append({"path": r["path"], "number": r["number"], "after": pickle.dumps((state.order, state.interfaces))})
+        return pa.Table.from_pylist(out, schema=pa.schema([("path", pa.string()), ("number", pa.int64()), ("after", pa.binary())]))
+
+    speaking = found.select("path", "number", "told").mapInArrow(declared, "path STRING, number BIGINT, told BINARY")
+    after = cut_lineage(speaking.groupBy("path").applyInArrow(left, schema), "interfaces")
+    line = Window.partitionBy("path").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    joined = found.join(after, ["path", "number"], "left")
+    joined = joined.withColumn("context", F.last("after", ignorenulls=True).over(line)).drop("after")
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                order, told = pickle.loads(r["told"])
+                state = PcapngState(*pickle.loads(r["context"])) if r["context"] else PcapngState(order)
+                context, n = pickle.dumps((order, list(state.interfaces))), 0
+                for kind, what in told:
+                    if kind == SECTION:
+                        state = PcapngState(what)
+                    elif kind == INTERFACE:
+                        state.interfaces.append(what)
+                    else:
+                        n += sum(c for i, c in what.items() if i < len(state.interfaces))
+                out.append({**{k: r[k] for k in ("path", "number", "stop", "first")}, "count": n, "context": context})
+            yield pa.RecordBatch.from_pylist(out, schema=_INDEXED)
+
+    return joined.select("path", "number", "stop", "first", "told", "context").mapInArrow(count, INDEX)
+
+
+INDEX = "path STRING, number BIGINT, stop BIGINT, first BIGINT, count BIGINT, context BINARY"
+_TOLD = pa.schema([("path", pa.string()), ("number", pa.int64()), ("told", pa.binary())])
+_INDEXED = pa.schema(
+    [("path", pa.string()), ("number", pa.int64()), ("stop", pa.int64()), ("first", pa.int64()), ("count", pa.int64()), ("context", pa.binary())]
+)
+
+
+def _splits(files: DataFrame, split_bytes: int, step, out: str) -> DataFrame:
+    """What ``step`` finds in every byte split of ``files``, each begun where the one before ends."""
+    last = F.expr(f"(length - 1) div {split_bytes}")
     splits = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("split"))
     splits = splits.select(
-        "path", "split", (F.col("split") * SPLIT_BYTES).alias("begin"),
-        F.least(F.col("length"), (F.col("split") + 1) * SPLIT_BYTES).alias("stop"),
-    )
-    return carry(
-        splits, ["path"], "split", ["begin"], ["path", "begin", "stop"], step,
-        "number BIGINT, stop BIGINT, first BIGINT, count BIGINT, context BINARY",
+        "path", "split", (F.col("split") * split_bytes).alias("begin"),
+        F.least(F.col("length"), (F.col("split") + 1) * split_bytes).alias("stop"),
     )
+    return carry(splits, ["path"], "split", ["begin"], ["path", "begin", "stop"], step, out)
 
 
-def read_captures(spark: SparkSession, *paths: str) -> DataFrame:
-    """Packets of capture files at ``paths`` (folders and globs allowed)."""
+def read_captures(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Packets of capture files at ``paths`` (folders and globs allowed), in splits of ``split_bytes``."""
     from pyspark.sql import Window
 
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
@@ -340,10 +455,11 @@ def read_captures(spark: SparkSession, *paths: str) -> DataFrame:
             )
 
     files = files.mapInArrow(formats, schema)
-    index = _index(files.filter("format = 'pcap'"), _pcap_split).withColumn("format", F.lit("pcap"))
-    index = index.unionByName(
-        _index(files.filter("format = 'pcapng'"), _pcapng_split).withColumn("format", F.lit("pcapng"))
-    )
+    found = "number BIGINT, stop BIGINT, first BIGINT"
+    classic = _splits(files.filter("format = 'pcap'"), split_bytes, _pcap_split, f"{found}, count BIGINT, context BINARY")
+    blocks = _splits(files.filter("format = 'pcapng'"), split_bytes, _pcapng_split, f"{found}, told BINARY")
+    index = classic.withColumn("format", F.lit("pcap"))
+    index = index.unionByName(_pcapng_contexts(blocks).withColumn("format", F.lit("pcapng")))
     before = Window.partitionBy("path").orderBy("number")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     index = index.withColumn("seq", F.coalesce(F.sum("count").over(before), F.lit(0)))
