@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,14 +242,14 @@ class SuffixTree:
     def of(cls, low: np.ndarray, table: pa.Table, mine: np.ndarray) -> SuffixTree:
         contexts, followers = {}, {}
         for depth in range(2, DEPTH + 1):
-            own = table.filter(np.asarray(table.column("depth")) == depth).sort_by("context").combine_chunks()
+            own = table.filter(pc.field("depth") == depth).sort_by("context")
             if not own.num_rows:
                 continue
             context = np.asarray(own.column("context")).astype(np.uint64)
-            after = own.column("next").to_pylist()
-            kinds = np.fromiter(map(len, after), dtype=np.int64, count=len(after))
-            byte = np.frombuffer(b"".join(after), dtype=np.uint8)
-            n = np.asarray(own.column("n").combine_chunks().flatten())
+            kinds = np.asarray(pc.binary_length(own.column("next"))).astype(np.int64)
+            # The bytes of all contexts lie end to end, as their counts do.
+            byte = np.concatenate([_flat_bytes(c) for c in own.column("next").chunks])
+            n = np.concatenate([np.asarray(c.flatten()) for c in own.column("n").chunks])
             run = (np.repeat(context, kinds) << np.uint64(8)) | byte
             order = np.argsort(run, kind="stable")
             # Whole numbers either way; halves what most trees take.
@@ -290,6 +291,13 @@ class SuffixTree:
         return good, total, kinds
 
 
+def _flat_bytes(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values of a column, from its own buffers."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+
+
 class Scorer:
     """Log probabilities of texts under a tree; what a run gives is remembered by its hash's slot."""
 
