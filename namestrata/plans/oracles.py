@@ -442,6 +442,10 @@ _BODIES |= {
         WHERE QR = 0 GROUP BY 1, 2, 3""",
     "W4_windowed_rollup": """SELECT CAST(PacketTime AS DATE) AS DnsDate, Server, OpCode, count(*) AS c FROM dns_log
         WHERE QR = 0 GROUP BY 1, 2, 3""",
+    "W5_W6_batches": """SELECT Server, count(*) // 500 AS full, count(*) % 500 AS rest, count(*) AS lines,
+        ceil(count(*) / 500.0)::BIGINT AS batches FROM dns_log GROUP BY Server""",
+    "W9_stored_counters": """SELECT 'log.rows' AS name, count(*) AS value FROM dns_log UNION ALL
+        SELECT 'log.responses', count(*) FILTER (WHERE QR = 1) FROM dns_log""",
     "W9_progress_counters": """SELECT count(*) AS rows, count(*) FILTER (WHERE QR = 1) AS responses, true AS rows_equal,
         true AS responses_equal FROM dns_log""",
 }

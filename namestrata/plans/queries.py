@@ -30,6 +30,7 @@ from namestrata.sinks.delivery import deliver
 from namestrata.sources import captures, protobuf
 from namestrata.sources.domain_lists import domain_list_from, parse_domain_list
 from namestrata.streaming import jobs
+from namestrata.streaming.batches import batches_stream, run_until_flushed
 from namestrata.streaming.reassembly import reassemble_fragments_stream, tcp_messages_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1074,3 +1075,34 @@ def progress_counters(spark, sf_dir):
         "rows", "responses", (F.col("rows") == seen["rows"]).alias("rows_equal"),
         (F.col("responses") == seen["responses"]).alias("responses_equal"),
     )
+
+
+@query("W5_W6_batches")
+def stream_batches(spark, sf_dir):
+    """Full batches of 500 lines per server, and the rest of each server after a second."""
+    log = _log_stream(spark, sf_dir).select("Server", F.col("Question").alias("value"))
+    out = run_until_flushed(batches_stream(log, "Server", 500, 1), "batches", 1)
+    lines = F.size(F.split("value", "\n"))
+    return out.groupBy("Server").agg(
+        F.count_if(F.col("rows") == 500).alias("full"), F.sum(F.when(F.col("rows") < 500, F.col("rows")).otherwise(0)).alias("rest"),
+        F.sum(lines).alias("lines"), F.count_distinct("batch").alias("batches"),
+    )
+
+
+@query("W9_stored_counters")
+def stored_counters(spark, sf_dir):
+    """Counters of a stream that is stopped after half of its input and started again."""
+    folder = shared_dir(spark, "counted")
+    events = traffic.load_events(spark, sf_dir)
+    half = F.pmod(F.xxhash64(*events.columns), F.lit(2))
+    for part in (0, 1):
+        events.filter(half == part).write.mode("append").parquet(f"{folder}/in")
+        log = traffic.log_of(jobs.read_folder(spark, f"{folder}/in", events.schema))
+        seen = log.observe("log", F.count(F.lit(1)).alias("rows"), F.count_if(F.col("QR") == 1).alias("responses"))
+        writer = seen.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+        run = writer.trigger(availableNow=True).start(f"{folder}/out")
+        run.awaitTermination()
+        counters = jobs.StoredCounters(spark, f"{folder}/counters")
+        for progress in run.recentProgress:
+            counters.record(progress)
+    return counters.stored()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -207,6 +208,38 @@ class ProgressCounters(StreamingQueryListener):
         pass
 
 
+class StoredCounters(ProgressCounters):
+    """Counters that outlive the program: each micro-batch's are a file below a shared folder, named by
+    query and batch, so a batch that is replayed counts once and a restart goes on where it was."""
+
+    def __init__(self, spark: SparkSession, folder: str, flush: Callable[[dict], None] | None = None):
+        super().__init__(flush)
+        self.spark, self.folder = spark, folder
+        _ready(spark, folder)
+
+    def onQueryProgress(self, event):  # noqa: N802
+        self.record(event.progress)
+        super().onQueryProgress(event)
+
+    def record(self, progress) -> None:
+        """Take one progress report, also one from ``recentProgress``."""
+        rows = [
+            {"name": f"{metric}.{field}", "value": value or 0}
+            for metric, row in progress.observedMetrics.items() for field, value in row.asDict().items()
+        ]
+        if not rows:
+            return
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{progress.id}-{progress.batchId}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray("\n".join(map(json.dumps, rows)).encode()))
+        out.close()
+
+    def stored(self) -> DataFrame:
+        """(name, value): totals over all micro-batches of all runs."""
+        rows = self.spark.read.schema("name STRING, value BIGINT").json(self.folder)
+        return rows.groupBy("name").agg(F.sum("value").alias("value"))
+
+
 #: A time after all rows.
 END = "9999-01-01 00:00:00"
 
