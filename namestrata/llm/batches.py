@@ -39,6 +39,18 @@ def record_batch(columns: list[Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+#: Bytes of an Arrow batch on the way to Python. Spark's own bound of 64 MB is held several times by a
+#: task, as rows, as a batch and in Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark) -> None:
+    """Sets the session's bound of a batch to MOST_BATCH_BYTES, if it does not have a bound of its own."""
+    if spark.conf.get(BATCH_BYTES, "") in ("", "67108864b", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, f"{MOST_BATCH_BYTES}b")
+
+
 def map_slices(
     df: DataFrame,
     start: Callable[[], Callable[[pa.RecordBatch], list[Iterable] | None]],
@@ -50,6 +62,7 @@ def map_slices(
     ``start`` runs once per task and gives the function from a piece to output columns.
     """
     kind = schema_of(schema) if isinstance(schema, str) else schema
+    bound_batches(df.sparkSession)
 
     def run(batches):
         out = to_arrow_schema(kind)
