@@ -47,7 +47,7 @@ MOST_BATCH_BYTES = 8 << 20
 
 def bound_batches(spark) -> None:
     """Sets the session's bound of a batch to MOST_BATCH_BYTES, if it does not have a bound of its own."""
-    if spark.conf.get(BATCH_BYTES, "") in ("", "67108864b", "64m", "64MB"):
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64m", "64MB"):
         spark.conf.set(BATCH_BYTES, f"{MOST_BATCH_BYTES}b")
 
 
