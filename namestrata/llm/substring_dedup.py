@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from namestrata.llm.batches import map_slices, record_batch, schema_of
+from namestrata.llm.batches import map_slices, place_of, plain_names, record_batch, schema_of
 from namestrata.llm.fm_index import NONE, FMIndex
 from namestrata.session import cut_lineage
 
@@ -366,40 +367,39 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def drop_repeated_passages(docs: DataFrame, width: int = 13) -> DataFrame:
-    """The rows of ``docs``, all columns, with the words that ``repeated_passages`` removes cut out
-    of their texts. Rows that lose all their words go; rows that lose none stay as they are.
-    ``n_chars``, if there is such a column, follows the text.
+    """The rows of ``docs``, all columns of whatever names, with the words that ``repeated_passages``
+    removes cut out of their texts. Rows that lose all their words go; rows that lose none stay as
+    they are. ``n_chars``, if there is such a column, follows the text.
     """
-    base = base_of(docs)
-    cuts = removable(base.where("doc IS NOT NULL"), width).withColumnsRenamed(
-        {"doc": "__doc", "check": "__check", "cuts": "__cuts"}
-    )
-    check = F.expr("cast(xxhash64(coalesce(text, '')) & 65535 as long)")
-    keyed = docs.withColumn("__check1", check).withColumn("__text", F.col("text").cast("binary"))
-    joined = keyed.join(
-        cuts, (keyed["doc_id"].cast("long") == F.col("__doc")) & (F.col("__check1") == F.col("__check")), "left"
-    )
-    joined = joined.select(*docs.columns, "__text", "__cuts")
-    names, at = docs.columns, docs.columns.index("text")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    plain = plain_names(docs)
+    at, text = place_of("text", docs), f"c{place_of('text', docs)}"
+    own = f"c{place_of('doc_id', docs)}"
+    base = base_of(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text")))
+    cuts = removable(base.where("doc IS NOT NULL"), width).withColumnsRenamed({"doc": "cut_doc", "check": "cut_check"})
+    check = F.expr(f"cast(xxhash64(coalesce({text}, '')) & 65535 as long)")
+    keyed = plain.withColumns({"own_check": check, "own_text": F.col(text).cast("binary")})
+    same = (keyed[own].cast("long") == F.col("cut_doc")) & (F.col("own_check") == F.col("cut_check"))
+    joined = keyed.join(cuts, same, "left").select(*plain.columns, "own_text", "cuts")
+    kind = StructType([*plain.schema.fields, StructField("changed", BooleanType())])
 
     def start():
         def step(piece):
             texts, keep, changed = [], [], []
-            for text, cut in zip(piece.column("__text").to_pylist(), piece.column("__cuts").to_pylist()):
+            for text, cut in zip(piece.column("own_text").to_pylist(), piece.column("cuts").to_pylist()):
                 gone = covered(len(text.split()), cut, width) if cut else None
                 changed.append(gone is not None)
                 keep.append(gone is None or not gone.all())
                 texts.append(without(text, gone) if gone is not None else text)
-            columns = list(piece.drop_columns(["__text", "__cuts"]).columns)
+            columns = list(piece.columns[:-2])
             columns[at] = pa.array(texts, type=pa.binary()).cast(pa.string())
-            rows = pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*names, "__changed"])
-            return list(rows.filter(keep).columns)
+            rows = pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=kind.names)
+            return list(rows.filter(pa.array(keep)).columns)
 
         return step
 
-    out = map_slices(joined, start, ", ".join([*kinds, "`__changed` boolean"]), weight="__text")
-    if "n_chars" in docs.columns:
-        own = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__changed"), own).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = map_slices(joined, start, kind, weight="own_text")
+    if "n_chars" in [c.lower() for c in docs.columns]:
+        chars = f"c{place_of('n_chars', docs)}"
+        size = F.length(text).cast(plain.schema[chars].dataType)
+        out = out.withColumn(chars, F.when(F.col("changed"), size).otherwise(F.col(chars)))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -120,3 +120,14 @@ def test_repeats_with_odd_rows(spark):
     got = sorted(map(str, drop_repeated_passages(docs).collect()))
     want = [rows[1], rows[6], (2, "a ", 2, "x"), rows[2], rows[3], rows[5]]
     assert got == sorted(map(str, spark.createDataFrame(want, docs.schema).collect()))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = {"__text": docs.lang, "own_text": docs.lang, "cuts": docs.lang, "__id": docs.doc_id, "a`b.c": docs.lang}
+    odd = docs.limit(120).withColumns(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        assert out.columns == odd.columns and len(rows) > 50, name
+        assert all(r["a`b.c"] == r["__text"] == r["own_text"] == r["cuts"] == r.lang for r in rows)
