@@ -38,14 +38,21 @@ def drop_expired_partitions(
     return gone
 
 
-def drop_oldest_folders(spark: SparkSession, path: str, keep: int, levels: int = 2) -> list[str]:
-    """Delete all but the newest ``keep`` folders ``levels`` deep, whose names sort by time."""
+def drop_oldest_folders(spark: SparkSession, path: str, keep: int, levels: int = 2, above: int = 0) -> list[str]:
+    """Delete all but the newest ``keep`` folders ``levels`` deep, whose names sort by time.
+
+    With ``above``, these lie below so many levels of other folders, blocks of a stream, and folders
+    of one name in several of them stay or go together.
+    """
     folder, fs = _folder(spark, path)
-    found = [folder]
-    for _ in range(levels):
-        found = [s.getPath() for f in found for s in fs.listStatus(f) if s.isDirectory()]
-    found.sort(key=lambda p: p.toString())
-    gone = found[: max(0, len(found) - keep)]
+    found = [(folder, ())]
+    for level in range(above + levels):
+        found = [
+            (s.getPath(), (*name, s.getPath().getName()) if level >= above else name)
+            for f, name in found for s in fs.listStatus(f) if s.isDirectory()
+        ]
+    stay = set(sorted({name for _, name in found})[-keep:] if keep > 0 else [])
+    gone = [p for p, name in sorted(found, key=lambda x: (x[1], x[0].toString())) if name not in stay]
     for old in gone:
         fs.delete(old, True)
     return [p.toString() for p in gone]

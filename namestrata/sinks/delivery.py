@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namestrata.operators.counters import Counters, watched
 from namestrata.operators.domain_filter import filter_domains, filter_messages
+from namestrata.operators.retention import drop_oldest_folders
 from namestrata.operators.rows import explode_questions
 from namestrata.sinks.tables import BLOCK_SINKS, MESSAGE_SINKS, write_to
 
@@ -71,7 +72,10 @@ def deliver(
             continue
         options = dict(options)
         label = options.pop("label", name)
+        root, keep = options.get("path"), None
         if block is not None and name in BLOCK_SINKS:
+            # What stays of a folder is decided over all blocks, not within one.
+            keep = options.pop("keep", None)
             options |= {"path": f"{options['path']}/block={block}", "mode": "overwrite"}
         # A message-wise output counts messages, the others questions.
         offered = results if name in MESSAGE_SINKS else explode_questions(results)
@@ -84,6 +88,8 @@ def deliver(
                 raise
             counters.add(**{f"{label}Failed": kept.count(), f"{label}SentToOutput": 0, f"{label}Skipped": 0})
             continue
+        if keep is not None:
+            drop_oldest_folders(results.sparkSession, root, keep, above=1)
         if commits is not None:
             commits.add(block, place)
         if counters is not None:

@@ -143,3 +143,15 @@ def test_end_of_a_stream_hands_out_windows_and_unfinished_flows(spark, tmp_path)
     ended = jobs.with_end(rows, f"{tmp_path}/end2", "ts", key)
     got = jobs.run_to_end(tcp_messages_stream(ended), "flows", end=f"{tmp_path}/end2")
     assert got.count() == want
+
+
+def test_newest_folders_stay_over_all_blocks(spark, tmp_path):
+    results = some_results(spark)
+    outputs = [("file", 1, {"path": f"{tmp_path}/lines", "fmt": "csv_no_header", "rotate": "day", "keep": 3})]
+    for block in range(2):
+        part = results.filter(F.col("seq") % 2 == block)
+        deliver(part, outputs, block=block)
+    days = {p.name for p in tmp_path.glob("lines/block=*/dns_date=*/period=*")}
+    every = results.select(F.date_format("ts", "yyyyMMdd")).distinct().collect()
+    assert {d[7:15] for d in days} == set(sorted(r[0] for r in every)[-3:])
+    assert len({p.parent.parent.name for p in tmp_path.glob("lines/block=*/dns_date=*/period=*")}) == 2
