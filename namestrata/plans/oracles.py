@@ -413,6 +413,10 @@ _BODIES |= {
         UNION ALL SELECT 'tcp', IPVersion, 3 * count(*) FROM res GROUP BY 2""",
     "S1_pcap": "SELECT seq, ts_ns, CASE WHEN seq % 5 = 4 THEN 101 ELSE 1 END AS link_type FROM res",
     "S2_pcapng": "SELECT seq, ts_ns, CASE WHEN seq % 5 = 4 THEN 101 ELSE 1 END AS link_type FROM res",
+    "S1_capture_source": """, linked AS (SELECT seq, CASE WHEN seq % 5 = 4 THEN 101 ELSE 1 END AS link_type, seq // 500 AS f FROM res)
+        SELECT seq, concat('file-', f, '-', link_type) AS file,
+          row_number() OVER (PARTITION BY f, link_type ORDER BY seq) - 1 AS number, link_type FROM linked
+        UNION ALL SELECT seq, concat('file-', f), row_number() OVER (PARTITION BY f ORDER BY seq) - 1, link_type FROM linked""",
     "S3_format_sniffing": """SELECT 'pcap' AS format, count(DISTINCT (seq // 500, seq % 5 = 4)) AS c FROM res
         UNION ALL SELECT 'pcapng', count(DISTINCT seq // 500) FROM res""",
     "S4_dnstap": f"""SELECT seq, PacketTime + CASE WHEN seq % 3 = 1 THEN INTERVAL 1 SECOND ELSE INTERVAL 0 SECOND END AS ts,

@@ -27,7 +27,7 @@ from namestrata.plans.capture import packets_to_results
 from namestrata.session import cut_lineage, shared_dir
 from namestrata.sinks import frames, tables
 from namestrata.sinks.delivery import deliver
-from namestrata.sources import captures, protobuf
+from namestrata.sources import capture_source, captures, protobuf
 from namestrata.sources.domain_lists import domain_list_from, parse_domain_list
 from namestrata.streaming import jobs
 from namestrata.streaming.batches import batches_stream, run_until_flushed
@@ -892,6 +892,20 @@ QUERIES["S1_pcap"] = _capture_query("pcap")
 QUERIES["S2_pcapng"] = _capture_query("pcapng")
 
 
+@query("S1_capture_source")
+def captures_by_format(spark, sf_dir):
+    """All packets of both formats through the data source: file, number there, and the event they show."""
+    folder = shared_dir(spark, "captures")
+    files = traffic.capture_files(spark, sf_dir, "pcap").unionByName(traffic.capture_files(spark, sf_dir, "pcapng"))
+    traffic.write_captures(files, folder)
+    read = capture_source.open_captures(spark, folder, split_bytes=20_000).select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), F.col("seq").alias("number"), "ts_ns", "link_type",
+        F.sha2("data", 256).alias("digest"),
+    )
+    wrote = traffic.udp_packets(spark, sf_dir).select("seq", "ts_ns", F.sha2("data", 256).alias("digest"))
+    return wrote.join(read, ["ts_ns", "digest"]).select("seq", "file", "number", "link_type")
+
+
 @query("S3_format_sniffing")
 def sniffing(spark, sf_dir):
     files = traffic.capture_files(spark, sf_dir, "pcap").unionByName(

@@ -138,14 +138,21 @@ def block_size(order: str, head: bytes) -> int:
 
 
 class _Rows:
-    """Collects packets and hands out Arrow batches of bounded size."""
+    """Collects packets and hands out Arrow batches of bounded size.
 
-    def __init__(self, file: str):
-        self.file, self.rows, self.bytes = file, [], 0
+    ``columns`` are the ones handed out, all by default; ``keep`` judges a packet by the dict of its
+    numbers, before it takes up memory.
+    """
+
+    def __init__(self, file: str, columns: list[str] | None = None, keep=None):
+        self.file, self.columns, self.keep, self.rows, self.bytes = file, columns, keep, [], 0
+        self.payload = columns is None or "data" in columns
 
     def add(self, seq, ts_ns, caplen, wirelen, link, data):
-        self.rows.append((seq, ts_ns, caplen, wirelen, link, data))
-        self.bytes += caplen
+        if self.keep and not self.keep({"seq": seq, "ts_ns": ts_ns, "caplen": caplen, "wirelen": wirelen, "link_type": link}):
+            return
+        self.rows.append((seq, ts_ns, caplen, wirelen, link, data if self.payload else None))
+        self.bytes += caplen if self.payload else 64
 
     def full(self) -> bool:
         return self.bytes >= BATCH_BYTES
@@ -160,7 +167,8 @@ class _Rows:
         ]
         names = ["file", "seq", "ts", "ts_ns", "caplen", "wirelen", "link_type", "data"]
         self.rows, self.bytes = [], 0
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        batch = pa.RecordBatch.from_arrays(arrays, names=names)
+        return batch.select(self.columns) if self.columns is not None else batch
 
 
 class _Memory:
@@ -191,13 +199,23 @@ class _Window:
         return self.source.size()
 
 
+def arrow_uri(path: str) -> str:
+    """``path`` with the scheme that Arrow knows its store by; Hadoop has two more names for S3."""
+    scheme, mark, rest = path.partition("://")
+    return f"s3://{rest}" if mark and scheme.lower() in ("s3a", "s3n") else path
+
+
+def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """(file system, name there) of a path or URI. Keys and region of S3 come from its usual environment."""
+    uri = arrow_uri(path)
+    return arrow_fs.FileSystem.from_uri(uri) if ":/" in uri else (arrow_fs.LocalFileSystem(), uri)
+
+
 class _Remote:
     """A file on any file system Arrow can open."""
 
     def __init__(self, path: str):
-        system, name = arrow_fs.FileSystem.from_uri(path) if ":/" in path else (
-            arrow_fs.LocalFileSystem(), path,
-        )
+        system, name = file_system(path)
         self.file = system.open_input_file(name)
 
     def read_at(self, size: int, at: int) -> bytes:
@@ -208,8 +226,7 @@ class _Remote:
         return self.file.size()
 
 
-def _read_pcap(source, layout, file, at, stop, seq) -> Iterator[pa.RecordBatch]:
-    rows = _Rows(file)
+def _read_pcap(source, layout, rows, at, stop, seq) -> Iterator[pa.RecordBatch]:
     while at < stop:
         head = source.read_at(16, at)
         if len(head) < 16:
@@ -226,8 +243,7 @@ def _read_pcap(source, layout, file, at, stop, seq) -> Iterator[pa.RecordBatch]:
     yield rows.batch()
 
 
-def _read_pcapng(source, state, file, at, stop, seq) -> Iterator[pa.RecordBatch]:
-    rows = _Rows(file)
+def _read_pcapng(source, state, rows, at, stop, seq) -> Iterator[pa.RecordBatch]:
     while at < stop:
         head = source.read_at(12, at)
         size = block_size(state.order, head) if len(head) == 12 else 0
@@ -250,9 +266,9 @@ def _read_pcapng(source, state, file, at, stop, seq) -> Iterator[pa.RecordBatch]
 def _read_whole(source, file: str) -> Iterator[pa.RecordBatch]:
     head = source.read_at(24, 0)
     if head[:4] == PCAPNG_MAGIC:
-        yield from _read_pcapng(source, PcapngState(), file, 0, source.size(), 0)
+        yield from _read_pcapng(source, PcapngState(), _Rows(file), 0, source.size(), 0)
     elif head[:4] in PCAP_MAGICS and len(head) == 24:
-        yield from _read_pcap(source, PcapLayout.parse(head), file, 24, source.size(), 0)
+        yield from _read_pcap(source, PcapLayout.parse(head), _Rows(file), 24, source.size(), 0)
     # Anything else is no capture: it yields no packets and fails no task.
 
 
@@ -431,8 +447,20 @@ def _splits(files: DataFrame, split_bytes: int, step, out: str) -> DataFrame:
     return carry(splits, ["path"], "split", ["begin"], ["path", "begin", "stop"], step, out)
 
 
-def read_captures(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Packets of capture files at ``paths`` (folders and globs allowed), in splits of ``split_bytes``."""
+def read_split(split: dict, columns: list[str] | None = None, keep=None) -> Iterator[pa.RecordBatch]:
+    """The packets of one row of ``capture_index``."""
+    source = _Window(_Remote(split["path"]))
+    where = (_Rows(split["path"], columns, keep), split["first"], split["stop"], split["seq"])
+    if split["format"] == "pcap":
+        yield from _read_pcap(source, PcapLayout.parse(source.read_at(24, 0)), *where)
+    else:
+        yield from _read_pcapng(source, PcapngState(*pickle.loads(split["context"])), *where)
+
+
+def capture_index(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, format, first, stop, seq, count, context): the splits with packets of the capture files at
+    ``paths`` (folders and globs allowed), each with the place and number of its first record.
+    """
     from pyspark.sql import Window
 
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
@@ -463,20 +491,17 @@ def read_captures(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYT
     before = Window.partitionBy("path").orderBy("number")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     index = index.withColumn("seq", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    order = ["path", "format", "first", "stop", "seq", "context"]
+    return index.filter("count > 0").select("path", "format", "first", "stop", "seq", "count", "context")
+
+
+def read_captures(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Packets of capture files at ``paths`` (folders and globs allowed), in splits of ``split_bytes``."""
     # Splits go round robin over the tasks, so the splits of one file do not share a task.
-    index = index.filter("count > 0").select(*order).repartition(F.rand(7))
+    index = capture_index(spark, *paths, split_bytes=split_bytes).repartition(F.rand(7))
 
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                source = _Window(_Remote(row["path"]))
-                where = (row["path"], row["first"], row["stop"], row["seq"])
-                if row["format"] == "pcap":
-                    layout = PcapLayout.parse(source.read_at(24, 0))
-                    yield from _read_pcap(source, layout, *where)
-                else:
-                    state = PcapngState(*pickle.loads(row["context"]))
-                    yield from _read_pcapng(source, state, *where)
+            for split in batch.to_pylist():
+                yield from read_split(split)
 
     return index.mapInArrow(read, PACKETS)
