@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namestrata.functions import codes
+from namestrata.functions import codes, edns
 from namestrata.functions.ip import ip_text, to_number
 from namestrata.functions.once import let
 from namestrata.functions.timing import rfc3339
@@ -115,7 +115,9 @@ def _record_json(r: Column) -> Column:
     body = body.when(
         kind.isin(16, 99), _object(("Hdr", header), ("Txt", _array(F.transform(quoted, quote))))
     )
-    body = body.when((r["rdata"] == "") | (kind == OPT), _object(("Hdr", header)))
+    body = body.when(r["rdata"] == "", _object(("Hdr", header)))
+    listed = F.transform(edns.options(r["rdata"]), lambda o: edns.option_json(o, quote, _object))
+    body = body.when(kind == OPT, _object(("Hdr", header), ("Option", _array(listed))))
     return body.otherwise(_object(("Hdr", header), ("Rdata", quote(r["rdata"]))))
 
 

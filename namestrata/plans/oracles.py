@@ -289,6 +289,12 @@ _JSON = (
  || coalesce(',"SrcPort":' || src_port, '') || ',"DstIP":"' || dst || '"' || coalesce(',"DstPort":' || dst_port, '')
  || ',"Protocol":"' || Protocol || '","PacketLength":' || Size || ',"Identity":"' || Server || '","Version":"v1"}}'"""
 )
+_JSON_OPTIONS = """CASE WHEN Edns0Present = 0 THEN 'null' ELSE '[{"Hdr":{"Name":".","Rrtype":41,"Class":1232,"Ttl":' ||
+ CASE WHEN DoBit = 1 THEN 32768 ELSE 0 END || ',"Rdlength":' || (22 + CASE WHEN seq % 2 = 0 THEN 8 ELSE 0 END
+  + CASE WHEN seq % 3 = 0 THEN 6 ELSE 0 END) || '},"Option":[{"Code":8,"Family":1,"SourceNetmask":16,"SourceScope":0,"Address":"10.'
+ || (seq % 250) || '.0.0"},{"Code":10,"Cookie":"' || format('{:016x}', seq) || '"}'
+ || CASE WHEN seq % 2 = 0 THEN ',{"Code":3,"Nsid":"6e732d31"}' ELSE '' END
+ || CASE WHEN seq % 3 = 0 THEN ',{"Code":65001,"Data":"vu8="}' ELSE '' END || ']}]' END"""
 _TYPE_TEXT = "CASE {0} WHEN 28 THEN 'AAAA' WHEN 16 THEN 'TXT' WHEN 15 THEN 'MX' WHEN 1 THEN 'A' WHEN 5 THEN 'CNAME' ELSE '' END"
 _OP_TEXT = "CASE OpCode WHEN 0 THEN 'QUERY' ELSE 'UPDATE' END"
 _CLASS_TEXT = "CASE Class WHEN 1 THEN 'IN' ELSE 'CH' END"
@@ -337,6 +343,7 @@ _BODIES |= {
     "P9_protocol_number": "SELECT CASE WHEN Protocol = 'udp' THEN 17 ELSE 6 END AS number, count(*) AS c FROM dns_log GROUP BY 1",
     "P10_P11_index_time_full_query": "SELECT id, name AS Question, true AS stamped FROM q",
     "P12_json": f"SELECT seq, {_JSON} AS value FROM res",
+    "P12_edns_options": f"SELECT seq, {_JSON.replace(_JSON_EXTRA, _JSON_OPTIONS)} AS value FROM res",
     "P13_csv": f"SELECT seq, concat_ws(',', {_CSV}) AS value FROM res WHERE has_q",
     "P14_csv_header": f"""SELECT CAST(i - 1 AS INT) AS pos, string_split('{_CSV_NAMES}', ',')[i] AS name,
         (SELECT count(*) FROM res WHERE has_q) AS filled FROM range(1, 23) t(i)""",

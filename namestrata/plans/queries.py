@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namestrata.functions import codes, formats
+from namestrata.functions.binary import hex_uint
 from namestrata.functions.ip import ip_bytes, ip_text, mask_ip, to_16, to_number
+from namestrata.functions.once import compute_once
 from namestrata.operators import (
     domain_filter,
     headers,
@@ -529,6 +531,25 @@ def _render_query(fmt: str, **options) -> Query:
 
 
 QUERIES["P12_json"] = _render_query("json")
+
+
+@query("P12_edns_options")
+def edns_options(spark, sf_dir):
+    """Messages with two to four EDNS options, packed, decoded again and written as JSON."""
+    e = F.col("seq")
+    listed = F.concat(
+        F.lit("0008000600011000" + "0A"), hex_uint(e % 250, 1), F.lit("000A0008"), hex_uint(e, 8),
+        F.when(e % 2 == 0, "000300046E732D31").otherwise(""), F.when(e % 3 == 0, "FDE90002BEEF").otherwise(""),
+    )
+    size = F.expr("length(listed) div 2").cast("int")
+    data = F.concat(F.lit("\\# "), size.cast("string"), F.lit(" "), F.col("listed"))
+    extra = F.transform("dns.extra", lambda r: r.withField("rdlength", size).withField("rdata", data))
+    told = traffic.results(spark, sf_dir).withColumn("listed", listed)
+    told = compute_once(told, {"dns": F.col("dns").withField("extra", extra)}).drop("listed")
+    packed = messages.pack(told, "payload").drop("dns")
+    return formats.render(messages.unpack(packed), "json", keep=("seq",))
+
+
 QUERIES["P13_csv"] = _render_query("csv", server="resolver")
 QUERIES["P15_template"] = _render_query(
     "gotemplate", template='id={{.DNS.Id}} src={{.SrcIP}} question={{(index .DNS.Question 0).Name}}'
