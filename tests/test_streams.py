@@ -1,13 +1,15 @@
 """Stream helpers that need more than one micro-batch or a failure."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from namestrata.operators.reassembly import FLOW, FRAGMENT_KEY
 from namestrata.operators.rollups import rollup
 from namestrata.plans import traffic
 from namestrata.sources.domain_lists import domain_list_from
 from namestrata.streaming import jobs
-from namestrata.streaming.reassembly import TcpStream
+from namestrata.streaming.reassembly import Fragments, Segments, TcpStream
 from tests.conftest import SF
 
 
@@ -62,3 +64,62 @@ def test_tcp_stream_without_syn_waits_for_the_flush():
     assert stream.add(5, 7, 4, False, data[4:]) == []
     assert stream.add(6, 8, 0, False, data[:4]) == []
     assert stream.flush() == [(5, 7, b"abcdef")]
+
+
+class Handle:
+    """A state handle and its one value in memory; ``calls`` are the round trips a real one would make."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls.append("timer")
+        self.timers.remove(at)
+
+
+def test_a_key_costs_few_round_trips():
+    """One to look, none more for a train that is complete, two to store a flow; timers follow it."""
+    handle, fragments = Handle(), Fragments(FRAGMENT_KEY, 10_000)
+    fragments.init(handle)
+    key = ("", 4, b"a", b"b", 7, 17)
+    whole = [
+        Row(seq=n, ts_ns=1_000_000, frag_offset=n, more_fragments=n < 1, payload=b"x" * 8, protocol_no=17) for n in (0, 1)
+    ]
+    assert [r.payload for r in fragments.handleInputRows(key, whole, None)] == [b"x" * 16]
+    assert handle.calls == ["get"] and not handle.timers
+    list(fragments.handleInputRows(key, whole[:1], None))
+    assert handle.timers == {10_001} and handle.calls[1:] == ["get", "update", "timer"]
+    assert [r.payload for r in fragments.handleInputRows(key, whole[1:], None)] == [b"x" * 16]
+    assert handle.held is None and not handle.timers
+
+    handle, segments = Handle(), Segments(FLOW, 10_000)
+    segments.init(handle)
+    key = ("", 4, b"a", b"b", 1024, 53)
+    for n, at in enumerate((1, 1, 5)):
+        row = Row(seq=n, ts_ns=at * 1_000_000, tcp_seq=9 + n, tcp_flags=16, payload=b"x")
+        list(segments.handleInputRows(key, [row], None))
+        assert handle.timers == {10_000 + at}
+    assert len(handle.calls) == 3 + 2 + 4
