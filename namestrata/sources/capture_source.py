@@ -28,6 +28,9 @@ from namestrata.session import shared_dir
 from namestrata.sources.captures import SPLIT_BYTES, capture_index, file_system, read_split
 
 FORMAT = "captures"
+#: Tasks that a read is cut into before they read more than ``splitBytes`` each: small splits must not
+#: make as many tasks as there are.
+MANY_TASKS = 256
 NUMBERS = ("seq", "ts_ns", "caplen", "wirelen", "link_type")
 COMPARE = {
     api.EqualTo: operator.eq, api.GreaterThan: operator.gt, api.GreaterThanOrEqual: operator.ge,
@@ -57,7 +60,7 @@ class Condition:
 
 @dataclass
 class Splits(api.InputPartition):
-    """Rows of the index that one task reads, up to ``splitBytes`` together."""
+    """Rows of the index that one task reads together."""
 
     rows: list[dict]
 
@@ -79,13 +82,15 @@ class CaptureReader(api.DataSourceReader):
         system, name = file_system(self.index)
         rows = arrow_dataset.dataset(name, filesystem=system, format="parquet").to_table().to_pylist()
         rows = sorted(filter(self._wanted, rows), key=lambda r: (r["path"], r["first"]))
+        total = sum(r["stop"] - r["first"] for r in rows)
+        most = max(self.split_bytes, min(SPLIT_BYTES, total // MANY_TASKS))
         tasks: list[list[dict]] = []
         room = 0
         for row in rows:
             size = row["stop"] - row["first"]
             if not tasks or size > room:
                 tasks.append([])
-                room = self.split_bytes
+                room = most
             tasks[-1].append(row)
             room -= size
         return [Splits(t) for t in tasks] or [Splits([])]
@@ -108,7 +113,8 @@ class CaptureReader(api.DataSourceReader):
 
 
 class CaptureSource(api.DataSource):
-    """Options: ``index``, the folder that ``write_index`` filled; ``splitBytes``, bytes a task reads."""
+    """Options: ``index``, the folder that ``write_index`` filled; ``splitBytes``, bytes a task reads, more
+    (up to 128 MB) where that would make more than ``MANY_TASKS`` tasks."""
 
     @classmethod
     def name(cls) -> str:

@@ -115,3 +115,19 @@ def test_names_of_s3():
     assert captures.arrow_uri("S3N://bucket/a") == "s3://bucket/a"
     assert captures.arrow_uri("hdfs://node:8020/a") == "hdfs://node:8020/a"
     assert captures.arrow_uri("/data/s3a/a") == "/data/s3a/a"
+
+
+def test_small_splits_share_tasks(index, monkeypatch):
+    """Tasks do not grow in number with the splits, and no split is lost."""
+    every = [r for p in reader(index).partitions() for r in p.rows]
+    monkeypatch.setattr(capture_source, "MANY_TASKS", 2)
+    tasks = [p.rows for p in reader(index).partitions()]
+    assert [r for t in tasks for r in t] == every and len(tasks) <= 4 < len(every)
+
+
+def test_packets_are_not_taken_for_as_small_as_their_index(spark, folder):
+    """A join with packets is none that gathers them all at the driver."""
+    read = captures.read_captures(spark, folder, split_bytes=SPLIT).select("ts_ns", F.sha2("data", 256).alias("digest"))
+    many = spark.range(1 << 40).select(F.col("id").alias("ts_ns"), F.col("id").cast("string").alias("digest"))
+    plan = many.join(read, ["ts_ns", "digest"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [ts_ns" in plan and "BroadcastHashJoin [ts_ns" not in plan
