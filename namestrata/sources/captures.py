@@ -504,4 +504,5 @@ def read_captures(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYT
             for split in batch.to_pylist():
                 yield from read_split(split)
 
-    return index.mapInArrow(read, PACKETS)
+    # The planner takes the packets for as small as their index and would broadcast them.
+    return index.mapInArrow(read, PACKETS).hint("merge")
