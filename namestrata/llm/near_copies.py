@@ -70,19 +70,22 @@ def prints(docs: DataFrame, seeds: int) -> DataFrame:
 def candidates(nodes: DataFrame, seeds: int) -> DataFrame:
     """(a, b): contents joined so that those with a fingerprint within four bits are connected.
 
-    Contents with one fingerprint hang on their smallest one; it stands for them in the links.
+    Links among fingerprints are many for a dense group, so they are settled into components, a row
+    per fingerprint, before contents are joined; all of a component hang on its smallest content.
     """
-    out = None
+    fps = F.posexplode("fps").alias("k", "fp")
+    own = nodes.select("content", fps).select("content", "k", "fp", F.xxhash64("k", "fp").alias("place"))
+    own = cut_lineage(own, "places")
+    near = None
     for k in range(seeds):
-        own = nodes.select("content", F.col("fps")[k].alias("fp"))
-        heads = cut_lineage(own.groupBy("fp").agg(F.min("content").alias("head"), F.count("*").alias("all")), "heads")
-        alike = own.join(heads.where(F.col("all") > 1), "fp").where("content <> head").select(F.col("head").alias("a"), F.col("content").alias("b"))
-        near = links(heads.select("fp"))
-        for end in ("a", "b"):
-            near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head")), end)
-        both = alike.union(near.select("a_head", "b_head"))
-        out = both if out is None else out.union(both)
-    return out
+        found = links(own.where(F.col("k") == k).select("fp").distinct())
+        found = found.select(*[F.xxhash64(F.lit(k), end).alias(end) for end in ("a", "b")])
+        near = found if near is None else near.union(found)
+    roots = connected_components(thinned(near))
+    placed = own.join(roots, F.col("place") == F.col("node"), "left")
+    placed = cut_lineage(placed.select("content", F.coalesce("root", "place").alias("place")), "placed")
+    heads = placed.groupBy("place").agg(F.min("content").alias("head"), F.count("*").alias("all")).where("all > 1")
+    return placed.join(heads, "place").where("content <> head").select(F.col("head").alias("a"), F.col("content").alias("b"))
 
 
 def verified(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from namestrata.llm.near_copies import copies, drop_near_copies, shingles, verified, words_of
+from namestrata.llm.near_copies import candidates, copies, drop_near_copies, shingles, verified, words_of
 
 SCHEMA = "doc_id long, text string, body string, root int, own_id int"
 
@@ -104,3 +104,23 @@ def test_one_large_cluster_of_copies(spark):
         rows.append((i, " ".join(words)))
     out = copies(spark.createDataFrame(rows, "doc_id long, text string"), tile=100).collect()
     assert sum(r.least_id == 0 for r in out) >= 0.97 * len(rows)
+
+
+def test_candidates_are_no_more_than_fingerprints(spark):
+    """A dense group links its members many times over; contents are joined once per fingerprint."""
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(1 << 62))
+    prints = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (800, 2))}
+    rows = [(i, [fp, fp ^ 5]) for i, fp in enumerate(sorted(prints))]
+    nodes = spark.createDataFrame(rows, "content long, fps array<long>").repartition(4)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = candidates(nodes, 2).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(found) <= 2 * len(rows)
+    assert {x for r in found for x in r} == set(range(len(rows)))
