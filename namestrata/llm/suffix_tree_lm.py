@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -227,6 +228,13 @@ def tree_rows(counts: DataFrame, low: np.ndarray) -> DataFrame:
     return dealt.repartition("ending").sortWithinPartitions("ending").mapInArrow(run, kind)
 
 
+def depths(rows: DataFrame) -> Iterator[tuple[int, pa.Table]]:
+    """(depth, contexts of that depth) of rows of the tree, one depth after the other: the driver
+    never holds the rows of a whole shard beside its arrays."""
+    for depth in range(2, DEPTH + 1):
+        yield depth, rows.where(F.col("depth") == depth).select("context", "total", "next", "n").toArrow()
+
+
 @dataclass
 class SuffixTree:
     """The root and single bytes as counts, and the kept contexts of some endings: by depth the
@@ -240,22 +248,31 @@ class SuffixTree:
 
     @classmethod
     def of(cls, low: np.ndarray, table: pa.Table, mine: np.ndarray) -> SuffixTree:
+        parts = ((depth, table.filter(pc.field("depth") == depth)) for depth in range(2, DEPTH + 1))
+        return cls.of_depths(low, parts, mine)
+
+    @classmethod
+    def of_depths(cls, low: np.ndarray, parts: Iterable[tuple[int, pa.Table]], mine: np.ndarray) -> SuffixTree:
+        """``parts`` are (depth, rows of that depth), of which one at a time is held."""
         contexts, followers = {}, {}
-        for depth in range(2, DEPTH + 1):
-            own = table.filter(pc.field("depth") == depth).sort_by("context")
+        for depth, own in parts:
             if not own.num_rows:
                 continue
-            context = np.asarray(own.column("context")).astype(np.uint64)
+            context = np.asarray(own.column("context")).view(np.uint64)
+            total = np.asarray(own.column("total")).astype(np.float64)
             kinds = np.asarray(pc.binary_length(own.column("next"))).astype(np.int64)
             # The bytes of all contexts lie end to end, as their counts do.
-            byte = np.concatenate([_flat_bytes(c) for c in own.column("next").chunks])
+            run = np.repeat(context, kinds)
+            run <<= np.uint64(8)
+            run |= np.concatenate([_flat_bytes(c) for c in own.column("next").chunks])
             n = np.concatenate([np.asarray(c.flatten()) for c in own.column("n").chunks])
-            run = (np.repeat(context, kinds) << np.uint64(8)) | byte
-            order = np.argsort(run, kind="stable")
+            del own
             # Whole numbers either way; halves what most trees take.
-            narrow = np.uint32 if int(n.max()) < 1 << 32 else np.int64
-            contexts[depth] = context, np.asarray(own.column("total")).astype(np.float64), np.maximum(BACK * kinds, 1.0)
-            followers[depth] = run[order], n[order].astype(narrow)
+            n = n.astype(np.uint32) if int(n.max()) < 1 << 32 else n
+            order = np.argsort(context)
+            contexts[depth] = context[order], total[order], np.maximum(BACK * kinds[order], 1.0)
+            order = np.argsort(run)
+            followers[depth] = run[order], n[order]
         return cls(low, contexts, followers, mine)
 
     def log10(self, run: np.ndarray) -> np.ndarray:
@@ -437,8 +454,9 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     totals = {r.key: r.n for r in counts.where(f"kind = {TOTAL}").collect()}
     vocabulary = counts.where(f"kind = {WORD}").count()
     low = np.zeros((256, 256), dtype=np.int64)
-    for r in counts.where(f"kind = {RUN}").groupBy(F.expr("key & 65535").alias("pair")).agg(F.sum("n").alias("n")).collect():
-        low[r.pair >> 8, r.pair & 255] = r.n
+    pairs = counts.where(f"kind = {RUN}").groupBy(F.expr("key & 65535").alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    low.reshape(-1)[np.asarray(pairs.column("pair"))] = np.asarray(pairs.column("n"))
+    del pairs
     tree = cut_lineage(tree_rows(counts, low), "tree")
     sizes = {r.ending: r.n for r in tree.groupBy("ending").agg(F.sum(F.size("n")).alias("n")).collect()}
     of, shards = dealt_out(sizes, HELD_RUNS)
@@ -449,10 +467,13 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
         own = counts.where((F.col("kind") == WORD) & (F.pmod("key", F.lit(shards)) == s)).select("key", "n").toArrow().sort_by("key")
         key, n = (np.asarray(own.column(c)) for c in ("key", "n"))
         words = WordLogs(key, n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n, s, shards)
+        del own, key, n
         endings = spark.createDataFrame([(int(e),) for e in sizes if of[e] == s], "ending int")
         rows = tree.join(F.broadcast(endings), "ending", "left_semi") if shards > 1 else tree
-        table = rows.select("depth", "context", "total", "next", "n").toArrow()
-        parts.append(scored(docs, SuffixTree.of(low, table, of == s), words, totals.get(0, 0)))
+        parts.append(scored(docs, SuffixTree.of_depths(low, depths(rows), of == s), words, totals.get(0, 0)))
+        del words
+        # What Arrow has read stays with its pool otherwise, beside the next shard and run.
+        pa.default_memory_pool().release_unused()
     out = parts[0]
     if shards > 1:
         for p in parts[1:]:

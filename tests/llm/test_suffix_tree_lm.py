@@ -190,3 +190,31 @@ def test_scores_match_the_recursion(spark, monkeypatch, held):
     got = score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     bag = lambda x: sorted((str(d), round(s, 5)) for d, s in x)
     assert bag((r.doc_id, r.score) for r in got) == bag((r[0], w) for r, w in zip(rows, want))
+
+
+def test_the_driver_reads_a_depth_at_a_time(spark, monkeypatch):
+    """No table that comes to the driver holds contexts of two depths, and what is built is the same."""
+    texts = some_texts(120)
+    seen, whole = [], []
+    real = SuffixTree.of_depths.__func__
+
+    def watched(cls, low, parts, mine):
+        parts = list(parts)
+        seen.extend((depth, part.column_names) for depth, part in parts)
+        whole.append((real(cls, low, iter(parts), mine), mine.all()))
+        return whole[-1][0]
+
+    monkeypatch.setattr(SuffixTree, "of_depths", classmethod(watched))
+    rows = score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [depth for depth, _ in seen] == list(range(2, DEPTH + 1))
+    assert len(rows) == len(texts) and all(r.score < 0 for r in rows)
+    (tree, all_mine), = whole
+    assert all_mine
+    for depth, (run, n) in tree.followers.items():
+        context = tree.contexts[depth][0]
+        assert (np.diff(run.astype(np.int64)) > 0).all() and (np.diff(context.astype(np.int64)) > 0).all()
+        assert set((run >> np.uint64(8)).tolist()) == set(context.tolist())
+        # The counts of a context's next bytes add up to its total.
+        sums = np.zeros(len(context))
+        np.add.at(sums, np.searchsorted(context, run >> np.uint64(8)), n)
+        assert (sums == tree.contexts[depth][1]).all()
