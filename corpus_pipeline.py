@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from namestrata.llm import combination_packing, compression_bands, language_id, near_copies, substring_dedup
 from namestrata.session import cut_lineage
 
+#: Words whose ids a worker keeps; it keeps them while it runs other stages.
+PACKING_WORDS = 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words and compressed size pass."""
@@ -36,7 +39,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in windows of 2048."""
-    return combination_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return combination_packing.pack(docs, path, public_tokenizers.PATTERN, remembered=PACKING_WORDS)
 
 
 STAGES = [

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from namestrata.llm.batches import map_slices, text_bytes
 from namestrata.llm.rank_codec import RankCodec, file_codec
+from namestrata.llm.words import REMEMBERED
 from namestrata.session import cut_lineage
 
 WINDOW = 2048
@@ -44,7 +45,7 @@ def widened(data: bytes) -> np.ndarray:
     return np.frombuffer(data[1:], dtype="<u4" if data[0] else "<u2").astype("<u4")
 
 
-def whole_pieces(docs: DataFrame, path: str, pattern: str, end_id: int, window: int = WINDOW) -> DataFrame:
+def whole_pieces(docs: DataFrame, path: str, pattern: str, end_id: int, window: int = WINDOW, remembered: int = REMEMBERED) -> DataFrame:
     """The documents' ids, ``end_id`` after each, as full windows and one shorter rest.
 
     ``rank`` numbers the pieces of a length within a task (``part``), ``row`` all of its pieces.
@@ -53,7 +54,7 @@ def whole_pieces(docs: DataFrame, path: str, pattern: str, end_id: int, window:
 
     def start():
         part, ranks, row = TaskContext.get().partitionId(), Counter(), 0
-        codec = file_codec(path, pattern)
+        codec = file_codec(path, pattern, remembered)
 
         def step(piece):
             nonlocal row
@@ -253,7 +254,7 @@ RESULT = (
 )
 
 
-def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, window: int = WINDOW, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row per piece.
 
     Every document gives its ids by the ``tokenizers`` file at ``path`` (``pattern`` is its
@@ -264,9 +265,10 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, window: int
     numbers and offsets have no gaps; no sequence exceeds ``window``, and the line's last one is
     the only one that lacks more than WASTE tokens.
 
-    What reaches the driver is the histogram of at most ``window`` lengths.
+    What reaches the driver is the histogram of at most ``window`` lengths. A worker keeps the ids of
+    ``remembered`` words, after its tasks too.
     """
-    pieces = cut_lineage(whole_pieces(docs, path, pattern, end_id, window), "pieces")
+    pieces = cut_lineage(whole_pieces(docs, path, pattern, end_id, window, remembered), "pieces")
     histogram = np.zeros(window + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]

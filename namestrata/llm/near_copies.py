@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namestrata.llm.batches import few, map_slices, plain_names, place_of, record_batch, schema_of, slices, text_bytes
+from namestrata.llm.batches import PIECE_BYTES, few, map_slices, plain_names, place_of, record_batch, schema_of, slices, text_bytes
 from namestrata.llm.components import connected_components, spanning_stars, thinned
 from namestrata.llm.fuzzy_simhash import links
 from namestrata.session import cut_lineage
@@ -64,7 +64,7 @@ def prints(docs: DataFrame, seeds: int) -> DataFrame:
 
         return step
 
-    return map_slices(docs, start, "doc_id long, body long, content long, fps array<long>", weight="text")
+    return map_slices(docs, start, "doc_id long, body long, content long, fps array<long>", weight="text", most=PIECE_BYTES)
 
 
 def candidates(nodes: DataFrame, seeds: int) -> DataFrame:
@@ -164,7 +164,7 @@ def verified_links(texts: DataFrame, width: int, similarity: float, tile: int) -
                     return record_batch([pa.array(u), pa.array(v)], arrow)
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 for now, s, c, text in zip(*(piece.column(x).to_pylist() for x in ("unit", "side", "content", "text"))):
                     if now != unit:
                         if (out := work()) is not None:

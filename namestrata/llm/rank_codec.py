@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namestrata.llm.batches import map_slices, text_bytes
-from namestrata.llm.words import PIECE, SPACES, WordMemo
+from namestrata.llm.words import PIECE, REMEMBERED, SPACES, WordMemo
 
 #: Longer runs of white space go to the merges directly; the library's matcher recurses on them.
 LONG_RUN = 1000
@@ -61,14 +61,14 @@ def packed(ids: list[int]) -> bytes:
 class RankCodec:
     """The library's encoding of whole texts, with words it has met before remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None, remembered: int = REMEMBERED):
         self.special = special or {}
         if any(SPACES.search(s) for s in self.special):
             raise ValueError("texts are cut before white space, so special strings must hold none")
         self.encoding = tiktoken.Encoding(
             "local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special
         )
-        self.memo = WordMemo(lambda parts: [self._part(p) for p in parts])
+        self.memo = WordMemo(lambda parts: [self._part(p) for p in parts], remembered)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers."""
@@ -103,9 +103,12 @@ def codec(path: str, pattern: str) -> RankCodec:
 
 
 @cache
-def file_codec(path: str, pattern: str) -> RankCodec:
-    """A codec for a tokenizer file of the ``tokenizers`` library, with its special strings."""
-    return RankCodec(pattern=pattern, **file_ranks(path))
+def file_codec(path: str, pattern: str, remembered: int = REMEMBERED) -> RankCodec:
+    """A codec for a tokenizer file of the ``tokenizers`` library, with its special strings.
+
+    It stays with the worker, whatever runs there afterwards, as do ``remembered`` words.
+    """
+    return RankCodec(pattern=pattern, remembered=remembered, **file_ranks(path))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from namestrata.llm.batches import map_slices, place_of, plain_names, record_batch, schema_of
+from namestrata.llm.batches import PIECE_BYTES, map_slices, place_of, plain_names, record_batch, schema_of
 from namestrata.llm.fm_index import NONE, FMIndex
 from namestrata.session import cut_lineage
 
@@ -32,7 +32,7 @@ SHARD_WORDS, INDEX_WORDS = 400_000, 1_000_000
 #: those whose distinct runs hold more words than a shard. The choice changes no result.
 PROBE_SHARE, PROBE_LONG = 16, 1 << 16
 #: Words whose hash a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -151,7 +151,7 @@ def occurrences(base: DataFrame, width: int, heavy: np.ndarray | None = None) ->
 
         return step
 
-    return map_slices(base, start, "key long, content long, doc long, loc long", weight="text")
+    return map_slices(base, start, "key long, content long, doc long, loc long", weight="text", most=PIECE_BYTES)
 
 
 def heavy_keys(base: DataFrame, width: int) -> np.ndarray:
@@ -208,7 +208,7 @@ def run_words(base: DataFrame, shared: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    return map_slices(joined, start, "key long, content long, doc long, last_doc long, words binary", weight="text")
+    return map_slices(joined, start, "key long, content long, doc long, last_doc long, words binary", weight="text", most=PIECE_BYTES)
 
 
 def answer_shard(rows: list[tuple], width: int, per_index: int = INDEX_WORDS) -> list[tuple]:
@@ -349,6 +349,7 @@ def repeated_passages(docs: DataFrame, width: int = 13) -> DataFrame:
         start,
         "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<at: bigint, n: bigint>>",
         weight="text",
+        most=PIECE_BYTES,
     )
 
 
@@ -397,7 +398,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = 13) -> DataFrame:
 
         return step
 
-    out = map_slices(joined, start, kind, weight="own_text")
+    out = map_slices(joined, start, kind, weight="own_text", most=PIECE_BYTES)
     if "n_chars" in [c.lower() for c in docs.columns]:
         chars = f"c{place_of('n_chars', docs)}"
         size = F.length(text).cast(plain.schema[chars].dataType)

@@ -6,7 +6,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from namestrata.llm.rank_codec import RankCodec, decode, encode, file_ranks, load_ranks
+import corpus_pipeline
+from namestrata.llm.rank_codec import RankCodec, decode, encode, file_codec, file_ranks, load_ranks
 from namestrata.llm.words import safe_pieces
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -64,3 +65,12 @@ def test_query_columns(spark):
     back = {(str(r.doc_id), bytes(r.bytes)) for r in decode(out, PATH, PATTERN).collect()}
     assert back == {(str(r[0]), (r[1] or "").encode()) for r in rows}
     assert encode(spark.createDataFrame([], SCHEMA), PATH, PATTERN).count() == 0
+
+
+def test_few_remembered_words_give_the_same_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    many, few = file_codec(path, PATTERN), file_codec(path, PATTERN, 3)
+    texts = ["a b c d e f  g\n h", "a b", "", "f e d c b a " * 50]
+    assert [few.encode(t) for t in texts] == [many.encode(t) for t in texts]
+    assert len(few.memo.known) == 3 < len(many.memo.known)
+    assert corpus_pipeline.PACKING_WORDS <= 100_000

@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from namestrata.llm import substring_dedup
+from namestrata.llm import near_copies, substring_dedup
+from namestrata.llm.batches import PIECE_BYTES, map_slices, slices
 from namestrata.llm.fm_index import NONE, FMIndex
 from namestrata.llm.substring_dedup import answer_shard, repeated_passages
 
@@ -122,3 +124,22 @@ def test_a_passage_of_many_documents_is_no_group_of_one_shard(spark, monkeypatch
     assert max(words.values()) <= 500
     out = repeated_passages(docs).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == brute(rows)
+
+
+def test_pieces_of_text_are_small(spark, monkeypatch):
+    """Tasks that hold texts as words and arrays take a megabyte at once, whatever the batch."""
+    texts = pa.RecordBatch.from_pydict({"text": [b"x" * 3000] * 1000 + [b"y" * (5 << 20), None, b""]})
+    pieces = list(slices(texts, "text", PIECE_BYTES))
+    assert sum(p.num_rows for p in pieces) == texts.num_rows
+    assert all(p.num_rows == 1 or sum(len(t or b"") for t in p.column(0).to_pylist()[:-1]) < PIECE_BYTES for p in pieces)
+    bounds = []
+
+    def watched(df, start, schema, weight=None, most=None):
+        bounds.append(most)
+        return map_slices(df, start, schema, weight, most)
+
+    monkeypatch.setattr(substring_dedup, "map_slices", watched)
+    monkeypatch.setattr(near_copies, "map_slices", watched)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 3, 40))) for i in range(9)], "doc_id long, text string")
+    substring_dedup.drop_repeated_passages(near_copies.drop_near_copies(docs)).collect()
+    assert len(bounds) >= 4 and set(bounds) == {PIECE_BYTES}
