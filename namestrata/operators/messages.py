@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namestrata.functions.ip import mask_ip
+from namestrata.functions.ip import mask_ip_of
 from namestrata.functions.wire import message_bytes
 from namestrata.operators.counters import Counters, watched
 from namestrata.schemas import DNS_RESULT_COLUMNS, MESSAGE
@@ -47,7 +47,7 @@ def pack(df: DataFrame, out: str = "dns_wire", dns: str = "dns") -> DataFrame:
 
 
 def _masked(v4_bits: int, v6_bits: int) -> dict:
-    return {ip: mask_ip(F.col(ip), v4_bits, v6_bits) for ip in ("src_ip", "dst_ip")}
+    return {ip: mask_ip_of(F.col(ip), v4_bits, v6_bits) for ip in ("src_ip", "dst_ip")}
 
 
 def _decoded(payloads: DataFrame, v4_bits: int, v6_bits: int, counters: Counters | None) -> DataFrame:
