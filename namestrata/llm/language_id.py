@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,9 +221,11 @@ def labelled_sample(docs: DataFrame, chars: int) -> DataFrame:
     spark = docs.sparkSession
     # The share of a language that fills its room once and a half, and its first row at least; the
     # window below cuts exactly.
-    upto = [(r.lang, max(r.least, int(min(1.0, 1.5 * room / max(1, r.size)) * (1 << 30)))) for r in langs]
-    bounds = spark.createDataFrame(upto, "lang string, until long")
-    bounds = F.broadcast(bounds) if len(upto) <= BROADCAST_ROWS else bounds
+    until = [max(r.least, int(min(1.0, 1.5 * room / max(1, r.size)) * (1 << 30))) for r in langs]
+    # By way of Arrow: a list of rows starts a Python daemon of another kind on executors, which stays.
+    bounds = pa.table({"lang": pa.array([r.lang for r in langs], pa.string()), "until": pa.array(until, pa.int64())})
+    bounds = spark.createDataFrame(bounds)
+    bounds = F.broadcast(bounds) if len(langs) <= BROADCAST_ROWS else bounds
     taken = docs.join(bounds, "lang").withColumn("place", place)
     taken = taken.where(spot <= F.col("until"))
     by = Window.partitionBy("lang").orderBy("spot", "place", "doc_id", F.xxhash64("text"))

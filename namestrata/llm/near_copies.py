@@ -81,7 +81,8 @@ def candidates(nodes: DataFrame, seeds: int) -> DataFrame:
         found = links(own.where(F.col("k") == k).select("fp").distinct())
         found = found.select(*[F.xxhash64(F.lit(k), end).alias(end) for end in ("a", "b")])
         near = found if near is None else near.union(found)
-    roots = connected_components(thinned(near))
+    # Stored first: two steps of Python in one task are two workers, which an executor keeps.
+    roots = connected_components(thinned(cut_lineage(near, "links")))
     placed = own.join(roots, F.col("place") == F.col("node"), "left")
     placed = cut_lineage(placed.select("content", F.coalesce("root", "place").alias("place")), "placed")
     heads = placed.groupBy("place").agg(F.min("content").alias("head"), F.count("*").alias("all")).where("all > 1")

@@ -6,6 +6,7 @@ import pytest
 
 from namestrata.llm import language_id
 from namestrata.llm.language_id import ORDER, fold, identify, keep_identified, kneser_ney, normal, predictions
+from namestrata.session import cut_lineage
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, score int"
@@ -151,3 +152,12 @@ def test_kept_rows_keep_columns_of_any_name(spark):
     kept = keep_identified(odd, models)
     assert kept.columns == odd.columns and kept.count() > 20
     assert all(r["a`b.c"] == r.whole_text == r.lang for r in kept.collect())
+
+
+def test_sample_starts_no_other_python_on_executors(spark):
+    """Rows of a Python list come through an RDD of Python, which has a daemon and workers of its own."""
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("one two", "en"), ("eins zwei", "de")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    sample = language_id.labelled_sample(cut_lineage(docs, "labelled"), 1000)
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    assert "RDD" not in plan and sample.count() == 10

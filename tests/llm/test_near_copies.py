@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from namestrata.llm import near_copies
 from namestrata.llm.near_copies import candidates, copies, drop_near_copies, shingles, verified, words_of
 
 SCHEMA = "doc_id long, text string, body string, root int, own_id int"
@@ -124,3 +125,17 @@ def test_candidates_are_no_more_than_fingerprints(spark):
             spark.conf.set(k, v)
     assert len(found) <= 2 * len(rows)
     assert {x for r in found for x in r} == set(range(len(rows)))
+
+
+def test_no_task_has_two_steps_of_python(spark, monkeypatch):
+    """Each would be a worker of its own, which an executor keeps."""
+    plans, thin = [], near_copies.thinned
+
+    def thinned(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return thin(edges)
+
+    monkeypatch.setattr(near_copies, "thinned", thinned)
+    rows, _ = planted()
+    copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert len(plans) == 2 and not any("InArrow" in p for p in plans)
