@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from namestrata.llm.batches import map_slices, record_batch, schema_of, text_bytes
 from namestrata.llm.components import connected_components, spanning_stars
-from namestrata.llm.golay import fuzzy_keys, links_within
+from namestrata.llm.golay import SECOND_BITS, fuzzy_keys, links_within
 from namestrata.session import cut_lineage
 
 #: Groups up to this size are compared pair by pair, all groups of a batch at once.
@@ -98,7 +98,9 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
 
     Keys are dealt out and sorted by Spark. A task reads its groups in a stream, holds one group
     (eight bytes a member) at a time and hands on a spanning star of each component it sees, so
-    its output is at most its input however dense a group of near copies is.
+    its output is at most its input however dense a group of near copies is. Keys are dealt out by
+    their first part, which a fingerprint has ten of at most: so many tasks see it, and not one
+    for each of its 60 keys.
     """
     kind = schema_of("a long, b long")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -139,7 +141,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
         if held:
             yield thinned()
 
-    dealt = keyed(fps).repartition("key").sortWithinPartitions("key")
+    dealt = keyed(fps).repartition(F.shiftright("key", SECOND_BITS)).sortWithinPartitions("key")
     return dealt.mapInArrow(run, kind)
 
 

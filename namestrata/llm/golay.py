@@ -16,6 +16,8 @@ import numpy as np
 GENERATOR = 0b101011100011
 #: (first bit, bits) of the segments of a fingerprint; the last is filled up with zeros.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Bits of a key that hold its second part, a codeword's index.
+SECOND_BITS = 12
 
 
 def codewords() -> np.ndarray:
@@ -75,10 +77,10 @@ def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys_out.append(np.int64(kind) << 48 | key[rows, cols])
 
     n = len(fingerprints)
-    both = (keys[0][0][:, :, None] << 12 | keys[1][0][:, None, :]).reshape(n, 36)
+    both = (keys[0][0][:, :, None] << SECOND_BITS | keys[1][0][:, None, :]).reshape(n, 36)
     add(0, both, (keys[0][1][:, :, None] & keys[1][1][:, None, :]).reshape(n, 36))
     for kind, (equal, close) in enumerate(((1, 2), (2, 1), (0, 2), (2, 0)), 1):
-        add(kind, parts[equal][:, None] << 12 | keys[close][0], keys[close][1])
+        add(kind, parts[equal][:, None] << SECOND_BITS | keys[close][0], keys[close][1])
     return np.concatenate(rows_out), np.concatenate(keys_out)
 
 

@@ -6,7 +6,7 @@ import xxhash
 
 from namestrata.llm import golay
 from namestrata.llm.components import connected_components, spanning_stars
-from namestrata.llm.fuzzy_simhash import drop_near_duplicates, fingerprint, links_of_groups, near_duplicates
+from namestrata.llm.fuzzy_simhash import drop_near_duplicates, fingerprint, links, links_of_groups, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, key int"
 
@@ -135,3 +135,23 @@ def test_one_document_stays(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
+
+
+def test_a_dense_group_gives_few_rows(spark):
+    """Ten for each fingerprint at most, however many tasks its keys are dealt out to."""
+    rng = random.Random(5)
+    base = rng.getrandbits(63)
+    group = sorted({base ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63) for _ in range(500)} | {base})
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("200", "false")):
+            spark.conf.set(k, v)
+        found = links(spark.createDataFrame([(x,) for x in group], "fp long")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(found) <= 10 * len(group)
+    reached = {base}
+    while more := {x for r in found for x in (r.a, r.b) if (r.a in reached) != (r.b in reached)} - reached:
+        reached |= more
+    assert reached == set(group)
