@@ -11,10 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from namestrata.schemas import LINK_ETHERNET
+from namestrata.functions.arrow_steps import then
+from namestrata.schemas import LINK_ETHERNET, PACKETS
 
 LINK_RAW = 101
 VXLAN_ENDS = ("0A090001", "0A090002")
@@ -29,7 +32,7 @@ TOKEN = re.compile(r"\\[0-9]{3}|\\[^\n\r\u0085\u2028\u2029]|[^\\]")
 
 
 def packets_of(events: DataFrame, render: Callable[[dict], Iterator[Packet]]) -> DataFrame:
-    """Every event's packets: seq, ts, ts_ns, link_type and data."""
+    """Every event's packets, as a capture has them."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.select("event_id", us.alias("us"), "user_id", "event_type")
 
@@ -37,20 +40,20 @@ def packets_of(events: DataFrame, render: Callable[[dict], Iterator[Packet]]) ->
         for batch in batches:
             for at in range(0, batch.num_rows, EVENTS_AT_ONCE):
                 made = list(render(_columns(batch.slice(at, EVENTS_AT_ONCE))))
-                seq, micros, ns, link, data = zip(*made) if made else ((),) * 5
+                seq, micros, ns, link, frames = zip(*made) if made else ((),) * 5
+                data = pa.array(frames, pa.binary())
+                size = pc.binary_length(data)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(seq, pa.int64()), pa.array(micros, pa.int64()), pa.array(ns, pa.int64()),
-                        pa.array(link, pa.int32()), pa.array(data, pa.binary()),
+                        pa.array(["capture"] * len(made), pa.string()), pa.array(seq, pa.int64()),
+                        pa.array(micros, pa.timestamp("us", "UTC")), pa.array(ns, pa.int64()), size, size,
+                        pa.array(link, pa.int32()), data,
                     ],
-                    names=["seq", "us", "ts_ns", "link_type", "data"],
+                    names=schema.names,
                 )
 
-    made = rows.mapInArrow(job, "seq BIGINT, us BIGINT, ts_ns BIGINT, link_type INT, data BINARY")
-    return made.select(
-        F.lit("capture").alias("file"), "seq", F.timestamp_micros("us").alias("ts"), "ts_ns",
-        F.octet_length("data").alias("caplen"), F.octet_length("data").alias("wirelen"), "link_type", "data",
-    )
+    schema = T.DataType.fromDDL(f"STRUCT<{PACKETS}>")
+    return then(rows, job, schema)
 
 
 def _columns(batch: pa.RecordBatch) -> dict:
@@ -278,22 +281,38 @@ def fragments(c: dict) -> Iterator[Packet]:
 def tcp(c: dict) -> Iterator[Packet]:
     client, late = c["mod"](60000), c["mod"](150)
     for i, e in enumerate(c["e"]):
-        us, gone = c["us"][i], c["gone"][i]
-        if not gone:
-            wire, src, dst = c["wire"][i], c["src"][i], c["dst"][i]
-            body = (_u2(len(wire)) + wire) * 3
-            size, ports = len(body), _u2(1024 + client[i]) + b"\0\x35"
-            first, second = size // 4, size * 2 // 3
-            # Initial numbers close to 2**32 make some streams wrap.
-            isn = 4294967200 + late[i]
-        for n in range(5):
+        us = c["us"][i]
+        if c["gone"][i]:
+            for n in range(5):
+                at_us = None if us is None else us + n * 1000
+                yield None if e is None else e * 8 + n, at_us, None if us is None else at_us * 1000, LINK_ETHERNET, None
+            continue
+        wire, src, dst = c["wire"][i], c["src"][i], c["dst"][i]
+        body = (_u2(len(wire)) + wire) * 3
+        size = len(body)
+        first, second = size // 4, size * 2 // 3
+        # Initial numbers close to 2**32 make some streams wrap.
+        isn = 4294967200 + late[i]
+        # What comes before the length in the IP header, and between it and the number.
+        if len(src) == 4:
+            before, fixed = LINK + b"\x08\0\x45\0", 40
+            after = b"\0\0\0\0\x40\x06\0\0" + src + dst
+        else:
+            before, fixed, after = LINK + b"\x86\xdd\x60\0\0\0", 20, b"\x06\x40" + src + dst
+        after += _u2(1024 + client[i]) + b"\0\x35"
+        for n, at, end, flags in (
+            (0, 0, 0, 2), (1, first, second, 16), (2, 0, first, 16), (3, 0, first, 16), (4, second, size, 24),
+        ):
+            number = (isn + (0 if flags == 2 else at + 1)) & 0xFFFFFFFF
             # Arrivals a millisecond apart.
             at_us = None if us is None else us + n * 1000
-            seq, ns = None if e is None else e * 8 + n, None if us is None else at_us * 1000
-            if gone:
-                yield seq, at_us, ns, LINK_ETHERNET, None
-                continue
-            at, end, flags = ((0, 0, 2), (first, second, 16), (0, first, 16), (0, first, 16), (second, size, 24))[n]
-            number = (isn + (0 if flags == 2 else at + 1)) & 0xFFFFFFFF
-            header = ports + number.to_bytes(4, "big") + b"\0\0\0\0\x50" + bytes((flags,)) + b"\xff\xff\0\0\0\0"
-            yield seq, at_us, ns, LINK_ETHERNET, _ethernet(src, _ip(src, dst, b"\x06", header + body[at:end]))
+            yield e * 8 + n, at_us, None if us is None else at_us * 1000, LINK_ETHERNET, b"".join(
+                (
+                    before, (fixed + end - at & 0xFFFF).to_bytes(2, "big"), after, number.to_bytes(4, "big"),
+                    TCP_FLAGS[flags], body[at:end],
+                )
+            )
+
+
+#: Acknowledgement, header size, flags, window, checksum and urgent pointer.
+TCP_FLAGS = {f: b"\0\0\0\0\x50" + bytes((f,)) + b"\xff\xff\0\0\0\0" for f in (2, 16, 24)}
