@@ -94,7 +94,7 @@ def _fragment_step(chunk: int, rows: list[tuple], state: bytes | None):
 
 def reassemble_fragments(
     datagrams: DataFrame, gc_seconds: int = GC_SECONDS, several_chunks: bool | None = None,
-    light_rows: int = LIGHT_ROWS,
+    light_rows: int = LIGHT_ROWS, stored: bool = False,
 ) -> DataFrame:
     """Complete datagrams from IPv4 and IPv6 fragments.
 
@@ -102,14 +102,14 @@ def reassemble_fragments(
     after ``gc_seconds`` without a fragment. Keys of up to ``light_rows`` fragments are walked in
     one pass after one exchange. Only keys with more, which are reused all the time, are cut into
     sessions at such pauses and, inside a long session, into chunks of capture records that
-    pass their unfinished train on.
+    pass their unfinished train on. Datagrams that lie in a table (``stored``) are not stored again.
     """
     rows = sane_fragments(datagrams).select(
         *_key_columns(FRAGMENT_KEY), "seq", "ts_ns", "frag_offset", "more_fragments", "protocol_no",
         "payload", F.unix_micros("ts").alias("us"),
     )
     # Fragments are a small share of the packets but are read again below.
-    rows = cut_lineage(rows, "fragments")
+    rows = rows if stored else cut_lineage(rows, "fragments")
     done = _by_weight(
         rows, FRAGMENT_KEY, F.count(F.lit(1)) > light_rows,
         lambda light: _walk(light, FRAGMENT_KEY, FRAGMENT_FIELDS, _fragment_rows, "ts_ns BIGINT, protocol_no INT", gc_seconds),

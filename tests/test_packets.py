@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from namestrata.functions import wire
 from namestrata.plans import packets, traffic
+from namestrata.plans.capture import packets_to_results
+from namestrata.session import cut_lineage
 from tests.conftest import SF
 
 ODD = [
@@ -59,3 +61,17 @@ def test_rendering_needs_no_record(spark):
     for made in (traffic.udp_packets_of, traffic.fragment_packets_of, traffic.tcp_packets_of):
         plan = made(traffic.load_events(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
         assert "lambda" not in plan
+
+
+def test_capture_plan_rebuilds_once_and_hands_over_what_is_read(spark):
+    """Rebuilt datagrams serve the UDP and the TCP path from one table; columns nobody reads stay behind."""
+    parts = [traffic.udp_packets(spark, SF), traffic.fragment_packets(spark, SF), traffic.tcp_packets(spark, SF)]
+    packets_in = cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "capture")
+    whole = packets_to_results(packets_in, mask_v4=24)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "ip_id" not in plan
+    columns = ["seq", "ts", "src_ip", "src_port", "protocol", "identity"]
+    few = packets_to_results(packets_in, mask_v4=24, columns=columns)
+    assert sorted(few.columns) == sorted(columns)
+    wanted = whole.select(*few.columns)
+    assert few.count() > 4000 and few.exceptAll(wanted).count() == 0 and wanted.exceptAll(few).count() == 0
